@@ -18,13 +18,14 @@ FIELD_PATTERN = (
 
 
 def _field_value(field: Column) -> Column:
+    """A bare field holds no separator or line break but its terminator."""
     bare = F.regexp_replace(field, r"(?:,|\r\n|\r|\n)\z", "")
     closed = F.regexp_extract(bare, r"(?s)\A\"((?:[^\"]++|\"\")*+)\"?+(.*)\z", 1)
     tail = F.regexp_extract(bare, r"(?s)\A\"((?:[^\"]++|\"\")*+)\"?+(.*)\z", 2)
     return F.when(
-        F.startswith(bare, F.lit('"')),
+        F.startswith(field, F.lit('"')),
         F.concat(F.replace(closed, F.lit('""'), F.lit('"')), tail),
-    ).otherwise(bare)
+    ).otherwise(F.rtrim(field, F.lit(",\r\n")))
 
 
 def csv_records(text: Column) -> Column:

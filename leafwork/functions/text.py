@@ -64,24 +64,31 @@ def literal_array(values: list[str]) -> Column:
 def ranked_words(tokens: Column, limit: int = C.TOP_WORDS) -> Column:
     """Most frequent non-stop words as ``array<struct<n, first_pos, word>>``.
 
-    Ties go to the word met first. Sorting the (word, position) pairs puts
-    equal words next to each other, so runs give counts and first positions
-    without leaving the row: no explode, no shuffle.
+    Ties go to the word met first; ``first_pos`` is its place among the distinct
+    words. Sorting puts equal words next to each other, so run lengths are the
+    counts; the sorted distinct words line up with the runs and bring their
+    first places. The work stays in the row: no explode, no shuffle.
+    (``sort_array`` compares natively; ``array_sort`` would call an expression
+    per comparison.)
     """
-    wanted = F.filter(
-        F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
-        lambda t: ~t["word"].isin(C.STOP_WORDS),
+    wanted = F.filter(tokens, lambda w: ~w.isin(C.STOP_WORDS))
+
+    def both_orders(ws: Column) -> Column:
+        firsts = F.transform(
+            F.array_distinct(ws), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))
+        )
+        return F.struct(F.sort_array(ws).alias("runs"), F.sort_array(firsts).alias("firsts"))
+
+    return let(
+        let(wanted, both_orders), lambda orders: _ranked_runs(orders["runs"], orders["firsts"], limit)
     )
-    return let(F.array_sort(wanted), lambda pairs: _ranked_runs(pairs, limit))
 
 
-def _ranked_runs(pairs: Column, limit: int) -> Column:
+def _ranked_runs(ordered: Column, firsts: Column, limit: int) -> Column:
     starts = F.filter(
         F.transform(
-            pairs,
-            lambda p, i: F.when(
-                (i == 0) | (F.get(pairs, i - 1)["word"] != p["word"]), i
-            ).otherwise(-1),
+            ordered,
+            lambda w, i: F.when((i == 0) | (F.get(ordered, i - 1) != w), i).otherwise(-1),
         ),
         lambda i: i >= 0,
     )
@@ -90,12 +97,12 @@ def _ranked_runs(pairs: Column, limit: int) -> Column:
         runs = F.transform(
             s,
             lambda start, k: F.struct(
-                (-(F.coalesce(F.get(s, k + 1), F.size(pairs)) - start)).alias("neg_n"),
-                F.get(pairs, start)["pos"].alias("first_pos"),
-                F.get(pairs, start)["word"].alias("word"),
+                (start - F.coalesce(F.get(s, k + 1), F.size(ordered))).alias("neg_n"),
+                F.get(firsts, k)["pos"].alias("first_pos"),
+                F.get(firsts, k)["word"].alias("word"),
             ),
         )
-        return F.slice(F.array_sort(runs), 1, limit)
+        return F.slice(F.sort_array(runs), 1, limit)
 
     return F.transform(
         let(starts, count_runs),

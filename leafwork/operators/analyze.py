@@ -139,8 +139,10 @@ def analyze_parts(
             lambda m: entry(m, zero, zero),
         ),
     )
+    # The outer form keeps the optimizer from copying ``entries`` into a filter;
+    # there always is at least the counter entry.
     rows = local.select(
-        doc_id, part_no, *counters, *flags, F.explode(entries).alias("w")
+        doc_id, part_no, *counters, *flags, F.explode_outer(entries).alias("w")
     )
     carrier = F.col("w.word") == ""
     per_word = rows.groupBy(doc_id, F.col("w.word").alias("word")).agg(
@@ -161,7 +163,7 @@ def analyze_parts(
         .agg(
             *[F.max(c).alias(c) for c in counters],
             *[F.max(c).alias(c) for c in flags],
-            F.array_sort(F.collect_list(F.when(leading, F.struct("rank", "word")))).alias("top"),
+            F.sort_array(F.collect_list(F.when(leading, F.struct("rank", "word")))).alias("top"),
             F.collect_list(F.when(F.col("word").isin(every_marker), F.col("word"))).alias("found"),
         )
         .withColumn("avg_words_per_line", T.average(F.col("total_words"), F.col("total_lines")))

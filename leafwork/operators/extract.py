@@ -21,12 +21,19 @@ PAGES_PER_PART = 1_000
 CHUNKS_PER_PART = 1_000
 
 
-def _numbered(df: DataFrame, pieces: Column, no: str, value: str, start: int) -> DataFrame:
-    """One row per array element with its running number. The array is its own
-    column first, so the expression is evaluated once."""
+def explode_once(df: DataFrame, pieces: Column, no: str, value: str, start: int) -> DataFrame:
+    """One row per array element with its running number; the array expression
+    is evaluated once per row.
+
+    It becomes a column of its own, and the outer form of explode is used: the
+    plain form makes the optimizer add a filter on the array's size that pulls
+    the whole expression below and runs it again. Rows of empty arrays are
+    dropped after the explode instead.
+    """
     kept = [c for c in df.columns if c != value]
     prepared = df.select(*kept, pieces.alias("_pieces"))
-    return prepared.select(*kept, F.posexplode("_pieces").alias("_pos", value)).select(
+    exploded = prepared.select(*kept, F.posexplode_outer("_pieces").alias("_pos", value))
+    return exploded.where(F.col("_pos").isNotNull()).select(
         *kept, (F.col("_pos") + start).cast("long").alias(no), value
     )
 
@@ -47,7 +54,7 @@ def chunk_text(
     With ``drop_blank`` white-space-only chunks vanish (HTML and RTF keep none
     of them, plain text keeps all).
     """
-    rows = _numbered(documents, T.text_chunks(F.col(text), size), "chunk_no", text, 0)
+    rows = explode_once(documents, T.text_chunks(F.col(text), size), "chunk_no", text, 0)
     return rows.where(~T.is_blank(F.col(text))) if drop_blank else rows
 
 
@@ -66,7 +73,7 @@ def decode_text(documents: DataFrame, content: str = "content") -> DataFrame:
 
 def csv_rows(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per CSV record, cells joined by `` | ``, numbered from 1."""
-    return _numbered(documents, csv_records(F.col(text)), "row_no", text, 1)
+    return explode_once(documents, csv_records(F.col(text)), "row_no", text, 1)
 
 
 def csv_to_text(
@@ -86,7 +93,7 @@ def csv_to_text(
             F.array_join(F.slice(F.col("_records"), s, F.lit(n)), "\n"), F.lit("\n")
         ),
     )
-    return _numbered(records, chunks, "chunk_no", text, 0).drop("_records")
+    return explode_once(records, chunks, "chunk_no", text, 0).drop("_records")
 
 
 def batch_rows(
@@ -102,7 +109,7 @@ def batch_rows(
     size of the document.
     """
     chunk = _block(row_no, rows_per_chunk, 1)
-    ordered = F.array_sort(F.collect_list(F.struct(row_no, text)))
+    ordered = F.sort_array(F.collect_list(F.struct(row_no, text)))
     return (
         rows.groupBy(doc_id, chunk.alias("chunk_no"))
         .agg(ordered.alias("rows"))
@@ -126,7 +133,7 @@ def concat_chunks(
     ``pages_processed`` is the number of chunks, as every converter reports it.
     """
     part = _block(chunk_no, chunks_per_part, 0)
-    ordered = F.array_sort(F.collect_list(F.struct(chunk_no, text)))
+    ordered = F.sort_array(F.collect_list(F.struct(chunk_no, text)))
     return (
         chunks.groupBy(doc_id, part.alias("part_no"))
         .agg(
@@ -212,7 +219,7 @@ def assemble_pages(
     return (
         rendered.groupBy(doc_id, part.alias("part_no"))
         .agg(
-            F.array_sort(F.collect_list(present)).alias("pieces"),
+            F.sort_array(F.collect_list(present)).alias("pieces"),
             F.coalesce(F.sum(F.char_length("text")), F.lit(0)).cast("long").alias("total_chars"),
             F.count("text").alias("pages_processed"),
             F.coalesce(F.sum(T.count_substring(F.col("text"), C.IMAGE_MARKER)), F.lit(0))
@@ -247,7 +254,7 @@ def assemble_frames(
     body = T.strip(F.col(text))
     present = F.when(body != "", F.struct(F.col(frame_no).alias("no"), body.alias("body")))
     parts = frames.groupBy(doc_id, part.alias("part_no")).agg(
-        F.array_sort(F.collect_list(present)).alias("frames"),
+        F.sort_array(F.collect_list(present)).alias("frames"),
         F.count(F.lit(1)).alias("frames_here"),
     )
     totals = (

@@ -93,7 +93,7 @@ def expand_batches(messages: DataFrame, value: str = "value") -> DataFrame:
     raw = F.col(value).cast("string")
     as_array = F.when(raw.rlike(r"\A\s*\["), F.from_json(raw, "array<string>"))
     return messages.select(
-        *kept, F.explode(F.coalesce(as_array, F.array(raw))).alias(value)
+        *kept, F.explode_outer(F.coalesce(as_array, F.array(raw))).alias(value)
     )
 
 

@@ -417,7 +417,7 @@ def _rendered() -> Column:
 
 def office_chunks(elements: DataFrame) -> DataFrame:
     """Element rows to the text chunks of each document, numbered in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("elem_no", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("elem_no", "line")))
     return (
         elements.where(~F.col("kind").isin("document", "error"))
         .select("doc_id", "chunk_no", "elem_no", _rendered().alias("line"))
@@ -470,7 +470,7 @@ def office_text(elements: DataFrame) -> DataFrame:
     return (
         elements.withColumn("line", _rendered())
         .groupBy("doc_id", "document_type")
-        .agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("error").alias("error"))
+        .agg(F.sort_array(F.collect_list(line)).alias("lines"), F.max("error").alias("error"))
         .withColumn("text", F.when(F.col("error").isNull(), text))
         .select(
             "doc_id",

@@ -9,6 +9,7 @@ from leafwork import constants as C
 from leafwork.functions import text as T
 from leafwork.operators import jobs as J
 from leafwork.operators.analyze import ANALYTICS
+from leafwork.operators.extract import explode_once
 
 
 def split_pages(
@@ -21,12 +22,7 @@ def split_pages(
 
     With ``job_id`` each page also gets the key it is stored under.
     """
-    kept = [c for c in documents.columns if c != text]
-    # The array becomes a column first, so it is computed once per document.
-    pieces = documents.select(*kept, T.page_texts(F.col(text)).alias("_pages"))
-    rows = pieces.select(*kept, F.posexplode("_pages").alias("_pos", text)).select(
-        *kept, (F.col("_pos") + 1).cast("long").alias("page_no"), text
-    )
+    rows = explode_once(documents, T.page_texts(F.col(text)), "page_no", text, 1)
     if job_id is None:
         return rows
     return rows.withColumn("page_key", J.page_key(F.col(job_id), F.col("page_no"), prefix))

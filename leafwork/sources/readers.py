@@ -102,6 +102,17 @@ def stream_documents(
     return _binary_files(reader, base, extensions)
 
 
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Give a small input a task per core.
+
+    A file of one row group is read by one task however many cores there are.
+    Input that already has a partition per core, as any large one does, is
+    left alone, so nothing is shuffled at scale.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def fetch_documents(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     """Give each job the bytes stored under its key.
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.sources.readers import spread_small
+
+TEXT_TABLES = ["documents", "pages", "conversations"]
 OUTPUT_BUCKET = "texts"
 GENERATED_AT = "2024-02-01T00:00:00+00:00"
 
@@ -57,7 +60,9 @@ RUN_STATUS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; text tables get a task per core even if they are small."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if name in TEXT_TABLES else rows
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

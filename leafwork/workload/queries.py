@@ -68,7 +68,8 @@ def jobs_stream(spark, sf_dir):
         stream, landed, new_folder(spark, "jobs-log"), available_now=True
     ).awaitTermination()
     return spark.read.parquet(landed).select(
-        "page_id", "job_id", "document_type", "location_type", "converter", "error", "rejected"
+        "page_id", "job_id", "document_type", "location_type", "converter", "error",
+        F.col("rejected").cast("boolean").alias("rejected"),
     )
 
 
@@ -342,11 +343,9 @@ def chunk_text(spark, sf_dir):
 @query
 def batch_rows(spark, sf_dir):
     """Lines of every document, 50 to a chunk."""
-    lines = _documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
-    )
+    lines = F.split("text", "\n", -1)
     return extract.batch_rows(
-        lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("row_no"), "text")
+        extract.explode_once(_documents(spark, sf_dir), lines, "row_no", "text", 1)
     )
 
 
