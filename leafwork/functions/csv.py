@@ -17,50 +17,52 @@ FIELD_PATTERN = (
 )
 
 
-def _field_value(field: Column) -> Column:
-    """A bare field holds no separator or line break but its terminator."""
-    bare = F.regexp_replace(field, r"(?:,|\r\n|\r|\n)\z", "")
-    closed = F.regexp_extract(bare, r"(?s)\A\"((?:[^\"]++|\"\")*+)\"?+(.*)\z", 1)
-    tail = F.regexp_extract(bare, r"(?s)\A\"((?:[^\"]++|\"\")*+)\"?+(.*)\z", 2)
-    return F.when(
-        F.startswith(field, F.lit('"')),
-        F.concat(F.replace(closed, F.lit('""'), F.lit('"')), tail),
-    ).otherwise(F.rtrim(field, F.lit(",\r\n")))
+QUOTED_PATTERN = r"(?s)\A\"((?:[^\"]++|\"\")*+)(?:\"(.*))?\z"
+
+
+def _field_value(field: Column, added: Column) -> Column:
+    """Cell text of a field. A bare field and what follows a closing quote hold
+    no separator or line break but the terminator; a field that is never closed
+    keeps everything except the line break that was ``added``."""
+    inside = F.regexp_extract(field, QUOTED_PATTERN, 1)
+    after = F.regexp_extract(field, QUOTED_PATTERN, 2)
+    shown = F.replace(inside, F.lit('""'), F.lit('"'))
+    kept = F.when(added, F.regexp_replace(shown, r"\n\z", "")).otherwise(shown)
+    quoted = F.when(after != "", F.concat(shown, F.rtrim(after, F.lit(",\r\n")))).otherwise(kept)
+    return F.when(F.startswith(field, F.lit('"')), quoted).otherwise(
+        F.rtrim(field, F.lit(",\r\n"))
+    )
 
 
 def csv_records(text: Column) -> Column:
     """Records of a whole CSV file, each as its cells joined by `` | ``."""
-    terminated = F.when(
-        (text == "") | text.rlike(r"[\r\n]\z"), text
-    ).otherwise(F.concat(text, F.lit("\n")))
-    fields = F.regexp_extract_all(terminated, F.lit(FIELD_PATTERN), F.lit(0))
+    added = (text != "") & ~text.rlike(r"[\r\n]\z")
+    ended = F.when(added, F.concat(text, F.lit("\n"))).otherwise(text)
+    fields = F.regexp_extract_all(ended, F.lit(FIELD_PATTERN), F.lit(0))
+    return let(F.struct(fields.alias("fields"), added.alias("added")), _records)
 
-    def group(fs: Column) -> Column:
-        ends = F.filter(
-            F.transform(
-                fs,
-                lambda f, i: F.when(
-                    ~F.endswith(f, F.lit(",")) | (i == F.size(fs) - 1), i
-                ).otherwise(-1),
-            ),
-            lambda i: i >= 0,
-        )
-        return let(
-            ends,
-            lambda es: F.transform(
-                es,
-                lambda end, k: F.array_join(
-                    F.transform(
-                        F.slice(
-                            fs,
-                            F.coalesce(F.get(es, k - 1), F.lit(-1)) + 2,
-                            end - F.coalesce(F.get(es, k - 1), F.lit(-1)),
-                        ),
-                        _field_value,
-                    ),
-                    C.CELL_SEPARATOR,
-                ),
-            ),
+
+def _records(split: Column) -> Column:
+    fields = split["fields"]
+    ends = F.filter(
+        F.transform(
+            fields,
+            lambda f, i: F.when(
+                ~F.endswith(f, F.lit(",")) | (i == F.size(fields) - 1), i
+            ).otherwise(-1),
+        ),
+        lambda i: i >= 0,
+    )
+
+    def record(end: Column, previous: Column) -> Column:
+        cells = F.slice(fields, previous + 2, end - previous)
+        return F.array_join(
+            F.transform(cells, lambda f: _field_value(f, split["added"])), C.CELL_SEPARATOR
         )
 
-    return let(fields, group)
+    return let(
+        ends,
+        lambda es: F.transform(
+            es, lambda end, k: record(end, F.coalesce(F.get(es, k - 1), F.lit(-1)))
+        ),
+    )

@@ -67,52 +67,54 @@ def ranked_words(tokens: Column, limit: int = C.TOP_WORDS) -> Column:
     Ties go to the word met first; ``first_pos`` is its place among the distinct
     words. Sorting puts equal words next to each other, so run lengths are the
     counts; the sorted distinct words line up with the runs and bring their
-    first places. The work stays in the row: no explode, no shuffle.
+    first places. Count and place pack into one number, so the ranking itself
+    sorts plain longs. The work stays in the row: no explode, no shuffle.
     (``sort_array`` compares natively; ``array_sort`` would call an expression
     per comparison.)
     """
     wanted = F.filter(tokens, lambda w: ~w.isin(C.STOP_WORDS))
+    return let(wanted, lambda ws: let(F.array_distinct(ws), lambda ds: _ranked(ws, ds, limit)))
 
-    def both_orders(ws: Column) -> Column:
-        firsts = F.transform(
-            F.array_distinct(ws), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))
-        )
-        return F.struct(F.sort_array(ws).alias("runs"), F.sort_array(firsts).alias("firsts"))
 
-    return let(
-        let(wanted, both_orders), lambda orders: _ranked_runs(orders["runs"], orders["firsts"], limit)
-    )
+_LAST_PLACE = 2**31 - 1
 
 
-def _ranked_runs(ordered: Column, firsts: Column, limit: int) -> Column:
-    starts = F.filter(
-        F.transform(
-            ordered,
-            lambda w, i: F.when((i == 0) | (F.get(ordered, i - 1) != w), i).otherwise(-1),
-        ),
-        lambda i: i >= 0,
-    )
+def _ranked(words_: Column, distinct: Column, limit: int) -> Column:
+    placed = F.sort_array(F.transform(distinct, lambda w, i: F.struct(w, i.alias("pos"))))
 
-    def count_runs(s: Column) -> Column:
-        runs = F.transform(
-            s,
-            lambda start, k: F.struct(
-                (start - F.coalesce(F.get(s, k + 1), F.size(ordered))).alias("neg_n"),
-                F.get(firsts, k)["pos"].alias("first_pos"),
-                F.get(firsts, k)["word"].alias("word"),
-            ),
+    def run_starts(ordered: Column) -> Column:
+        changed = lambda w, i: (i == 0) | (F.get(ordered, i - 1) != w)
+        return F.filter(
+            F.transform(ordered, lambda w, i: F.when(changed(w, i), i).otherwise(-1)),
+            lambda i: i >= 0,
         )
-        return F.slice(F.sort_array(runs), 1, limit)
-
-    return F.transform(
-        let(starts, count_runs),
-        lambda r: F.struct(
-            (-r["neg_n"]).cast("long").alias("n"),
-            r["first_pos"].cast("long").alias("first_pos"),
-            r["word"].alias("word"),
+
+    def keys(starts: Column, places: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda start, k: F.shiftleft(
+                (F.coalesce(F.get(starts, k + 1), F.size(words_)) - start).cast("long"), 32
+            )
+            + (F.lit(_LAST_PLACE) - F.get(places, k)["pos"]),
+        )
+
+    ranked = let(
+        let(F.sort_array(words_), run_starts),
+        lambda starts: let(
+            placed, lambda places: F.slice(F.sort_array(keys(starts, places), False), 1, limit)
         ),
     )
 
+    def decoded(key: Column) -> Column:
+        pos = F.lit(_LAST_PLACE) - key.bitwiseAND(F.lit(2**32 - 1))
+        return F.struct(
+            F.shiftright(key, 32).alias("n"),
+            pos.alias("first_pos"),
+            F.get(distinct, pos.cast("int")).alias("word"),
+        )
+
+    return F.transform(ranked, decoded)
+
 
 def language_hint(tokens: Column, mode: str = "compat") -> Column:
     """Language whose marker words occur most; ties in marker-table order.

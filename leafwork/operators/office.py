@@ -71,11 +71,14 @@ class _Archive:
             found[rel.get("Id")] = (rel.get("Type", "").rpartition("/")[2], "/".join(steps))
         return found
 
-    def main_part(self) -> str:
+    def main_part(self, root: str) -> tuple[str, ET.Element]:
+        """Name and content of the main part, which must be a ``root`` element."""
         for kind, target in self.relations("").values():
             if kind == "officeDocument":
-                return target
-        raise ValueError("archive has no main document part")
+                main = self.xml(target)
+                if main is not None and main.tag == root:
+                    return target, main
+        raise ValueError("archive has no main part of this document type")
 
 
 # An element is (part_no, chunk_no, kind, cells).
@@ -125,7 +128,8 @@ def _word_row(row: ET.Element, above: list[str]) -> list[str]:
 
 
 def _docx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    body = archive.xml(archive.main_part()).find(W + "body")
+    _, document = archive.main_part(W + "document")
+    body = document.find(W + "body")
     seen = 0
     for par in body.findall(W + "p"):
         text = _word_paragraph(par).strip()
@@ -230,14 +234,14 @@ def _sheet_rows(source, shared: list[str], dated: set[int]) -> Iterator[list[str
 
 
 def _xlsx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    book = archive.main_part()
+    book, workbook = archive.main_part(S + "workbook")
     relations = archive.relations(book)
     targets = {kind: target for kind, target in relations.values()}
     strings = archive.xml(targets.get("sharedStrings", ""))
     shared = [_rich_text(si) for si in strings.findall(S + "si")] if strings is not None else []
     dated = _date_styles(archive.xml(targets.get("styles", "")))
     chunk = 0
-    sheets = archive.xml(book).find(S + "sheets")
+    sheets = workbook.find(S + "sheets")
     for number, sheet in enumerate(sheets if sheets is not None else [], start=1):
         _, member = relations[sheet.get(R + "id")]
         if archive.zip.getinfo(member).file_size > MAX_MEMBER_BYTES:
@@ -274,9 +278,9 @@ def _notes_text(notes: ET.Element | None) -> str:
 
 
 def _pptx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    deck = archive.main_part()
+    deck, presentation = archive.main_part(P + "presentation")
     relations = archive.relations(deck)
-    order = archive.xml(deck).find(P + "sldIdLst")
+    order = presentation.find(P + "sldIdLst")
     for number, entry in enumerate(order if order is not None else [], start=1):
         _, member = relations[entry.get(R + "id")]
         lines: list[tuple[str, list[str]]] = []

@@ -41,17 +41,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it. Only where
-    none is named (a local session) is a new one made."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_SETTING
-    )
+    none is named (a local session) is a new one made, once per application."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="leafwork-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
+        app = spark.sparkContext.applicationId
+        folder = _local_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="leafwork-")
+        _local_folders[app] = folder
     return folder.rstrip("/")
 
 
