@@ -84,45 +84,40 @@ def metadata_json(
     )
 
 
-EVENT_COLUMNS = [
-    "event", "job_id", "document_type", "location_type", "output_bucket", "output_key",
-    "total_chars", "pages_processed", "error",
-]
-
-
-def _events(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
-    named = rows.select(F.lit(name).alias("event"), *fields)
-    return named.withColumn("payload", F.to_json(F.struct("event", *fields)))
+def _payload(name: str, fields: list[str]) -> Column:
+    return F.to_json(F.struct(F.lit(name).alias("event"), *fields))
 
 
 def started_events(jobs: DataFrame) -> DataFrame:
-    return _events(jobs, "conversion.started", ["job_id", "document_type", "location_type"])
+    fields = ["job_id", "document_type", "location_type"]
+    name = "conversion.started"
+    return jobs.select(
+        F.lit(name).alias("event"), *fields, _payload(name, fields).alias("payload")
+    )
 
 
 def finished_events(
     results: DataFrame, on_complete: bool = True, on_failure: bool = True
 ) -> DataFrame | None:
-    made = []
-    if on_complete:
-        made.append(
-            _events(
-                results.where(F.col("success")),
-                "conversion.completed",
-                ["job_id", "output_bucket", "output_key", "total_chars", "pages_processed"],
-            )
-        )
-    if on_failure:
-        made.append(
-            _events(
-                results.where(~F.col("success")), "conversion.failed", ["job_id", "error"]
-            )
-        )
-    if not made:
+    """A completed or failed event per result, in one pass over the results."""
+    if not (on_complete or on_failure):
         return None
-    out = made[0]
-    for more in made[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    completed = ["job_id", "output_bucket", "output_key", "total_chars", "pages_processed"]
+    failed = ["job_id", "error"]
+    if not on_failure:
+        results = results.where(ok)
+    elif not on_complete:
+        results = results.where(~ok)
+    return results.select(
+        F.when(ok, "conversion.completed").otherwise("conversion.failed").alias("event"),
+        "job_id",
+        *[F.when(ok, F.col(c)).alias(c) for c in completed[1:]],
+        F.when(~ok, F.col("error")).alias("error"),
+        F.when(ok, _payload("conversion.completed", completed))
+        .otherwise(_payload("conversion.failed", failed))
+        .alias("payload"),
+    )
 
 
 def lifecycle_events(

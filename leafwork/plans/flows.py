@@ -17,7 +17,8 @@ from leafwork.functions import text as T
 from leafwork.functions.paths import or_default
 from leafwork.operators import analyze, files, jobs, outcomes, outputs
 from leafwork.plans.converters import convert_documents
-from leafwork.sources.readers import fetch_documents
+from leafwork.sources.readers import fetch_documents, wanted_documents
+from leafwork.sources.writers import write_table
 
 
 def convert_batch(accepted: DataFrame, documents: DataFrame, default_bucket: str) -> DataFrame:
@@ -26,21 +27,23 @@ def convert_batch(accepted: DataFrame, documents: DataFrame, default_bucket: str
     ``accepted`` comes from ``validate_jobs``; rows that already carry an error
     pass through as failures. ``documents`` holds (key, content).
     """
-    fetched = fetch_documents(accepted, documents)
-    converted = convert_documents(
-        fetched.select(F.col("job_id").alias("doc_id"), "document_type", "content", "error")
-    )
-    keys = accepted.select(
-        F.col("job_id").alias("doc_id"),
+    # Where the text goes travels inside the id, so the converted text is never
+    # joined to anything.
+    target = F.struct(
+        F.col("job_id"),
         or_default(F.col("output_s3_bucket"), F.lit(default_bucket)).alias("output_bucket"),
         jobs.text_key(F.col("job_id"), F.col("output_s3_key")).alias("output_key"),
     )
+    fetched = fetch_documents(accepted, documents)
+    converted = convert_documents(
+        fetched.select(target.alias("doc_id"), "document_type", "content", "error")
+    )
     ok = F.col("error").isNull()
-    return converted.join(keys, "doc_id").select(
-        F.col("doc_id").alias("job_id"),
+    return converted.select(
+        F.col("doc_id.job_id").alias("job_id"),
         ok.alias("success"),
-        F.when(ok, F.col("output_bucket")).alias("output_bucket"),
-        F.when(ok, F.col("output_key")).alias("output_key"),
+        F.when(ok, F.col("doc_id.output_bucket")).alias("output_bucket"),
+        F.when(ok, F.col("doc_id.output_key")).alias("output_key"),
         "error",
         "pages_processed",
         F.col("total_chars").alias("characters_extracted"),
@@ -153,40 +156,42 @@ def folder_watch(
     max_files: int = C.SCAN_MAX_FILES,
     output_prefix: str = C.CONVERTED_PREFIX,
     processed_prefix: str | None = C.PROCESSED_PREFIX,
+    results_table: str | None = None,
 ) -> WatchRun:
     """Scan a folder, convert what was found, plan the moves, sum up.
 
-    ``listing`` has keys and sizes, ``documents`` (key, content).
+    ``listing`` has keys and sizes, ``documents`` (key, content). The three
+    results come from one conversion: give a ``results_table`` to run it once
+    and store the texts there; without it each result runs it when used.
     """
     found = files.scan_inbox(listing, max_files).withColumn(
         "job_id", jobs.watch_job_id(F.col("key"))
     )
-    inputs = (
-        found.where(F.col("document_type") != "")
-        .select("job_id", "key", "document_type")
-        .join(documents.select("key", "content"), "key", "left")
-        .select(F.col("job_id").alias("doc_id"), "document_type", "content")
+    typed = found.where(F.col("document_type") != "")
+    inputs = typed.select("job_id", "key", "document_type").join(
+        wanted_documents(documents, typed), "key", "left"
     )
-    converted = convert_documents(inputs).select(
-        F.col("doc_id").alias("job_id"),
+    converted = convert_documents(
+        inputs.select(F.col("job_id").alias("doc_id"), "document_type", "content")
+    ).withColumnRenamed("doc_id", "job_id")
+    if results_table is not None:
+        write_table(converted, results_table, mode="overwrite")
+        converted = listing.sparkSession.read.parquet(results_table)
+    outcome = converted.select(
+        "job_id",
         F.col("error").isNull().alias("success"),
+        F.lit(None).cast("string").alias("output_key"),
         "total_chars",
         "error",
     )
-    results = (
-        outcomes.watch_results(
-            found, converted.withColumn("output_key", F.lit(None).cast("string"))
-        )
-        .withColumn(
-            "output_key",
-            F.when(F.col("success"), jobs.watch_key(F.col("key"), output_prefix)),
-        )
+    results = outcomes.watch_results(found, outcome).withColumn(
+        "output_key", F.when(F.col("success"), jobs.watch_key(F.col("key"), output_prefix))
     )
     moves = files.archive_processed(
         results if processed_prefix is not None else results.where(F.lit(False)),
         processed_prefix or "",
     )
-    return WatchRun(results, moves, outcomes.watch_summary(found, converted))
+    return WatchRun(results, moves, outcomes.watch_summary(found, outcome))
 
 
 def retry_escalation(

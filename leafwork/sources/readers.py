@@ -113,6 +113,15 @@ def spread_small(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def wanted_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The (key, content) rows some key asks for.
+
+    A semi-join before anything else touches the contents: with few keys it is
+    a filter on the scan, with many the contents are shuffled once, by key.
+    """
+    return documents.select("key", "content").join(keys.select("key"), "key", "left_semi")
+
+
 def fetch_documents(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     """Give each job the bytes stored under its key.
 
@@ -120,7 +129,8 @@ def fetch_documents(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     content and ``Document not found``. Many jobs may name one key: adaptive
     execution splits such a key on the job side.
     """
-    stored = documents.select(F.col("key").alias("_key"), "content")
+    asked = jobs.select(F.col("s3_key").alias("key"))
+    stored = wanted_documents(documents, asked).withColumnRenamed("key", "_key")
     joined = jobs.join(stored, F.col("s3_key") == F.col("_key"), "left").drop("_key")
     missing = F.when(
         F.col("content").isNull(), F.concat(F.lit("Document not found: "), F.col("s3_key"))

@@ -81,3 +81,19 @@ def test_listing_does_not_read_contents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     plan = plan_of(list_files(spark, str(tmp_path)))
     assert "content" not in plan.split("ReadSchema", 1)[1]
+
+
+def test_converted_text_is_not_joined(spark, sf_dir):
+    """Contents are joined to their jobs before conversion; texts never after."""
+    from leafwork.workload.queries import QUERIES as registered
+
+    plan = plan_of(registered["convert_batch"](spark, sf_dir))
+    above_conversion = plan.split("Union", 1)[0]
+    assert "Join" not in above_conversion and "Exchange" not in above_conversion
+
+
+def test_results_are_converted_once_for_all_events(spark, sf_dir):
+    from leafwork.operators import outputs
+
+    results = I.event_results(spark, sf_dir)
+    assert plan_of(outputs.finished_events(results)).count("FileScan") == 1

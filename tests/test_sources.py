@@ -97,9 +97,11 @@ def test_a_local_session_makes_its_own_folder_and_a_cluster_never_does():
         shared_folder(_Session("spark://host"))
 
 
-def test_folder_watch_end_to_end(spark, store):
+@pytest.mark.parametrize("stored", [False, True])
+def test_folder_watch_end_to_end(spark, store, tmp_path_factory, stored):
     found = readers.read_documents(spark, str(store))
-    run = flows.folder_watch(readers.list_files(spark, str(store)), found)
+    table = str(tmp_path_factory.mktemp("watch") / "results") if stored else None
+    run = flows.folder_watch(readers.list_files(spark, str(store)), found, results_table=table)
     # .HTM and .zip are not in the scan's allow-list
     assert [(r["key"], r["output_key"]) for r in run.results.collect()] == [("in/a.txt", "converted/a.txt.txt")]
     assert run.moves.first() == ("in/a.txt", "processed/a.txt")
