@@ -58,6 +58,24 @@ def chunk_text(
     return rows.where(~T.is_blank(F.col(text))) if drop_blank else rows
 
 
+def line_parts(documents: DataFrame, text: str = "text", size: int = 1_000_000) -> DataFrame:
+    """Long texts to parts of up to ``size`` characters, cut at line ends only.
+
+    Parts are numbered from 0 and join up to the text; a single longer line
+    stays whole. ``analyze_parts`` on them gives what ``analyze_text`` gives on
+    the document, without holding all its words in one row.
+    """
+    pieces = F.regexp_extract_all(
+        F.col(text),
+        F.lit(f"(?s).{{1,{int(size)}}}(?:(?<=\\n)|\\z)|[^\\n]*+(?:\\n|\\z)"),
+        F.lit(0),
+    )
+    whole = F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(
+        F.filter(pieces, lambda p: p != "")
+    )
+    return explode_once(documents, whole, "part_no", text, 0)
+
+
 def html_to_text(
     documents: DataFrame, html: str = "html", size: int = C.CHUNK_CHARS
 ) -> DataFrame:

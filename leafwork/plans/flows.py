@@ -164,34 +164,36 @@ def folder_watch(
     results come from one conversion: give a ``results_table`` to run it once
     and store the texts there; without it each result runs it when used.
     """
-    found = files.scan_inbox(listing, max_files).withColumn(
-        "job_id", jobs.watch_job_id(F.col("key"))
-    )
+    # Two keys may map to one job id, so files and results meet on the key.
+    found = files.scan_inbox(listing, max_files).withColumn("job_id", F.col("key"))
     typed = found.where(F.col("document_type") != "")
-    inputs = typed.select("job_id", "key", "document_type").join(
+    inputs = typed.select("key", "document_type").join(
         wanted_documents(documents, typed), "key", "left"
     )
     converted = convert_documents(
-        inputs.select(F.col("job_id").alias("doc_id"), "document_type", "content")
-    ).withColumnRenamed("doc_id", "job_id")
+        inputs.select(F.col("key").alias("doc_id"), "document_type", "content")
+    ).withColumnRenamed("doc_id", "key")
     if results_table is not None:
-        write_table(converted, results_table, mode="overwrite")
+        write_table(
+            converted.withColumn("job_id", jobs.watch_job_id(F.col("key"))),
+            results_table,
+            mode="overwrite",
+        )
         converted = listing.sparkSession.read.parquet(results_table)
-    outcome = converted.select(
-        "job_id",
-        F.col("error").isNull().alias("success"),
-        F.lit(None).cast("string").alias("output_key"),
+    ok = F.col("error").isNull()
+    results = converted.select(
+        "key",
+        ok.alias("success"),
+        F.when(ok, jobs.watch_key(F.col("key"), output_prefix)).alias("output_key"),
         "total_chars",
         "error",
     )
-    results = outcomes.watch_results(found, outcome).withColumn(
-        "output_key", F.when(F.col("success"), jobs.watch_key(F.col("key"), output_prefix))
-    )
     moves = files.archive_processed(
         results if processed_prefix is not None else results.where(F.lit(False)),
         processed_prefix or "",
     )
-    return WatchRun(results, moves, outcomes.watch_summary(found, outcome))
+    summary = outcomes.watch_summary(found, results.withColumnRenamed("key", "job_id"))
+    return WatchRun(results, moves, summary)
 
 
 def retry_escalation(

@@ -122,18 +122,35 @@ def wanted_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return documents.select("key", "content").join(keys.select("key"), "key", "left_semi")
 
 
+def source_key() -> Column:
+    """What a job asks for: object key, URL or FTP path."""
+    location = F.col("location_type")
+    return (
+        F.when(location == "s3", F.col("s3_key"))
+        .when(location == "url", F.col("url"))
+        .when(location == "ftp", F.col("ftp_path"))
+    )
+
+
 def fetch_documents(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     """Give each job the bytes stored under its key.
 
-    ``documents`` is (key, content). A job whose key is not there gets null
-    content and ``Document not found``. Many jobs may name one key: adaptive
-    execution splits such a key on the job side.
+    ``documents`` is (key, content): objects by key, downloads landed before by
+    URL or path. A job whose key is not there gets null content and
+    ``Document not found``; a job that already has an error asks for nothing.
+    Many jobs may name one key: adaptive execution splits such a key on the job
+    side.
     """
-    asked = jobs.select(F.col("s3_key").alias("key"))
-    stored = wanted_documents(documents, asked).withColumnRenamed("key", "_key")
-    joined = jobs.join(stored, F.col("s3_key") == F.col("_key"), "left").drop("_key")
+    prior = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
+    asking = jobs.withColumn("_key", F.when(prior.isNull(), source_key()))
+    keys = asking.select(F.col("_key").alias("key"))
+    stored = wanted_documents(documents, keys).withColumnRenamed("key", "_key")
     missing = F.when(
-        F.col("content").isNull(), F.concat(F.lit("Document not found: "), F.col("s3_key"))
+        F.col("content").isNull(),
+        F.concat(F.lit("Document not found: "), F.coalesce("_key", F.lit(""))),
+    )
+    return (
+        asking.join(stored, "_key", "left")
+        .withColumn("error", F.coalesce(prior, missing))
+        .drop("_key")
     )
-    prior = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
-    return joined.withColumn("error", F.coalesce(prior, missing))

@@ -270,6 +270,10 @@ SELECT doc_id, CAST(0 AS BIGINT) AS part_no, length(text) AS total_chars,
 ORACLES["document_totals"] = """
 SELECT doc_id, length(text) AS total_chars, CAST(ceil(length(text) / 1000) AS BIGINT) AS pages_processed
 FROM documents WHERE text <> ''"""
+# Only the last part of a text without a final line break is not ended by one.
+ORACLES["line_parts"] = f"""
+SELECT doc_id, length(text) AS total_chars,
+ CAST(CASE WHEN suffix(text, {NL}) THEN 0 ELSE 1 END AS BIGINT) AS open_parts FROM documents"""
 LINES = f"""
 WITH l AS (SELECT doc_id, lang, source, string_split(text, {NL}) AS ls FROM documents),
 lines AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) AS BIGINT) AS row_no, unnest(ls) AS line FROM l),
@@ -391,6 +395,7 @@ def _analytics(source: str, key: str) -> str:
 
 
 ORACLES["analyze_text"] = f"{TOKENS} {_analytics('t', 'doc_id')}"
+ORACLES["analyze_line_parts"] = ORACLES["analyze_text"]
 ORACLES["analyze_parts"] = f"""
 WITH j AS (SELECT role AS doc_id, string_agg(text || {NL}, '' ORDER BY conv_id * 1000 + turn) AS text
  FROM conversations GROUP BY role),

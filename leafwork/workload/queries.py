@@ -340,6 +340,16 @@ def chunk_text(spark, sf_dir):
     return extract.chunk_text(_documents(spark, sf_dir), size=CHUNK)
 
 
+@query
+def line_parts(spark, sf_dir):
+    """Documents cut at line ends into parts of about 500 characters; summed up."""
+    parts = extract.line_parts(_documents(spark, sf_dir), size=500)
+    return parts.groupBy("doc_id").agg(
+        F.sum(F.char_length("text")).cast("long").alias("total_chars"),
+        F.count_if(~F.endswith(F.col("text"), F.lit("\n"))).alias("open_parts"),
+    )
+
+
 @query
 def batch_rows(spark, sf_dir):
     """Lines of every document, 50 to a chunk."""
@@ -490,6 +500,13 @@ def analyze_parts(spark, sf_dir):
     return _joined_words(analyze.analyze_parts(turns))
 
 
+@query
+def analyze_line_parts(spark, sf_dir):
+    """Documents analysed part by part give what the whole gives."""
+    parts = extract.line_parts(_documents(spark, sf_dir), size=500)
+    return _joined_words(analyze.analyze_parts(parts))
+
+
 @query
 def batch_progress(spark, sf_dir):
     return outcomes.batch_progress(I.event_results(spark, sf_dir))

@@ -105,3 +105,16 @@ def test_chunks_rejoin(spark):
         assert {r["id"]: (r["total_chars"], r["pages_processed"]) for r in totals} == {
             i: (len(v), -(-len(v) // 7)) for i, v in enumerate(values) if v
         }
+
+
+def test_line_parts_rejoin_and_end_at_lines(spark):
+    values = _texts(200, seed=8, pieces=["a", "bb", "\n", "\n\n", "\r\n", "é😀", "long line "], most=40)
+    out = extract.line_parts(_frame(spark, values), size=10).orderBy("id", "part_no").collect()
+    parts: dict[int, list[str]] = {}
+    for r in out:
+        assert r["part_no"] == len(parts.setdefault(r["id"], []))
+        parts[r["id"]].append(r["text"])
+    for i, value in enumerate(values):
+        assert "".join(parts[i]) == value
+        assert all(p.endswith("\n") for p in parts[i][:-1])
+        assert all(len(p) <= 10 or p.rstrip("\n").count("\n") == 0 for p in parts[i])

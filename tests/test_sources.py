@@ -28,10 +28,18 @@ def test_list_and_read(spark, store):
 
 
 def test_fetch_reports_what_is_missing(spark, rows):
-    made = rows("job_id string, s3_key string", ("1", "k"), ("2", "lost"), ("3", "k"))
-    stored = rows("key string, content binary", ("k", b"x"))
+    made = rows(
+        "job_id string, location_type string, s3_key string, url string, ftp_path string, error string",
+        ("1", "s3", "k", None, None, None), ("2", "s3", "lost", None, None, None),
+        ("3", "s3", "k", None, None, "bad"), ("4", "url", None, "http://h/x", None, None),
+        ("5", "ftp", None, None, "/p", None), ("6", "local", None, None, None, None),
+    )
+    stored = rows("key string, content binary", ("k", b"x"), ("http://h/x", b"y"), ("/p", b"z"), ("other", b"-"))
     out = readers.fetch_documents(made, stored).orderBy("job_id").collect()
-    assert [r["error"] for r in out] == [None, "Document not found: lost", None]
+    assert [r["error"] for r in out] == [
+        None, "Document not found: lost", "bad", None, None, "Document not found: ",
+    ]
+    assert [bytes(r["content"]) if r["content"] else None for r in out] == [b"x", None, None, b"y", b"z", None]
 
 
 def test_write_objects_and_receipts(spark, rows, tmp_path):
@@ -106,3 +114,27 @@ def test_folder_watch_end_to_end(spark, store, tmp_path_factory, stored):
     assert [(r["key"], r["output_key"]) for r in run.results.collect()] == [("in/a.txt", "converted/a.txt.txt")]
     assert run.moves.first() == ("in/a.txt", "processed/a.txt")
     assert run.summary.first() == (1, 1, 0)
+
+
+def test_watch_keeps_files_with_like_names_apart(spark, rows):
+    """``a/b.txt`` and ``a-b.txt`` share a job id but not a result."""
+    listing = rows("key string, size_bytes long", ("a/b.txt", 1), ("a-b.txt", 2))
+    stored = rows("key string, content binary", ("a/b.txt", b"x"), ("a-b.txt", b"yy"))
+    run = flows.folder_watch(listing, stored)
+    got = {r["key"]: r["total_chars"] for r in run.results.collect()}
+    assert got == {"a/b.txt": 1, "a-b.txt": 2} and run.summary.first() == (2, 2, 0)
+
+
+def test_a_new_type_is_one_registry_entry(spark, rows):
+    from leafwork.plans import converters
+
+    converters.ROW_CONVERTERS["shout"] = lambda content: F.array(F.upper(content.cast("string")))
+    try:
+        out = converters.convert_documents(
+            rows("doc_id int, document_type string, content binary", (1, "shout", b"hey"), (2, "hush", b"x"))
+        ).orderBy("doc_id").collect()
+    finally:
+        del converters.ROW_CONVERTERS["shout"]
+    assert [(r["text"], r["pages_processed"], r["error"]) for r in out] == [
+        ("HEY", 1, None), (None, 0, "Unsupported document type: hush"),
+    ]
