@@ -62,7 +62,9 @@ def literal_array(values: list[str]) -> Column:
     return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
 
 
-def ranked_words(tokens: Column, limit: int = C.TOP_WORDS) -> Column:
+def ranked_words(
+    tokens: Column, limit: int = C.TOP_WORDS, stop_words: list[str] = C.STOP_WORDS
+) -> Column:
     """Most frequent non-stop words as ``array<struct<n, first_pos, word>>``.
 
     Ties go to the word met first; ``first_pos`` is its place among the distinct
@@ -73,7 +75,7 @@ def ranked_words(tokens: Column, limit: int = C.TOP_WORDS) -> Column:
     (``sort_array`` compares natively; ``array_sort`` would call an expression
     per comparison.)
     """
-    wanted = F.filter(tokens, lambda w: ~w.isin(C.STOP_WORDS))
+    wanted = F.filter(tokens, lambda w: ~w.isin(stop_words)) if stop_words else tokens
     return let(wanted, lambda ws: let(F.array_distinct(ws), lambda ds: _ranked(ws, ds, limit)))
 
 

@@ -16,6 +16,7 @@ from leafwork.functions import text as T
 
 STATS = ["total_chars", "total_words", "total_lines", "total_pages", "avg_words_per_line"]
 FLAGS = ["has_tables", "has_images"]
+VOCABULARY_SLICES = 16
 ANALYTICS = [
     "total_chars", "total_words", "total_lines", "total_pages", "language_hint",
     "avg_words_per_line", "has_tables", "has_images", "top_words",
@@ -48,9 +49,14 @@ def text_stats(documents: DataFrame, text: str = "text") -> DataFrame:
     return _with_stats(_prepared(documents, text)).drop("_body", "_tokens")
 
 
-def top_words(documents: DataFrame, text: str = "text", limit: int = C.TOP_WORDS) -> DataFrame:
+def top_words(
+    documents: DataFrame,
+    text: str = "text",
+    limit: int = C.TOP_WORDS,
+    stop_words: list[str] = C.STOP_WORDS,
+) -> DataFrame:
     """Add ``top_words``: most frequent non-stop words, first met first on ties."""
-    ranked = T.ranked_words(F.col("_tokens"), limit)
+    ranked = T.ranked_words(F.col("_tokens"), limit, stop_words)
     return (
         _prepared(documents, text)
         .withColumn("top_words", F.transform(ranked, lambda r: r["word"]))
@@ -117,7 +123,7 @@ def analyze_parts(
     empty word that carries the part's counters and entries of count zero for
     the language markers seen. Entries are summed per (document, word), which
     combines before the shuffle and spreads a document that holds a third of
-    all parts; only its distinct words meet in one task.
+    all parts; only the leaders of its vocabulary meet in one task.
     """
     local = _with_stats(_prepared(parts, text)).withColumns(
         {"has_tables": T.has_tables(F.col("_body")), "has_images": T.has_images(F.col("_body"))}
@@ -145,20 +151,31 @@ def analyze_parts(
         doc_id, part_no, *counters, *flags, F.explode_outer(entries).alias("w")
     )
     carrier = F.col("w.word") == ""
+    # (part, position) as one number: fixed-width buffers let Spark aggregate by
+    # hash, where a struct would make it sort every row first.
+    place = F.col(part_no).cast("decimal(20,0)") * F.lit(2**31) + F.col("w.first_pos")
     per_word = rows.groupBy(doc_id, F.col("w.word").alias("word")).agg(
         F.sum("w.n").alias("n"),
-        F.min(
-            F.when(F.col("w.n") > 0, F.struct(F.col(part_no), F.col("w.first_pos")))
-        ).alias("first"),
+        F.min(F.when(F.col("w.n") > 0, place)).alias("first"),
         *[F.sum(F.when(carrier, F.col(c))).alias(c) for c in counters],
         *[F.max(F.when(carrier, F.col(c))).alias(c) for c in flags],
     )
-    rank = F.row_number().over(
-        Window.partitionBy(doc_id).orderBy(F.col("n").desc(), F.col("first").asc_nulls_last())
+    # Leaders are picked per slice of a document's vocabulary first, so that not
+    # even one enormous vocabulary has to pass through a single task.
+    order = [F.col("n").desc(), F.col("first").asc_nulls_last()]
+    vocabulary = F.pmod(F.xxhash64("word"), F.lit(VOCABULARY_SLICES))
+    in_slice = F.row_number().over(Window.partitionBy(doc_id, "slice").orderBy(*order))
+    finalists = (
+        per_word.withColumn("slice", vocabulary)
+        .withColumn("rank", in_slice)
+        .where(
+            (F.col("rank") <= C.TOP_WORDS) | (F.col("n") == 0) | F.col("word").isin(every_marker)
+        )
     )
+    rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))
     leading = (F.col("rank") <= C.TOP_WORDS) & (F.col("n") > 0)
     merged = (
-        per_word.withColumn("rank", rank)
+        finalists.withColumn("rank", rank)
         .groupBy(doc_id)
         .agg(
             *[F.max(c).alias(c) for c in counters],

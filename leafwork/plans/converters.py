@@ -60,21 +60,31 @@ FRAME_CONVERTERS: dict[tuple[str, ...], Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def convert_documents(documents: DataFrame) -> DataFrame:
+def convert_documents(documents: DataFrame, types: list[str] | None = None) -> DataFrame:
     """(doc_id, document_type, content[, error]) to text with counts.
 
     One row per document, also for those that fail: an unknown type, missing
     bytes, a damaged archive or an earlier ``error`` ends in the error column.
     Row converters run in one pass; each frame converter sees only its types.
+    ``types`` names the types that can occur; frame converters of other types
+    then stay out of the plan and do not scan the input.
     """
     if "error" not in documents.columns:
         documents = documents.withColumn("error", F.lit(None).cast("string"))
     documents = documents.select("doc_id", "document_type", "content", "error")
-    framed = [kind for kinds in FRAME_CONVERTERS for kind in kinds]
-    for_frame = F.col("document_type").isin(framed) & F.col("error").isNull()
-    for_frame = F.coalesce(for_frame, F.lit(False))
+    frames = {
+        kinds: convert
+        for kinds, convert in FRAME_CONVERTERS.items()
+        if types is None or set(kinds) & set(types)
+    }
+    framed = [kind for kinds in frames for kind in kinds]
+    if not framed:
+        return _convert_rows(documents)
+    for_frame = F.coalesce(
+        F.col("document_type").isin(framed) & F.col("error").isNull(), F.lit(False)
+    )
     converted = _convert_rows(documents.where(~for_frame))
-    for kinds, convert in FRAME_CONVERTERS.items():
+    for kinds, convert in frames.items():
         own = documents.where(for_frame & F.col("document_type").isin(list(kinds)))
         converted = converted.unionByName(convert(own).select("doc_id", *CONVERTED))
     return converted

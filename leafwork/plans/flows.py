@@ -9,7 +9,8 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork import constants as C
@@ -17,7 +18,7 @@ from leafwork.functions import text as T
 from leafwork.functions.paths import or_default
 from leafwork.operators import analyze, files, jobs, outcomes, outputs
 from leafwork.plans.converters import convert_documents
-from leafwork.sources.readers import fetch_documents, wanted_documents
+from leafwork.sources.readers import fetch_documents, list_files, wanted_documents
 from leafwork.sources.writers import write_table
 
 
@@ -232,3 +233,26 @@ def maintenance(
 ) -> DataFrame:
     """What a cleanup run would free; ``files.expired`` names the files."""
     return files.retention_report(listing, now, max_age_hours)
+
+
+def folder_maintenance(
+    spark: SparkSession,
+    base: str,
+    now: dt.datetime | Column,
+    max_age_hours: int = C.RETENTION_HOURS,
+) -> DataFrame:
+    """``maintenance`` of a folder, with the errors met; a folder that is not
+    there is an error in the report."""
+    try:
+        listing = list_files(spark, base)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(1).select(
+            F.lit(0).cast("long").alias("files_deleted"),
+            F.lit(0).cast("long").alias("bytes_freed"),
+            F.array(F.lit("Directory not found")).alias("errors"),
+        )
+    return maintenance(listing, now, max_age_hours).withColumn(
+        "errors", F.array().cast("array<string>")
+    )

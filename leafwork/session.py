@@ -33,6 +33,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # List files of a micro-batch in a few tasks instead of one each.
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "32")
     )
     for key, value in CLUSTER_SETTINGS.items():
         builder = builder.config(key, value)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafwork.functions.paths import base_name
+from leafwork import constants as C
 from leafwork.operators import jobs as J
+from leafwork.operators.outputs import finished_events
 from leafwork.plans.converters import convert_documents
 from leafwork.sources.writers import move_objects
 
@@ -49,11 +50,14 @@ def start_folder_watch(
     results_table: str,
     checkpoint: str,
     archive_base: str | None = None,
-    output_prefix: str = "converted/",
+    output_prefix: str = C.CONVERTED_PREFIX,
+    types: list[str] | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Convert new files as they appear; ``documents`` comes from
     ``stream_documents``. Files already handled are known from the checkpoint.
+    Name the document ``types`` if the stream is limited to some, so that a
+    micro-batch is read once.
 
     Each micro-batch is stored before anything is moved, and moves are planned
     from what was stored: only successes move, and a replay finds them done.
@@ -64,7 +68,7 @@ def start_folder_watch(
         rows = batch.where(F.col("document_type") != "").select(
             F.col("key").alias("doc_id"), "document_type", "content"
         )
-        converted = convert_documents(rows).select(
+        converted = convert_documents(rows, types).select(
             F.col("doc_id").alias("key"),
             J.watch_job_id(F.col("doc_id")).alias("job_id"),
             "document_type",
@@ -83,7 +87,7 @@ def start_folder_watch(
                 .where(F.col("success"))
                 .select(
                     F.col("key").alias("source_key"),
-                    F.concat(F.lit("processed/"), base_name(F.col("key"))).alias("dest_key"),
+                    J.archive_key(F.col("key")).alias("dest_key"),
                 )
             )
             move_objects(moves, archive_base).write.mode("overwrite").parquet(
@@ -125,6 +129,4 @@ def current_status(changes: DataFrame, job_id: str = "job_id") -> DataFrame:
 
 def lifecycle_stream(results: DataFrame) -> DataFrame:
     """Completed and failed events of finished jobs, as they finish."""
-    from leafwork.operators.outputs import finished_events
-
     return finished_events(results)

@@ -568,10 +568,12 @@ def folder_watch_stream(spark, sf_dir):
     """Stored documents and pages picked up as a stream and converted."""
     base = _stored_documents(spark, sf_dir)
     landed = new_folder(spark, "watch")
+    types = ["txt", "html"]
     streams.start_folder_watch(
-        readers.stream_documents(spark, base, readers.extensions_of(["txt", "html"])),
+        readers.stream_documents(spark, base, readers.extensions_of(types), max_files=10_000),
         landed,
         new_folder(spark, "watch-log"),
+        types=types,
         available_now=True,
     ).awaitTermination()
     return spark.read.parquet(landed).select(
