@@ -23,7 +23,10 @@ TAG_PATTERN = (
     r"|</?[a-zA-Z][^>]*+>"
     r"|<[!?][^>]*+>"
 )
-ENTITY_PATTERN = r"&(?:#[0-9]{1,7}+|#[xX][0-9a-fA-F]{1,6}+|[a-zA-Z][a-zA-Z0-9]*+);?"
+# Named references need their semicolon; numeric ones may lack it.
+ENTITY_PATTERN = (
+    r"&(?:#[xX][0-9a-fA-F]*+;?|#[0-9]*+;?|[a-zA-Z_:][-a-zA-Z0-9_:.]*+;)"
+)
 COMMON_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0"}
 
 
@@ -33,28 +36,31 @@ def _entity_table() -> Column:
     return F.expr(f"map({pairs})")
 
 
-def _code_point(code: Column, original: Column) -> Column:
-    """Character of a numeric reference; UTF-32 decoding builds it natively."""
-    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+def _code_point(code: Column) -> Column:
+    """Character of a numeric reference, nothing if it is none that text may
+    hold; UTF-32 decoding builds it natively."""
+    allowed = (
+        code.isin(9, 10, 13)
+        | code.between(0x20, 0xD7FF)
+        | code.between(0xE000, 0xFFFD)
+        | code.between(0x10000, 0x10FFFF)
+    )
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(valid, char).otherwise(original)
+    return F.when(allowed, char).otherwise("")
 
 
 def _decode_entity(ref: Column) -> Column:
-    body = F.regexp_replace(ref, r"^&|;$", "")
+    body = F.btrim(ref, F.lit("&;"))
     named = F.when(F.lit(False), ref)
     for name, char in COMMON_ENTITIES.items():
         named = named.when(body == name, F.lit(char))
     named = named.otherwise(F.coalesce(F.try_element_at(_entity_table(), body), ref))
+    # More than eight hex digits or a number beyond 2**63 stand for no character.
+    digits = F.ltrim(F.substring(body, 3, 1_000), F.lit("0"))
+    hex_code = F.when(F.char_length(digits) <= 8, F.conv(digits, 16, 10).try_cast("long"))
     return (
-        F.when(
-            body.startswith("#x") | body.startswith("#X"),
-            _code_point(F.conv(F.substring(body, 3, 6), 16, 10).cast("long"), ref),
-        )
-        .when(
-            body.startswith("#"),
-            _code_point(F.substring(body, 2, 7).try_cast("long"), ref),
-        )
+        F.when(body.startswith("#x") | body.startswith("#X"), _code_point(hex_code))
+        .when(body.startswith("#"), _code_point(F.substring(body, 2, 1_000).try_cast("long")))
         .otherwise(named)
     )
 

@@ -47,7 +47,7 @@ def _stats(text: str, tokens: str) -> str:
  CAST(len({tokens}) AS BIGINT) AS total_words,
  {lines} AS total_lines,
  {_page_lines(text)} AS total_pages,
- round_even(len({tokens}) / greatest({lines}, 1), 2) AS avg_words_per_line"""
+ CAST(printf('%.2f', len({tokens}) / greatest({lines}, 1)) AS DOUBLE) AS avg_words_per_line"""
 
 
 def _language(tokens: str, compat: bool) -> str:

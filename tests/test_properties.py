@@ -118,3 +118,13 @@ def test_line_parts_rejoin_and_end_at_lines(spark):
         assert "".join(parts[i]) == value
         assert all(p.endswith("\n") for p in parts[i][:-1])
         assert all(len(p) <= 10 or p.rstrip("\n").count("\n") == 0 for p in parts[i])
+
+
+def test_average_rounds_as_python_does(spark):
+    rng = random.Random(9)
+    cases = [(w, lines) for lines in (8, 16, 40, 80, 200, 400) for w in range(0, 6 * lines, 1)]
+    cases += [(rng.randint(0, 10**6), rng.randint(1, 5000)) for _ in range(3000)]
+    cases += [(3 * 10**9, 2), (10**7, 3)]
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, w long, l long")
+    out = frame.select("id", text.average(F.col("w"), F.col("l")).alias("a")).orderBy("id").collect()
+    assert [r["a"] for r in out] == [round(w / lines, 2) for w, lines in cases]
