@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +125,39 @@ def wanted_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return documents.select("key", "content").join(keys.select("key"), "key", "left_semi")
 
 
+def fetch_objects(rows: DataFrame, base_uri: str, key: str = "key") -> DataFrame:
+    """Add ``content``: the bytes stored under each row's key below ``base_uri``,
+    null where there are none.
+
+    The form for inventories too long to list: keys come from a table, every
+    task reads its own, and neither a listing nor a join touches the driver.
+    One object is in memory at a time.
+    """
+    at = rows.columns.index(key)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base_uri)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                name, data = one.column(at)[0].as_py(), None
+                if name is not None:
+                    try:
+                        with store.open_input_stream(f"{root}/{name}") as source:
+                            data = source.read()
+                    except (FileNotFoundError, IsADirectoryError):
+                        data = None
+                yield pa.RecordBatch.from_arrays(
+                    [*one.columns, pa.array([data], pa.binary())],
+                    names=[*one.schema.names, "content"],
+                )
+
+    fields = [*rows.schema.fields, T.StructField("content", T.BinaryType())]
+    return rows.mapInArrow(fetch, T.StructType(fields))
+
+
 def source_key() -> Column:
     """What a job asks for: object key, URL or FTP path."""
     location = F.col("location_type")

@@ -178,6 +178,9 @@ WITH stored AS (
 """
 ORACLES["read_documents"] = STORED + """
 SELECT key, CAST(strlen(body) AS BIGINT) AS size_bytes, document_type, sha256(body) AS sha FROM stored"""
+ORACLES["fetch_objects"] = """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'gone/' ELSE 'txt/' END || doc_id || '.txt' AS key,
+ CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS sha FROM documents"""
 _LIMIT = int(0.01 * 1024 * 1024)
 ORACLES["validate_document"] = f"""
 WITH d AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END AS body FROM documents),

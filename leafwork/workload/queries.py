@@ -120,6 +120,22 @@ def read_documents(spark, sf_dir):
     )
 
 
+@query
+def fetch_objects(spark, sf_dir):
+    """The same objects fetched by the keys of a table; every tenth is missing."""
+    base = _stored_documents(spark, sf_dir)
+    number = F.col("doc_id")
+    keys = _documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(
+            F.when(number % 10 == 0, "gone/").otherwise("txt/"), number.cast("string"), F.lit(".txt")
+        ).alias("key"),
+    )
+    uri = base if "://" in base else f"file://{base}"
+    found = readers.fetch_objects(keys, uri)
+    return found.select("doc_id", "key", F.sha2("content", 256).alias("sha"))
+
+
 @query
 def infer_doc_type(spark, sf_dir):
     return files.infer_doc_type(I.inbox(spark, sf_dir).select("doc_id", "key"))

@@ -14,8 +14,8 @@ ARCHIVE_QUERIES = {  # the one step with Python on executors is opening archives
     "flow_completed_events", "folder_watch", "folder_watch_summary",
 }
 STREAMS_AND_STORES = {
-    "jobs_stream", "latest_status_stream", "folder_watch_stream", "read_documents", "write_text",
-    "write_pages",
+    "jobs_stream", "latest_status_stream", "folder_watch_stream", "read_documents", "fetch_objects",
+    "write_text", "write_pages",
 }
 
 

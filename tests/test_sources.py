@@ -138,3 +138,10 @@ def test_a_new_type_is_one_registry_entry(spark, rows):
     assert [(r["text"], r["pages_processed"], r["error"]) for r in out] == [
         ("HEY", 1, None), (None, 0, "Unsupported document type: hush"),
     ]
+
+
+def test_fetch_objects_by_inventory(spark, rows, store):
+    inventory = rows("n int, key string, tags array<string>", (1, "in/a.txt", ["x"]), (2, "in/none", []), (3, None, None), (4, "in/sub/b.HTM", []))
+    out = readers.fetch_objects(inventory, f"file://{store}").orderBy("n").collect()
+    assert [bytes(r["content"]) if r["content"] is not None else None for r in out] == [b"alpha", None, None, b"<p>b</p>"]
+    assert out[0]["tags"] == ["x"]
