@@ -12,6 +12,8 @@ TEXT_FIELDS = [
     "s3_bucket", "s3_key", "s3_endpoint_url", "url", "ftp_host", "ftp_path",
     "output_s3_bucket", "output_s3_key",
 ]
+# Fields that hold text or null; anything else is an error.
+CHECKED_TEXT_FIELDS = ["job_id", *TEXT_FIELDS, "ftp_user", "auth_username", *C.SECRET_FIELDS]
 INTEGER_PATTERN = r"\A\s*[+-]?[0-9]+(?:\.0+)?\s*\z"
 SECRET_PATTERN = (
     r"(\"(?:" + "|".join(C.SECRET_FIELDS) + r")\"\s*:\s*)(?:\"(?:[^\"\\]++|\\.)*+\"?|[^,}\s]++)"
@@ -47,38 +49,48 @@ def parse_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
         *kept,
         raw.alias("_raw"),
         F.when(
-            raw.rlike(r"(?s)\A\s*\{.*\}\s*\z"), F.from_json(raw, "map<string,string>")
+            raw.rlike(r"(?s)\A\s*\{.*\}\s*\z"), F.from_json(raw, "map<string,variant>")
         ).alias("_fields"),
     )
     f = F.col("_fields")
+
+    def value_of(name: str) -> Column:
+        return F.try_variant_get(f[name], "$", "string")
+
+    def not_text(name: str) -> Column:
+        kind = F.schema_of_variant(f[name])
+        return F.when(~kind.isin("STRING", "VOID"), F.lit(f"{name} is not text"))
+
     port_given = F.map_contains_key(f, F.lit("ftp_port"))
     auth_given = F.map_contains_key(f, F.lit("auth_type"))
     error = (
         F.when(f.isNull(), F.lit("message is not a JSON object")).otherwise(
             F.coalesce(
-                _enum_error("document_type", f["document_type"], C.DOCUMENT_TYPES),
-                _enum_error("location_type", f["location_type"], C.LOCATION_TYPES),
+                _enum_error("document_type", value_of("document_type"), C.DOCUMENT_TYPES),
+                _enum_error("location_type", value_of("location_type"), C.LOCATION_TYPES),
                 F.when(
-                    auth_given, _enum_error("auth_type", f["auth_type"], C.AUTH_TYPES)
+                    auth_given, _enum_error("auth_type", value_of("auth_type"), C.AUTH_TYPES)
                 ),
                 F.when(
-                    port_given & ~F.coalesce(f["ftp_port"].rlike(INTEGER_PATTERN), F.lit(False)),
+                    port_given
+                    & ~F.coalesce(value_of("ftp_port").rlike(INTEGER_PATTERN), F.lit(False)),
                     F.lit("ftp_port is not an integer"),
                 ),
+                *[not_text(name) for name in CHECKED_TEXT_FIELDS],
             )
         )
     )
-    port = F.regexp_extract(f["ftp_port"], r"([+-]?[0-9]+)", 1).try_cast("int")
+    port = F.regexp_extract(value_of("ftp_port"), r"([+-]?[0-9]+)", 1).try_cast("int")
     return (
         fields.withColumn("error", error)
         .select(
             *kept,
-            or_default(f["job_id"], stable_id(F.col("_raw"))).alias("job_id"),
-            f["document_type"].alias("document_type"),
-            f["location_type"].alias("location_type"),
-            *[f[name].alias(name) for name in TEXT_FIELDS],
+            or_default(value_of("job_id"), stable_id(F.col("_raw"))).alias("job_id"),
+            value_of("document_type").alias("document_type"),
+            value_of("location_type").alias("location_type"),
+            *[value_of(name).alias(name) for name in TEXT_FIELDS],
             F.coalesce(port, F.lit(C.DEFAULT_FTP_PORT)).alias("ftp_port"),
-            F.when(F.col("error").isNull(), F.coalesce(f["auth_type"], F.lit("none"))).alias(
+            F.when(F.col("error").isNull(), F.coalesce(value_of("auth_type"), F.lit("none"))).alias(
                 "auth_type"
             ),
             F.when(F.col("error").isNotNull(), mask_secrets(F.col("_raw"))).alias("raw"),

@@ -158,6 +158,10 @@ MESSAGES = [
     ("{" + JOB + ',"auth_type":null}', "auth_type is required", 21),
     ("{" + JOB + ',"auth_type":"magic"}', "unknown auth_type: magic", 21),
     ("[1]", "message is not a JSON object", 21),
+    ("{" + JOB + ',"url":5}', "url is not text", 21),
+    ("{" + JOB + ',"job_id":{"a":1},"ftp_port":22.0}', "job_id is not text", 22),
+    ("{" + JOB + ',"url":null,"other":[1,{"url":2}],"ftp_port":" 23 "}', None, 23),
+    ("{" + JOB + ',"ftp_port":21.5}', "ftp_port is not an integer", 21),
 ]
 
 
