@@ -45,21 +45,28 @@ def parse_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
     """
     kept = [c for c in messages.columns if c != value]
     raw = F.col(value).cast("string")
-    fields = messages.select(
+    parsed = messages.select(
         *kept,
-        raw.alias("_raw"),
-        F.when(
-            raw.rlike(r"(?s)\A\s*\{.*\}\s*\z"), F.from_json(raw, "map<string,variant>")
-        ).alias("_fields"),
+        F.struct(
+            raw.alias("_raw"),
+            F.when(
+                raw.rlike(r"(?s)\A\s*\{.*\}\s*\z"), F.from_json(raw, "map<string,variant>")
+            ).alias("_fields"),
+        ).alias("_parsed"),
     )
+    # Reading the parsed struct through a generator stops later filters from
+    # being pushed below it, which would parse the text again for every field.
+    fields = parsed.select(*kept, F.inline_outer(F.array("_parsed")))
     f = F.col("_fields")
 
     def value_of(name: str) -> Column:
-        return F.try_variant_get(f[name], "$", "string")
+        return F.expr(f"try_variant_get(_fields['{name}'], '$', 'string')")
 
     def not_text(name: str) -> Column:
-        kind = F.schema_of_variant(f[name])
-        return F.when(~kind.isin("STRING", "VOID"), F.lit(f"{name} is not text"))
+        return F.expr(
+            f"CASE WHEN schema_of_variant(_fields['{name}']) NOT IN ('STRING', 'VOID') "
+            f"THEN '{name} is not text' END"
+        )
 
     port_given = F.map_contains_key(f, F.lit("ftp_port"))
     auth_given = F.map_contains_key(f, F.lit("auth_type"))
