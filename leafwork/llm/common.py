@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,25 +58,6 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(text) % 5 == 0, F.lit(False))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), remembered up to a number of words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit permutation of the values: avalanche by shifts and odd factors."""
     x = values + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
@@ -83,6 +66,52 @@ def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A value per byte: none for white space, one for a letter in either case of A-Z.
+_BYTES = mixed(np.arange(256, dtype=np.uint64), 1)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[_SPACE] = 0
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of text hashed at once; a longer text is hashed alone.
+CHUNK = 1 << 18
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of texts as (64-bit hashes of their words, where each text's words start and end).
+
+    Words are runs of anything but ASCII white space, A-Z lowered; hashes are taken over
+    the bytes of many texts at a time. ``texts`` holds no nulls.
+    """
+    n = len(texts)
+    if not n:
+        return
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK, "right")) - 1)
+        last = min(last, n)
+        bounds = ends[first : last + 1] - ends[first]
+        part = whole[ends[first] : ends[last]]
+        first = last
+        begins = ~_SPACE[part]
+        if not begins.any():
+            yield np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+            continue
+        before = np.empty(len(part), bool)
+        before[0], before[1:] = True, ~begins[:-1]
+        before[bounds[:-1][bounds[:-1] < len(part)]] = True
+        starts = np.flatnonzero(begins & before)
+        lengths = np.diff(starts, append=len(part))
+        place = np.arange(starts[0], len(part)) - np.repeat(starts, lengths)
+        powers = np.cumprod(np.full(int(lengths.max()), _BASE))
+        values = np.add.reduceat(_BYTES[part[starts[0] :]] * powers[place], starts - starts[0])
+        yield mixed(values), np.searchsorted(starts, bounds)
+
+
 def store_of(uri: str):
     """(file system, path) of a folder named by URI or by plain path."""
     from pyarrow import fs

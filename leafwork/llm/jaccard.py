@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import WordHashes, lookup, mixed, partitions, saved
+from leafwork.llm.common import lookup, mixed, partitions, saved, word_hashes
 
 #: Tokens below this part of the hash range are counted; prefixes lie there unless most
 #: of a document's tokens are frequent ones.
@@ -31,27 +31,40 @@ FREQUENT_MOST = 1 << 19
 #: Marks of tokens that more than one document holds: a bit each, of fixed size.
 SHARED_BITS = 28
 #: Tokens that a task counts before it sends its counts on.
-COUNT_TOKENS = 1 << 22
+COUNT_TOKENS = 1 << 20
+#: Cells of the histogram over token hashes that bounds what two sets can share.
+CELLS = 256
+#: Sets are compared by 32 bits of each hash; a pair that passes by fewer tokens than this
+#: is compared by all 64 as well.
+MARGIN = 8
 #: Further random orders that a candidate pair has to pass.
 ORDERS = 2
-#: A leader's partners that one task compares.
-PER_LEADER = 2000
+#: Marks, a bit each, of the texts that take part in comparisons.
+KEY_MARKS = 22
+#: A leader with d partners has about sqrt(d) / ROOT_GROUPS groups of them.
+ROOT_GROUPS = 8
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
-def shingles(text: str, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words; of all words where fewer."""
-    # bytes.lower and bytes.split know ASCII only: A-Z, and the six white space bytes.
-    words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
-    n = len(words)
-    if not n:
-        return words
-    span = min(size, n)
-    out = np.full(n - span + 1, span, np.uint64)
-    for k in range(span):
-        out = (out ^ words[k : n - span + 1 + k]) * MULTIPLIER
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    out = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for k in range(size):
+        out = (out ^ words[k : k + len(out)]) * MULTIPLIER
         out ^= out >> np.uint64(29)
-    return np.unique(mixed(out))
+    return mixed(out)
+
+
+def token_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct hashes of runs of ``size`` words; of all its words where fewer."""
+    for words, bounds in word_hashes(texts):
+        runs = folded(words, size)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if b - a >= size:
+                x = np.sort(runs[a : b - size + 1])
+                yield x[np.concatenate(([True], x[1:] != x[:-1]))]
+            else:
+                yield folded(words[a:b], b - a) if b > a else words[:0]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -76,6 +89,12 @@ def index_length(n: int, num: int, den: int) -> int:
     return n - -(-2 * num * n // (num + den)) + 1
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """Tokens per cell of the low bits, up to 255 each."""
+    cells = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
 class Order:
     """Global token order: frequency class, then a hash; and which tokens are shared at all."""
 
@@ -97,71 +116,71 @@ class Order:
         """False only for counted tokens that one document holds."""
         if self.shared is None:
             return np.ones(len(tokens), bool)
-        bit = tokens >> np.uint64(64 - SHARED_BITS)
+        beyond = tokens >= np.uint64(int(COUNTED * 2**64))
+        bit = np.where(beyond, np.uint64(0), tokens) >> np.uint64(64 - SHARED_BITS)
         held = (self.shared[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        return (held == 1) | (tokens >= np.uint64(int(COUNTED * 2**64)))
-
-
-def token_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, sid, n of every row (sid null where the set is empty)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sids, ns = [], []
-            for text in batch.column(2).to_pylist():
-                tokens = shingles(text, size, hashes)
-                ns.append(len(tokens))
-                sids.append(set_id(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(ns, pa.int64())],
-                names=["doc_id", "key", "sid", "n"],
-            )
+        return (held == 1) | beyond
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, sid long, n long")
 
-
-def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What makes an ``Order``, from counts over all documents of those that hold each token of
-    the counted range."""
-    spark = docs.sparkSession
-    slice_bits = min(16, max(8, (2 * partitions(spark)).bit_length()))
+def first_pass(docs: DataFrame, size: int, slice_bits: int) -> DataFrame:
+    """One read of the texts: doc_id, key, sid, n, cells (histogram) of every row (sid and cells
+    null where the set is empty), and, as rows of their own, counts of the tokens of the counted range (slice, low, many)."""
     low_bits = 40 - slice_bits
     most = np.uint64(int(COUNTED * 2**64))
+    fields = pa.schema(
+        [(n, pa.int64()) for n in ("doc_id", "key", "sid", "n")]
+        + [("cells", pa.binary()), ("slice", pa.int32()), ("low", pa.binary()), ("many", pa.binary())]
+    )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, n_held = WordHashes(), set(), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, n_held = set(), [], 0
 
-        def flush():
+        def counts() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
             slices = (keys >> np.uint64(low_bits)).astype(np.int64)
             low = (keys & np.uint64((1 << low_bits) - 1)).astype("<u4")
             n = np.minimum(n, 65535).astype("<u2")
-            cuts = np.flatnonzero(np.diff(slices)) + 1
-            edges = [0, *cuts.tolist(), len(keys)]
-            rows = [(int(slices[a]), low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(edges, edges[1:]) if b > a]
+            edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(keys)]
+            rows = [(int(slices[a]), low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+            none = pa.nulls(len(rows), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "low", "n"]
+                [none, none, none, none, pa.nulls(len(rows), pa.binary())]
+                + [pa.array(c, f.type) for c, f in zip(zip(*rows), list(fields)[5:])],
+                schema=fields,
             )
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, size, hashes)
-                sid = hash(tokens.tobytes())
-                if sid in seen:  # copies read together count once
+            sids, ns, cells = [], [], []
+            for tokens in token_sets(batch.column(2), size):
+                ns.append(len(tokens))
+                cells.append(histogram(tokens) if len(tokens) else None)
+                sid = set_id(tokens) if len(tokens) else None
+                sids.append(sid)
+                if sid is None or sid in seen:  # copies read together count once
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sid)
                 tokens = tokens[: np.searchsorted(tokens, most)]
-                if len(tokens):
-                    held.append(tokens)
-                    n_held += len(tokens)
+                held.append(tokens)
+                n_held += len(tokens)
                 if n_held >= COUNT_TOKENS:
-                    yield flush()
+                    yield counts()
                     held, n_held = [], 0
-        if held:
-            yield flush()
+            made = [pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cells, pa.binary())]
+            rest = [pa.nulls(len(ns), f.type) for f in list(fields)[5:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *rest], schema=fields)
+        if n_held:
+            yield counts()
+
+    schema = "doc_id long, key long, sid long, n long, cells binary, slice int, low binary, many binary"
+    return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
+
+
+def token_order(sent: DataFrame, slice_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What makes an ``Order``: counts, over all documents, of those that hold each token of the
+    counted range, from the tasks' counts (slice, low, many)."""
+    low_bits = 40 - slice_bits
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per slice: bits of the shared tokens, and the frequent tokens with their counts."""
@@ -196,8 +215,7 @@ def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.
         if parts:
             yield close(number, parts)
 
-    sent = docs.select("text").mapInArrow(count, "slice int, low binary, n binary")
-    dealt = sent.repartition(partitions(spark), "slice").sortWithinPartitions("slice")
+    dealt = sent.repartition(partitions(sent.sparkSession), "slice").sortWithinPartitions("slice")
     sums = saved(
         dealt.mapInArrow(add_up, "slice int, bits binary, keys array<long>, counts array<long>"), "jaccard-counts"
     )
@@ -214,6 +232,7 @@ def token_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.
         if held + row["count"] > FREQUENT_MOST:
             break
         floor, held = row["class"], held + row["count"]
+    shared = shared[: int(COUNTED * len(shared)) + 1]  # no counted token lies beyond
     told = frequent.where(F.col("class") >= floor).toPandas().sort_values("key")
     return shared, told["key"].to_numpy(np.uint64), told["class"].to_numpy(np.uint8)
 
@@ -224,7 +243,7 @@ def postings(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame
     ``place`` is its place in the prefix; copies read together send theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, global_order = WordHashes(), set(), Order(*order.value)
+        seen, global_order = set(), Order(*order.value)
         out: list[list[np.ndarray]] = [[], [], [], []]
         names, held = ["token", "sid", "n", "place"], 0
 
@@ -232,15 +251,14 @@ def postings(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, size, hashes)
+            for tokens in token_sets(batch.column(0), size):
                 n = len(tokens)
                 if not n:
                     continue
                 sid = set_id(tokens)
                 if sid in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sid)
                 prefix = global_order.prefix(tokens, prefix_length(n, num, den))
@@ -261,65 +279,124 @@ def postings(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame
     return docs.select("text").mapInArrow(run, "token long, sid long, n long, place long")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """sid, tokens (binary) of documents of doc_id, text, sid whose set has that id."""
+def possible(pairs: DataFrame, kinds: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms allow: two sets share at most the sum, over
+    the cells, of the smaller count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sids, sets = [], []
-            for text, sid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = shingles(text, size, hashes)
-                if len(tokens) and set_id(tokens) == sid:
-                    sids.append(sid)
-                    sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_n", "b_n"))
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("a_cells", "b_cells")
+            )
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            most = np.where((x.max(1) == 255) | (y.max(1) == 255), np.minimum(n, m), most)
+            good = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (den * most >= num * (n + m - most))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+
+    degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
+    of_a = kinds.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("cells").alias("a_cells"))
+    named = saved(degree.join(of_a, "a"), "jaccard-degree")
+    both = lookup(pairs, named, "a", "degree", ["b"]).join(
+        kinds.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("cells").alias("b_cells")), "b"
+    )
+    return saved(both.mapInArrow(run, "a long, b long"), "jaccard-possible")
 
-    return docs.select("text", "sid").mapInArrow(run, "sid long, tokens binary")
 
+def verified(
+    pairs: DataFrame, texts: DataFrame, kinds: DataFrame, size: int, num: int, den: int, whole: bool = False
+) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: the filters of the other orders, then the sets.
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: the filters of the other orders, then the sets."""
+    ``texts``: key, text; ``kinds``: sid and key, where a set's text is found. Sets are made
+    where the texts are and travel once for each pair's b, and once for each group of
+    partners that one task compares with an a; at first 32 bits of each token do.
+    """
+    kind = np.dtype(np.uint64 if whole else np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, blobs = [], []
+            for k, (sid, tokens) in enumerate(zip(batch.column("sid").to_pylist(), token_sets(batch.column("text"), size))):
+                if len(tokens) and set_id(tokens) == sid:  # another text may have this key
+                    keep.append(k)
+                    blobs.append((tokens if whole else tokens >> np.uint64(32)).astype(kind).tobytes())
+            at = pa.array(keep, pa.int64())
+            cols = [batch.column(c).take(at) for c in ("a", "salt", "sid", "is_b")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(blobs, pa.binary())], names=["a", "salt", "sid", "is_b", "tokens"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, a_set, a_prefixes = None, None, []
 
         def prefixes(tokens: np.ndarray) -> list[np.ndarray]:
             length = prefix_length(len(tokens), num, den)
-            return [np.partition(mixed(tokens, k), length - 1)[:length] for k in range(1, ORDERS + 1)]
+            wide = tokens.astype(np.uint64)
+            return [np.partition(mixed(wide, k), length - 1)[:length] for k in range(1, ORDERS + 1)]
 
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if a != known:
-                    known, a_set = a, np.frombuffer(x, np.uint64)
+            for a, sid, is_b, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "sid", "is_b", "tokens"))):
+                if not is_b:  # comes before its partners
+                    known, a_set = a, np.frombuffer(blob, kind)
                     a_prefixes = prefixes(a_set)
-                b_set = np.frombuffer(y, np.uint64)
+                    continue
+                if a != known:
+                    continue
+                b_set = np.frombuffer(blob, kind)
                 small, large = sorted((len(a_set), len(b_set)))
                 if den * small < num * large:
                     continue
                 if not all(np.isin(p, q).any() for p, q in zip(a_prefixes, prefixes(b_set))):
                     continue
-                both = len(np.intersect1d(a_set, b_set, assume_unique=True))
+                # Tokens that look alike in 32 bits only add to what is shared.
+                both = small - (~np.isin(a_set, b_set)).sum() if len(a_set) == small else small - (~np.isin(b_set, a_set)).sum()
+                both = int(both)
                 if den * both >= num * (len(a_set) + len(b_set) - both):
-                    out.append((a, b))
-            cols = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+                    less = both - MARGIN
+                    out.append((a, sid, whole or den * less >= num * (len(a_set) + len(b_set) - less)))
+            cols = zip(*out) if out else ((), (), ())
+            kinds_ = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], names=["a", "b", "sure"])
 
-    # A leader may have any number of partners: its set stands once per so many of them.
+    # A leader may have any number of partners: groups of them grow with the root of it.
     degree = saved(pairs.groupBy("a").agg(F.count("*").alias("degree")), "jaccard-degree")
-    copies = (F.lit(1) + F.floor(F.col("degree") / PER_LEADER)).cast("int")
-    dealt = lookup(pairs, degree.withColumn("copies", copies), "a", "degree", ["b"]).withColumn(
-        "salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")
+    groups = degree.withColumn("groups", (F.lit(1) + F.floor(F.sqrt("degree") / ROOT_GROUPS)).cast("int"))
+    dealt = lookup(pairs, groups, "a", "degree", ["b"]).select(
+        F.col("b").alias("sid"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(True).alias("is_b")
     )
-    leaders = (
-        degree.join(sets.withColumnRenamed("sid", "a"), "a")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-        .select("a", "salt", F.col("tokens").alias("x"))
+    leaders = groups.select(
+        F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("is_b")
     )
-    partners = dealt.select("a", "b", "salt").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    joined = partners.join(leaders, ["a", "salt"]).select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    roles = saved(dealt.union(leaders).join(kinds.select("sid", "key"), "sid"), "jaccard-roles")
+    placed = held_texts(texts, roles).join(roles, "key").select("a", "salt", "sid", "is_b", "text")
+    sent = placed.mapInArrow(sets, "a long, salt int, sid long, is_b boolean, tokens binary")
+    together = sent.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "is_b")
+    found = saved(together.mapInArrow(compare, "a long, b long, sure boolean"), "jaccard-compared")
+    links = found.where("sure").select("a", "b").distinct()
+    close = found.where("NOT sure").select("a", "b").distinct()
+    if whole or not close.limit(1).count():
+        return links
+    return links.union(verified(close, texts, kinds, size, num, den, whole=True))
+
+
+def held_texts(texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """Texts whose key may be among those of ``roles``: a filter of fixed size before the join,
+    which only saves shuffling the others."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << KEY_MARKS)).cast("int")
+    marks = np.zeros(1 << KEY_MARKS, bool)
+    marks[roles.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
+    told = texts.sparkSession.sparkContext.broadcast(np.packbits(marks, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = told.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
+
+    return texts.select("key", "text", bit.alias("bit")).mapInArrow(run, "key long, text string")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -372,14 +449,18 @@ def similar_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # Where a set's text is found again: by a document's id, without one by its text.
     texts = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    rows = saved(token_sets(texts, size), "jaccard-sets")
+    slice_bits = min(16, max(8, (2 * partitions(spark)).bit_length()))
+    first = saved(first_pass(texts, size, slice_bits), "jaccard-first")
+    rows = first.where("slice IS NULL").select("doc_id", "sid", "n")
     kinds = saved(
-        rows.where("sid IS NOT NULL").groupBy("sid").agg(
-            F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies")
+        first.where("slice IS NULL AND sid IS NOT NULL").groupBy("sid").agg(
+            F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies"),
+            F.any_value("n").alias("n"), F.any_value("cells").alias("cells"),
         ),
         "jaccard-kinds",
     )
-    order = spark.sparkContext.broadcast(token_order(texts, size))
+    sent = first.where("slice IS NOT NULL").select("slice", "low", "many")
+    order = spark.sparkContext.broadcast(token_order(sent, slice_bits))
     posted = saved(postings(texts, size, num, den, order), "jaccard-postings")
 
     small = F.col("place") < F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)) + 1
@@ -392,12 +473,8 @@ def similar_groups(
     star = saved(
         near.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-pairs"
     )
-    met = saved(
-        star.select(F.col("a").alias("sid")).union(near.select("sid")).distinct().join(kinds, "sid"), "jaccard-met"
-    )
-    asked = texts.join(met.select("key", "sid"), "key")
-    sets = saved(sets_of(asked, size).dropDuplicates(["sid"]), "jaccard-tokens")
-    links = saved(verified(star, sets, num, den), "jaccard-links")
+    star = possible(star, kinds, num, den)
+    links = saved(verified(star, texts, kinds, size, num, den), "jaccard-links")
 
     # Tokens that still join different components: their other pairs.
     named = components(links)
@@ -421,9 +498,9 @@ def similar_groups(
     )
     other = other.select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    other = saved(other.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    other = possible(saved(other.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"), kinds, num, den)
     if other.limit(1).count():
-        links = saved(links.union(verified(other, sets, num, den)), "jaccard-links")
+        links = saved(links.union(verified(other, texts, kinds, size, num, den)), "jaccard-links")
         named = components(links)
 
     return result(rows, kinds, links, named)

@@ -3,11 +3,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafwork.llm import exact_dedup, jaccard
-from leafwork.llm.common import WordHashes, lookup
-from tests.llm.cases import documents, empty
+from leafwork.llm.common import lookup, word_hashes
+from tests.llm.cases import TEXTS, documents, empty
 
 
 def norm(t):
@@ -116,13 +117,12 @@ def test_similar_groups_with_chains_families_and_a_common_passage(spark):
 
 def test_prefixes_of_every_order_hold_a_shared_token():
     rng = np.random.default_rng(1)
-    hashes = WordHashes()
     none = jaccard.Order(None, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     for _ in range(200):
         a = rng.choice(500, int(rng.integers(4, 90)))
         b = a.copy()
         b[rng.integers(0, len(b))] = 999
-        x, y = (jaccard.shingles(" ".join(map(str, t)), 4, hashes) for t in (a, b))
+        x, y = jaccard.token_sets(pa.array([" ".join(map(str, t)) for t in (a, b)]), 4)
         both = len(np.intersect1d(x, y))
         if both and 100 * both >= 85 * (len(x) + len(y) - both):
             p, q = (none.prefix(t, jaccard.prefix_length(len(t), 85, 100)) for t in (x, y))
@@ -146,3 +146,21 @@ def test_lookup_of_a_hot_key_and_a_missing_one(spark):
     got = lookup(rows, table, "k", "n", ["id"]).collect()
     assert len(got) == 3000
     assert all(r.v == (r.k * 2 if r.k is not None and r.k < 2900 else None) for r in got)
+
+
+def test_word_hashes_tell_words_apart_and_only_words(monkeypatch):
+    from leafwork.llm import common
+
+    texts = [t or "" for t in TEXTS] + ["", "  ", "a b", "ab", "b a", "A\x0bB", "É é", "x" * 3000 + " y", ""]
+    for chunk in (1, 50, 1 << 20):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        for typed in (pa.array(texts), pa.array(["zz zz", *texts])[1:], pa.array(texts, pa.large_string())):
+            known, n = {}, 0
+            words = (h[a:b] for h, ends in word_hashes(typed) for a, b in zip(ends[:-1], ends[1:]))
+            for text, got in zip(texts, words, strict=True):
+                want = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+                assert len(got) == len(want)
+                n += 1
+                for h, w in zip(got.tolist(), want):
+                    assert known.setdefault(h, w) == w
+            assert n == len(texts) and len(set(known.values())) == len(known)

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafwork.llm import bm25, mixing, quality, toxicity, url_rules
@@ -100,8 +101,7 @@ def test_search_against_brute_force(spark, sf_dir, monkeypatch):
 def test_pruned_blocks_change_nothing():
     rng = np.random.default_rng(2)
     rows = [(k, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, 30) % 500)) for k in range(600)]
-    hashes, docs = bm25.WordHashes(), []
-    docs = [(d, *bm25.terms(t, hashes)) for d, t in rows]
+    docs = [(d, *c) for (d, _), c in zip(rows, bm25.term_counts(pa.array([t for _, t in rows])))]
     term = np.concatenate([t for _, t, _, _ in docs])
     order = np.argsort(term, kind="stable")
     found, first = np.unique(term[order], return_index=True)
