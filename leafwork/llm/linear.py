@@ -22,7 +22,7 @@ def adam(gradient, w: np.ndarray, steps: int, rate: float) -> np.ndarray:
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 400, rate: float = 0.05) -> np.ndarray:
     """Weights of a logistic regression on (possibly soft) targets."""
     total = max(weight.sum(), 1e-9)
-    return adam(lambda w: x.T @ (weight * (sigmoid(x @ w) - y)) / total + l2 * w, np.zeros(x.shape[1]), steps, rate)
+    return adam(lambda w: x.T @ (weight * (sigmoid(x @ w) - y)) / total + l2 * w, np.zeros(x.shape[1], x.dtype), steps, rate)
 
 
 def calibration(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
