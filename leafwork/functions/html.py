@@ -10,24 +10,28 @@ from pyspark.sql import functions as F
 from leafwork.functions.text import let, strip
 
 # One left-to-right pass over everything that hides text: comments, processing
-# instructions and subtrees whose text is not shown. An unclosed one runs to
-# the end of the document. Possessive quantifiers keep the matcher iterative,
+# instructions and subtrees whose text is not shown. The name of an element is
+# whole: white space, "/" or ">" follow it. An unclosed one runs to the end of the
+# document, but for rt and rp, whose end tags are optional: they last to the next
+# of them or to the end of their ruby. Possessive quantifiers keep the matcher iterative,
 # so a long document cannot exhaust the stack.
 HIDDEN_PATTERN = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(script|style|noscript|template|rt|rp)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+    r"|<(script|style|noscript|template)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\z)"
+    r"|<r[tp](?=[\s/>])[^>]*+>.*?(?:</r[tp]\s*+>|(?=<r[tp][\s/>])|(?=</?(?:ruby|rtc)[\s/>])|\z)"
 )
 # A tag, declaration or bogus comment. Quoted attribute values may hold '>'.
 TAG_PATTERN = (
     r"(?s)</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|</?[a-zA-Z][^>]*+>"
+    r"|<!(?i:doctype)(?:[^>\[\"']++|\"[^\"]*+\"|'[^']*+'|\[(?:[^\]\"']++|\"[^\"]*+\"|'[^']*+')*+\])*+>"
     r"|<[!?][^>]*+>"
 )
 # Named references need their semicolon; numeric ones may lack it.
 ENTITY_PATTERN = (
     r"&(?:#[xX][0-9a-fA-F]*+;?|#[0-9]*+;?|[a-zA-Z_:][-a-zA-Z0-9_:.]*+;)"
 )
-COMMON_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0"}
+COMMON_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0"}
 
 
 def _entity_table() -> Column:
@@ -56,11 +60,11 @@ def _decode_entity(ref: Column) -> Column:
         named = named.when(body == name, F.lit(char))
     named = named.otherwise(F.coalesce(F.try_element_at(_entity_table(), body), ref))
     # More than eight hex digits or a number beyond 2**63 stand for no character.
-    digits = F.ltrim(F.substring(body, 3, 1_000), F.lit("0"))
+    digits = F.ltrim(F.substr(body, F.lit(3)), F.lit("0"))
     hex_code = F.when(F.char_length(digits) <= 8, F.conv(digits, 16, 10).try_cast("long"))
     return (
         F.when(body.startswith("#x") | body.startswith("#X"), _code_point(hex_code))
-        .when(body.startswith("#"), _code_point(F.substring(body, 2, 1_000).try_cast("long")))
+        .when(body.startswith("#"), _code_point(F.ltrim(F.substr(body, F.lit(2)), F.lit("0")).try_cast("long")))
         .otherwise(named)
     )
 

@@ -35,24 +35,31 @@ def _allowed(extensions: list[str]) -> Column:
 
 def scan_inbox(
     files: DataFrame,
-    max_files: int = C.SCAN_MAX_FILES,
+    max_files: int | None = None,
     extensions: list[str] = C.SCAN_EXTENSIONS,
 ) -> DataFrame:
-    """The first ``max_files`` convertible keys in byte order (at least one)."""
+    """All convertible keys, or the first ``max_files`` in byte order (at least one)."""
     wanted = _listed(files).where(_allowed(extensions))
+    if max_files is None:
+        return wanted
     return wanted.orderBy("key").limit(max(max_files, 1))
 
 
 def scan_summary(
     files: DataFrame,
-    max_files: int = C.SCAN_MAX_FILES,
+    max_files: int | None = None,
     extensions: list[str] = C.SCAN_EXTENSIONS,
 ) -> DataFrame:
-    """One row: files found, and files skipped before the cap was reached.
+    """One row: files found, and files skipped (with a cap: before it was reached).
 
     The last key kept bounds what was visited; it enters as a scalar subquery,
     so skipped keys are counted in parallel without ordering them.
     """
+    if max_files is None:
+        allowed = F.coalesce(_allowed(extensions), F.lit(False))
+        return _listed(files).agg(
+            F.count_if(allowed).alias("total_found"), F.count_if(~allowed).alias("skipped")
+        )
     cap = max(max_files, 1)
     kept = scan_inbox(files, max_files, extensions)
     found = kept.agg(F.count(F.lit(1)).alias("n"))
@@ -77,13 +84,14 @@ def validate_document(
     documents: DataFrame,
     content: str = "content",
     size: Column | None = None,
-    max_mb: float = C.MAX_FILE_SIZE_MB,
+    max_mb: float | None = None,
 ) -> DataFrame:
     """Add ``valid``, ``file_size_bytes``, ``mime_type`` and ``validation_error``.
 
-    A size exactly at the limit is fine; the media type never rejects.
+    There is no size limit unless one is given; a size exactly at the limit is
+    fine; the media type never rejects.
     """
-    limit = max_bytes(max_mb)
+    limit = None if max_mb is None else max_bytes(max_mb)
     body = F.col(content)
     n = F.octet_length(body).cast("long") if size is None else size.cast("long")
     sized = documents.withColumn("file_size_bytes", F.coalesce(n, F.lit(0).cast("long")))
@@ -91,7 +99,7 @@ def validate_document(
     error = (
         F.when(body.isNull(), F.lit("File not found"))
         .when(
-            n > limit,
+            F.lit(False) if limit is None else n > limit,
             F.concat(
                 F.lit("File too large: "), n.cast("string"), F.lit(f" bytes (max {limit})")
             ),

@@ -56,7 +56,7 @@ def document_flow(
     documents: DataFrame,
     generated_at: str | Column,
     prefix: str = C.FLOW_PREFIX,
-    max_mb: float = C.MAX_FILE_SIZE_MB,
+    max_mb: float | None = None,
     enable_validation: bool = True,
     enable_analytics: bool = True,
     enable_metadata: bool = True,
@@ -154,7 +154,7 @@ class WatchRun(NamedTuple):
 def folder_watch(
     listing: DataFrame,
     documents: DataFrame,
-    max_files: int = C.SCAN_MAX_FILES,
+    max_files: int | None = None,
     output_prefix: str = C.CONVERTED_PREFIX,
     processed_prefix: str | None = C.PROCESSED_PREFIX,
     results_table: str | None = None,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +32,8 @@ def write_objects(rows: DataFrame, base_uri: str, key: str = "output_key", text:
     """One UTF-8 object per row under ``base_uri``; a receipt row per object.
 
     The receipts are lazy, the objects are written when they are evaluated.
-    An object is written beside its final name and moved there, so a task that
-    runs twice leaves one whole object. Keys must be unique (``last_writer``).
+    An object is written beside its final name, under a name of the attempt's
+    own, and moved there, so a task that runs twice leaves one whole object. Keys must be unique (``last_writer``).
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +50,10 @@ def write_objects(rows: DataFrame, base_uri: str, key: str = "output_key", text:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
                 data = (body or "").encode()
-                with store.open_output_stream(path + ".part") as out:
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
                     out.write(data)
-                store.move(path + ".part", path)
+                store.move(part, path)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64())], names=["output_key", "bytes"]

@@ -196,11 +196,9 @@ SELECT 'p' || page_id, CASE WHEN regexp_matches(lower(html), '^\s*<(!doctype htm
  THEN 'text/html' ELSE 'text/plain' END FROM pages"""
 
 # --- extraction ------------------------------------------------------------------------
-_HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)" + "".join(
-        rf"|<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)"
-        for t in ("script", "style", "noscript", "template", "rt", "rp")
-    )
+# From the rule: a hidden element starts at its whole name and lasts to its own end tag.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(
+    rf"|<{t}(?:[\s/][^>]*)?>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template")
 )
 _TAG = r"""(?s)</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"""
 
@@ -421,7 +419,7 @@ ORACLES["metadata_json"] = f"""
 SELECT job_id, CAST({_metadata('txt', _FLOW_KEY)} AS VARCHAR) AS metadata FROM j"""
 FLOW = f"""
 WITH d AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text ELSE '' END AS text FROM documents),
-v AS (SELECT *, CASE WHEN strlen(text) > {_LIMIT} THEN 'Validation failed: File too large: ' || strlen(text) || ' bytes (max {_LIMIT})'
+v AS (SELECT *, CASE
  WHEN text = '' THEN 'Validation failed: File is empty' END AS error FROM d),
 t AS (SELECT doc_id, text, {_words('text')} AS w FROM v WHERE error IS NULL),
 a AS ({_analytics('t', 'doc_id')}),
@@ -519,7 +517,7 @@ UNION ALL SELECT 'conversion.completed', job_id, '{"event":"conversion.completed
  characters_extracted || ',"pages_processed":' || pages_processed || '}' FROM batch WHERE success
 UNION ALL SELECT 'conversion.failed', job_id, '{"event":"conversion.failed","job_id":"' || job_id ||
  '","error":"' || error || '"}' FROM batch WHERE NOT success"""
-WATCH = FILES + f""", run AS (SELECT *, document_type IN ('html', 'txt', 'csv') AS ok FROM kept),
+WATCH = FILES + f""", run AS (SELECT *, document_type IN ('html', 'txt', 'csv') AS ok FROM listed WHERE allowed),
 csv AS (SELECT key, {_csv_records('text')} AS rec FROM run WHERE document_type = 'csv'),
 outcome AS (SELECT run.key, ok AS success, CASE WHEN ok THEN 'converted/' || string_split(run.key, '/')[-1] || '.txt' END AS output_key,
  CASE document_type WHEN 'txt' THEN length(text) WHEN 'html' THEN length({_html('text')})

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork import constants as C
 from leafwork.functions import text as T
 from leafwork.functions.paths import document_type_of, extension
 from leafwork.operators import analyze, extract, files, jobs, office, outcomes, outputs
@@ -75,14 +76,14 @@ def jobs_stream(spark, sf_dir):
 
 @query
 def scan_inbox(spark, sf_dir):
-    return files.scan_inbox(I.inbox(spark, sf_dir).drop("text")).select(
+    return files.scan_inbox(I.inbox(spark, sf_dir).drop("text"), C.SCAN_MAX_FILES).select(
         "key", "size_bytes", "ext", "document_type"
     )
 
 
 @query
 def scan_summary(spark, sf_dir):
-    return files.scan_summary(I.inbox(spark, sf_dir).drop("text"))
+    return files.scan_summary(I.inbox(spark, sf_dir).drop("text"), C.SCAN_MAX_FILES)
 
 
 def _stored_documents(spark: SparkSession, sf_dir: str) -> str:
@@ -674,7 +675,7 @@ def _flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def document_flow(spark, sf_dir):
-    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT, max_mb=MAX_MB)
+    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT)
     return flow.select(
         "job_id", "success", "error", "text_key", "metadata_key", "metadata", "total_chars",
         "pages_processed", "language_hint",
@@ -683,7 +684,7 @@ def document_flow(spark, sf_dir):
 
 @query
 def flow_completed_events(spark, sf_dir):
-    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT, max_mb=MAX_MB)
+    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT)
     return outputs.flow_completed_events(flow.where(F.col("success")))
 
 

@@ -94,7 +94,7 @@ def test_infer_doc_type(rows):
 
 def test_default_scan_keeps_only_allowed_extensions(rows):
     listing = rows("key string", *[(k[0],) for k in KEYS], ("inbox/sub/",))
-    kept = [r["key"] for r in files.scan_inbox(listing).collect()]
+    kept = sorted(r["key"] for r in files.scan_inbox(listing).collect())
     assert kept == ["inbox/..f.txt", "inbox/a.PDF"]
     assert files.scan_summary(listing).first() == (2, 7)
 
@@ -373,3 +373,28 @@ def test_events_follow_their_targets(rows):
     assert [r["event"] for r in only.collect()] == ["conversion.completed"]
     with pytest.raises(ValueError):
         outputs.lifecycle_events(made, done, False, False, False)
+
+
+def test_html_hidden_elements_end_where_they_should(rows):
+    from leafwork.functions.html import html_text
+
+    cases = {
+        "<p>a</p><template-card>b</template-card><p>c</p>": "a\nb\nc",
+        "<style-guide>q</style-guide><p>c</p>": "q\nc",
+        "<ruby>x<rt>y</ruby><p>rest</p>": "x\nrest",
+        "<ruby>x<rp>(<rt>y<rp>)</ruby>z": "x\nz",
+        "<p>a<script>1</script >b<template/>c</template>d": "a\nb\nd",
+        "don&apos;t": "don't",
+        "<!DOCTYPE html [<!ENTITY x 'b>c'>]>text": "text",
+        "<!DOCTYPE html SYSTEM 'b>c'>text": "text",
+        "&#" + "0" * 2000 + "65;&#x" + "0" * 2000 + "42;": "AB",
+    }
+    got = {r.h: r.t for r in rows("h string", *[(h,) for h in cases]).select("h", html_text(F.col("h")).alias("t")).collect()}
+    assert got == cases
+
+
+def test_scans_and_flows_have_no_cap_unless_given(rows):
+    listing = rows("key string", *[(f"in/{k:04d}.txt",) for k in range(250)], ("in/x.zip",))
+    assert files.scan_inbox(listing).count() == 250
+    assert files.scan_summary(listing).first() == (250, 1)
+    assert files.scan_inbox(listing, 100).count() == 100
