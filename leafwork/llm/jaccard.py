@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from leafwork.llm.common import lookup, mixed, partitions, saved, word_hashes
 
 #: Tokens below this part of the hash range are counted; prefixes lie there unless most
-#: of a document's tokens are frequent ones.
-COUNTED = 0.3
+#: of a document's tokens are frequent ones. As that is common in small sets, which hold
+#: few of all tokens, all tokens of sets up to SMALL are counted.
+COUNTED, SMALL = 0.3, 256
 #: From so many documents on a token counts as frequent.
 FREQUENT = 48
 #: At most so many frequent tokens are told to the tasks (the most frequent), 16 bytes each.
@@ -39,6 +40,8 @@ CELLS = 256
 MARGIN = 8
 #: Further random orders that a candidate pair has to pass.
 ORDERS = 2
+#: Turns of further leaders, while the pairs left are over so many times their postings.
+TURNS, FEW_PAIRS = 2, 256
 #: Marks, a bit each, of the texts that take part in comparisons.
 KEY_MARKS = 22
 #: A leader with d partners has about sqrt(d) / ROOT_GROUPS groups of them.
@@ -161,7 +164,8 @@ def first_pass(docs: DataFrame, size: int, slice_bits: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sid)
-                tokens = tokens[: np.searchsorted(tokens, most)]
+                if len(tokens) > SMALL:
+                    tokens = tokens[: np.searchsorted(tokens, most)]
                 held.append(tokens)
                 n_held += len(tokens)
                 if n_held >= COUNT_TOKENS:
@@ -433,6 +437,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def open_postings(near: DataFrame, named: DataFrame) -> DataFrame:
+    """The postings, with components, of tokens whose documents are of several components."""
+    labelled = near.join(named.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
+        "component", F.coalesce("component", "sid")
+    )
+    labelled = saved(labelled.select("token", "sid", "n", "place", "component"), "jaccard-labelled")
+    ends = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return saved(labelled.join(ends.select("token"), "token", "left_semi").distinct(), "jaccard-rest")
+
+
 def similar_groups(
     docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -473,18 +487,29 @@ def similar_groups(
     star = saved(
         near.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-pairs"
     )
-    star = possible(star, kinds, num, den)
-    links = saved(verified(star, texts, kinds, size, num, den), "jaccard-links")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = saved(verified(possible(star, kinds, num, den), texts, kinds, size, num, den), "jaccard-links")
 
-    # Tokens that still join different components: their other pairs.
+    # Tokens that still join different components: their other pairs. Where those would be
+    # many, further leaders, drawn at random, join most of them first.
     named = components(links)
-    labelled = near.join(named.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
-        "component", F.coalesce("component", "sid")
-    )
-    labelled = saved(labelled, "jaccard-labelled")
-    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rest = labelled.join(open_tokens.select("token"), "token", "left_semi")
-    rest = saved(rest.select("token", "sid", "n", "place", "component").distinct(), "jaccard-rest")
+    rest = open_postings(near, named)
+    for turn in range(1, TURNS + 1):
+        held = rest.groupBy("token").agg(F.count("*").alias("held"), F.count_if(small).alias("heads"))
+        rows_left, pairs_left = held.agg(F.sum("held"), F.sum(F.col("held") * F.col("heads"))).first()
+        if not rows_left or pairs_left <= FEW_PAIRS * rows_left:
+            break
+        drawn = F.struct(F.xxhash64("sid", F.lit(turn)).alias("draw"), "sid", "component")
+        leaders = rest.groupBy("token").agg(F.min(F.when(small, drawn)).alias("leader"), F.count("*").alias("held"))
+        met = lookup(rest, saved(leaders.where("leader IS NOT NULL"), "jaccard-heads"), "token", "held", ["sid"])
+        met = met.where("leader IS NOT NULL AND component <> leader.component").select(
+            F.least("sid", "leader.sid").alias("a"), F.greatest("sid", "leader.sid").alias("b")
+        )
+        met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = saved(links.union(verified(possible(met, kinds, num, den), texts, kinds, size, num, den)), "jaccard-links")
+        tried = tried.union(met)
+        named = components(links)
+        rest = open_postings(near, named)
     a = rest.where(small).select("token", *[F.col(c).alias(f"a_{c}") for c in ("sid", "n", "place", "component")])
     b = rest.select("token", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "place", "component")])
     need = F.ceil(num * (F.col("a_n") + F.col("b_n")) / (num + den))
@@ -497,7 +522,6 @@ def similar_groups(
         & (reach >= need)
     )
     other = other.select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     other = possible(saved(other.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"), kinds, num, den)
     if other.limit(1).count():
         links = saved(links.union(verified(other, texts, kinds, size, num, den)), "jaccard-links")
