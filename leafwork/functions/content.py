@@ -30,12 +30,15 @@ WINDOWS_1252_HIGH = (
     "\ufffd\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\ufffd\u017e\u0178"
 )
 HTML_START_PATTERN = r"(?i)\A\s*<(?:!doctype html|html|head|title|body)\b"
-SNIFF_BYTES = 4096
+# What stands before a member's name in a zip archive: its own header, or its
+# entry in the directory at the end.
+ZIP_NAME_PATTERN = r"(?s)PK(?:\x03\x04.{26}|\x01\x02.{42})"
 
 
 def sniff_mime(content: Column) -> Column:
-    """Media type by leading bytes, then by whether the bytes are UTF-8."""
-    head = F.decode(F.substring(content, 1, SNIFF_BYTES), "ISO-8859-1")
+    """Media type by leading bytes, archives by the names of all their members,
+    then by whether the bytes are UTF-8."""
+    head = F.decode(content, "ISO-8859-1")
     head_hex = F.hex(F.substring(content, 1, 12))
     rule = F.when(F.octet_length(content) == 0, "inode/x-empty")
     for prefix, mime in SIGNATURES:
@@ -46,7 +49,7 @@ def sniff_mime(content: Column) -> Column:
     )
     archive = F.when(F.contains(head, F.lit(OPEN_DOCUMENT_TYPE)), OPEN_DOCUMENT_TYPE)
     for folder, mime in OFFICE_TYPES:
-        archive = archive.when(F.contains(head, F.lit(folder)), mime)
+        archive = archive.when(head.rlike(ZIP_NAME_PATTERN + folder), mime)
     rule = rule.when(
         F.startswith(head_hex, F.lit("504B0304")), archive.otherwise("application/zip")
     )

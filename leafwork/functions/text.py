@@ -167,19 +167,20 @@ def average(total: Column, parts: Column) -> Column:
     binary value demands (half to even only if that value is a tie).
 
     ``bround`` rounds the printed value, so 107/40 would become 2.68 although
-    the double lies below 2.675. The mean is split into a multiple of 2**-32
-    and a remainder; both times 100 are exact, and so is the comparison.
+    the double lies below 2.675. The mean is split into its whole part, a
+    multiple of 2**-32 and a remainder; all times 100 are exact, and so is the
+    comparison.
     """
 
     def rounded(q: Column) -> Column:
-        scaled = q * F.lit(float(2**32))
-        whole = F.floor(scaled)
-        rest = (scaled - whole) * F.lit(100.0)
-        hundredths = F.shiftright(whole * 100, 32)
-        gap = F.lit(2**31) - F.pmod(whole * 100, F.lit(2**32))
+        whole = F.floor(q)
+        scaled = (q - whole) * F.lit(float(2**32))
+        part = F.floor(scaled)
+        rest = (scaled - part) * F.lit(100.0)
+        hundredths = F.shiftright(part * 100, 32)
+        gap = F.lit(2**31) - F.pmod(part * 100, F.lit(2**32))
         up = (rest > gap) | ((rest == gap) & (hundredths % 2 == 1))
-        exact = (hundredths + F.when(up, 1).otherwise(0)) / F.lit(100.0)
-        return F.when(q < 2**20, exact).otherwise(F.bround(q, 2))
+        return (whole * 100 + hundredths + F.when(up, 1).otherwise(0)) / F.lit(100.0)
 
     return let(total / F.greatest(parts, F.lit(1)), rounded)
 

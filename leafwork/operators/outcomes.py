@@ -18,7 +18,8 @@ def best_extraction(
 
     Both inputs hold (doc_id, text, total_chars); ``standard`` also has
     document_type. Only documents that fall below the threshold take part in
-    the join; all others pass straight through without a shuffle.
+    the join; all others pass straight through without a shuffle, and enhanced
+    texts nobody asks for are filtered by id before they move.
     """
     short = (F.col("total_chars") < threshold) & F.col("document_type").isin(C.ESCALATION_TYPES)
     escalate = F.coalesce(short, F.lit(False))
@@ -31,7 +32,8 @@ def best_extraction(
         F.lit(1).cast("long").alias("attempt"),
         F.lit("standard").alias("chosen"),
     )
-    other = enhanced.select(
+    asked = standard.where(escalate).select(doc_id)
+    other = enhanced.join(asked, doc_id, "left_semi").select(
         doc_id,
         F.col("text").alias("_enhanced_text"),
         F.col("total_chars").alias("_enhanced_chars"),
@@ -55,9 +57,15 @@ def best_extraction(
     return settled.unionByName(retried)
 
 
+def _watch_key(results: DataFrame) -> str:
+    return "key" if "key" in results.columns else "job_id"
+
+
 def watch_results(files: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per converted file. Both sides carry ``job_id``."""
-    return files.select("job_id", "key").join(results, "job_id").select(
+    """One row per converted file. The sides meet on ``key``, as two keys may map to
+    one job id; on ``job_id`` only where results do not carry the key."""
+    by = _watch_key(results)
+    return files.select(*{by, "key"}).join(results.drop(*{"job_id", "key"} - {by}), by).select(
         "key", "success", "output_key", "total_chars", "error"
     )
 
@@ -65,9 +73,8 @@ def watch_results(files: DataFrame, results: DataFrame) -> DataFrame:
 def watch_summary(files: DataFrame, results: DataFrame) -> DataFrame:
     """Scanned, converted and failed; a file of unknown type counts as failed
     and so does one whose conversion left no result."""
-    outcome = files.select("job_id", "document_type").join(
-        results.select("job_id", "success"), "job_id", "left"
-    )
+    by = _watch_key(results)
+    outcome = files.select(by, "document_type").join(results.select(by, "success"), by, "left")
     converted = F.coalesce(F.col("success") & (F.col("document_type") != ""), F.lit(False))
     return outcome.agg(
         F.count(F.lit(1)).alias("total_scanned"),

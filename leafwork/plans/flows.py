@@ -165,8 +165,7 @@ def folder_watch(
     results come from one conversion: give a ``results_table`` to run it once
     and store the texts there; without it each result runs it when used.
     """
-    # Two keys may map to one job id, so files and results meet on the key.
-    found = files.scan_inbox(listing, max_files).withColumn("job_id", F.col("key"))
+    found = files.scan_inbox(listing, max_files)
     typed = found.where(F.col("document_type") != "")
     inputs = typed.select("key", "document_type").join(
         wanted_documents(documents, typed), "key", "left"
@@ -193,7 +192,7 @@ def folder_watch(
         results if processed_prefix is not None else results.where(F.lit(False)),
         processed_prefix or "",
     )
-    summary = outcomes.watch_summary(found, results.withColumnRenamed("key", "job_id"))
+    summary = outcomes.watch_summary(found, results)
     return WatchRun(results, moves, summary)
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 from leafwork import constants as C
 from leafwork.functions.paths import document_type_of, extension
+from leafwork.sources.uris import qualified, store_uri
 
+#: Bytes that one cell holds.
+LARGEST_CELL = 2**31 - 16
 BINARY_FILE_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -61,19 +64,21 @@ def extensions_of(document_types: list[str]) -> list[str]:
     return [ext for ext, kind in C.EXTENSION_TYPES.items() if kind in document_types]
 
 
-def _relative(base: str) -> Column:
-    """Path below ``base``. The scheme may come back in another spelling
-    (``file:/a`` for ``/a``), so the cut is made after the base's own path."""
-    bare = base.rstrip("/").split("://", 1)[-1]
-    bare = bare.removeprefix("file:") + "/"
-    return F.substr(F.col("path"), F.instr(F.col("path"), F.lit(bare)) + F.lit(len(bare)))
+def _relative(spark: SparkSession, base: str) -> Column:
+    """Path below ``base``, a folder: what follows its whole URI."""
+    if any(c in base for c in "*?[]{}"):
+        raise ValueError(f"a folder is wanted, not a pattern: {base}")
+    prefix = qualified(spark, base).rstrip("/") + "/"
+    return F.substr(F.col("path"), F.lit(len(prefix) + 1))
 
 
-def _binary_files(reader, base: str, extensions: list[str] | None) -> DataFrame:
+def _binary_files(
+    spark: SparkSession, reader, base: str, extensions: list[str] | None
+) -> DataFrame:
     reader = reader.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions is not None:
         reader = reader.option("pathGlobFilter", either_case_glob(extensions))
-    key = _relative(base)
+    key = _relative(spark, base)
     return reader.load(base).select(
         "path",
         key.alias("key"),
@@ -86,15 +91,29 @@ def _binary_files(reader, base: str, extensions: list[str] | None) -> DataFrame:
 
 def list_files(spark: SparkSession, base: str, extensions: list[str] | None = None) -> DataFrame:
     """Keys, sizes and times below a folder; file contents are not read."""
-    return _binary_files(spark.read, base, extensions).drop("content")
+    return _binary_files(spark, spark.read, base, extensions).drop("content")
 
 
 def read_documents(
-    spark: SparkSession, base: str, extensions: list[str] | None = None
+    spark: SparkSession,
+    base: str,
+    extensions: list[str] | None = None,
+    largest: int = LARGEST_CELL,
 ) -> DataFrame:
     """Files below a folder with their bytes. The extension list becomes a file
-    glob, so other files are never opened."""
-    return _binary_files(spark.read, base, extensions)
+    glob, so other files are never opened.
+
+    A file that does not fit a cell keeps its row, with null content and an
+    ``error``; it is not opened and fails nothing else.
+    """
+    found = _binary_files(spark, spark.read, base, extensions)
+    fits = F.col("size_bytes") <= largest
+    too_large = F.concat(
+        F.lit("File too large to read: "), F.col("size_bytes").cast("string"), F.lit(" bytes")
+    )
+    read = found.where(fits).withColumn("error", F.lit(None).cast("string"))
+    left = found.where(~fits).withColumn("content", F.lit(None).cast("binary"))
+    return read.unionByName(left.withColumn("error", too_large))
 
 
 def stream_documents(
@@ -102,7 +121,7 @@ def stream_documents(
 ) -> DataFrame:
     """Files below a folder as they appear."""
     reader = spark.readStream.schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
-    return _binary_files(reader, base, extensions)
+    return _binary_files(spark, reader, base, extensions)
 
 
 def spread_small(rows: DataFrame) -> DataFrame:
@@ -134,6 +153,7 @@ def fetch_objects(rows: DataFrame, base_uri: str, key: str = "key") -> DataFrame
     One object is in memory at a time.
     """
     at = rows.columns.index(key)
+    base_uri = store_uri(rows.sparkSession, base_uri)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

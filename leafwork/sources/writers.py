@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.sources.uris import store_uri
+
 
 def write_table(rows: DataFrame, path: str, partition_by: list[str] = (), mode: str = "append") -> None:
     """Texts, pages or metadata as a Parquet table: the form for large runs."""
@@ -35,6 +37,7 @@ def write_objects(rows: DataFrame, base_uri: str, key: str = "output_key", text:
     An object is written beside its final name, under a name of the attempt's
     own, and moved there, so a task that runs twice leaves one whole object. Keys must be unique (``last_writer``).
     """
+    base_uri = store_uri(rows.sparkSession, base_uri)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -66,7 +69,10 @@ def write_objects(rows: DataFrame, base_uri: str, key: str = "output_key", text:
 
 def move_objects(moves: DataFrame, base_uri: str) -> DataFrame:
     """Carry out (source_key, dest_key) moves; a failed one is reported, never
-    raised, and one already made (a replayed batch) counts as done."""
+    raised, and one already made (a replayed batch) counts as done. An object
+    is never moved onto another: two sources named alike keep the second where
+    it is, with an error."""
+    base_uri = store_uri(moves.sparkSession, base_uri)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -78,7 +84,9 @@ def move_objects(moves: DataFrame, base_uri: str) -> DataFrame:
                 error = None
                 try:
                     found = store.get_file_info([f"{root}/{source}", f"{root}/{dest}"])
-                    if found[0].type != fs.FileType.NotFound:
+                    if fs.FileType.NotFound not in (found[0].type, found[1].type):
+                        error = "destination exists"
+                    elif found[0].type != fs.FileType.NotFound:
                         store.create_dir(f"{root}/{dest}".rpartition("/")[0], recursive=True)
                         store.move(f"{root}/{source}", f"{root}/{dest}")
                     elif found[1].type == fs.FileType.NotFound:
@@ -98,6 +106,7 @@ def move_objects(moves: DataFrame, base_uri: str) -> DataFrame:
 
 def delete_objects(files: DataFrame, base_uri: str) -> DataFrame:
     """Delete files by ``key``; one receipt each, with the error if it failed."""
+    base_uri = store_uri(files.sparkSession, base_uri)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

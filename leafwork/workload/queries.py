@@ -106,8 +106,7 @@ def _stored_documents(spark: SparkSession, sf_dir: str) -> str:
             )
         )
     )
-    uri = base if "://" in base else f"file://{base}"
-    writers.write_objects(rows, uri).write.mode("overwrite").format("noop").save()
+    writers.write_objects(rows, base).write.mode("overwrite").format("noop").save()
     return base
 
 
@@ -132,8 +131,7 @@ def fetch_objects(spark, sf_dir):
             F.when(number % 10 == 0, "gone/").otherwise("txt/"), number.cast("string"), F.lit(".txt")
         ).alias("key"),
     )
-    uri = base if "://" in base else f"file://{base}"
-    found = readers.fetch_objects(keys, uri)
+    found = readers.fetch_objects(keys, base)
     return found.select("doc_id", "key", F.sha2("content", 256).alias("sha"))
 
 
@@ -429,6 +427,7 @@ def _watched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ok = F.expr(I.FILE_SUCCESS)
     results = listed.where(F.col("document_type") != "").select(
         "job_id",
+        "key",
         ok.alias("success"),
         F.when(ok, jobs.watch_key(F.col("key"))).alias("output_key"),
         F.when(ok, F.col("size_bytes")).otherwise(0).cast("long").alias("total_chars"),

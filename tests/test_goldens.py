@@ -1,6 +1,8 @@
 """Hand-computed results for every quirk of the semantics."""
 
 import datetime as dt
+import io
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,10 +50,14 @@ def test_language_modes(rows):
         analyze.language_hint(docs, mode="other")
 
 
+# Means beyond 2**20 follow the same rule.
+LARGE = [(2**31 - 1, 1000), (2**33 + 1, 8), (10**12 + 7, 40), (3 * 10**9 + 5, 200)]
+
+
 def test_average_rounds_half_to_even(rows):
-    df = rows("w long, l long", (1, 8), (3, 8), (1, 3), (5, 2), (4, 0), (107, 40), (749, 40), (0, 7))
+    df = rows("w long, l long", (1, 8), (3, 8), (1, 3), (5, 2), (4, 0), (107, 40), (749, 40), (0, 7), *LARGE)
     got = [r[0] for r in df.select(text.average(F.col("w"), F.col("l"))).collect()]
-    assert got == [0.12, 0.38, 0.33, 2.5, 4.0, 2.67, 18.73, 0.0]
+    assert got == [0.12, 0.38, 0.33, 2.5, 4.0, 2.67, 18.73, 0.0, *[round(w / n, 2) for w, n in LARGE]]
 
 
 def test_top_words_limit_and_null_text(rows):
@@ -312,14 +318,25 @@ def test_decode_text(rows):
     assert got == ["a\nb", "é", "café € “q”", "hé", "a\nb\n", ""]
 
 
+def zipped(*names, body=bytes(range(256)) * 40):
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        for name in names:
+            archive.writestr(name, body)
+    return made.getvalue()
+
+
 def test_sniff_mime(rows):
     known = {
         b"%PDF-1.7 x": "application/pdf", b"{\\rtf1 x": "text/rtf", b"\x89PNG\r\n\x1a\nx": "image/png",
         b"\xff\xd8\xff\xe0": "image/jpeg", b"II*\x00x": "image/tiff", b"BM123": "image/bmp",
         b"RIFF\x01\x02\x03\x04WEBPVP8": "image/webp", b"  <!DOCTYPE html><p>": "text/html",
         b"plain": "text/plain", b"\xff\x00\xfe": "application/octet-stream",
-        b"PK\x03\x04 word/document.xml": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-        b"PK\x03\x04 other": "application/zip",
+        zipped("word/document.xml"): "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+        zipped("other"): "application/zip",
+        # The names of all members count, wherever they lie; their contents do not.
+        zipped("a.bin", "xl/workbook.xml"): "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+        zipped("a.bin", body=b"word/" * 2_000): "application/zip",
     }
     out = files.sniff_mime(rows("content binary", *[(k,) for k in known]))
     assert [r["mime_type"] for r in out.collect()] == list(known.values())
@@ -337,6 +354,20 @@ def test_retention_is_strict(rows):
     assert files.retention_report(listing.where("false"), now).first() == (0, 0)
 
 
+def test_watch_results_meet_on_the_key(rows):
+    """Both keys map to one job id."""
+    listing = rows(
+        "job_id string, key string, document_type string", ("w-a-b-c", "a/b-c", "txt"), ("w-a-b-c", "a-b/c", "txt")
+    )
+    results = rows(
+        "job_id string, key string, success boolean, output_key string, total_chars long, error string",
+        ("w-a-b-c", "a/b-c", True, "o", 1, None), ("w-a-b-c", "a-b/c", False, None, 0, "bad"),
+    )
+    out = outcomes.watch_results(listing, results).orderBy("key").collect()
+    assert [(r["key"], r["success"]) for r in out] == [("a-b/c", False), ("a/b-c", True)]
+    assert outcomes.watch_summary(listing, results).first() == (2, 1, 1)
+
+
 def test_watch_summary_counts_files_without_a_result_as_failed(rows):
     listing = rows(
         "job_id string, key string, document_type string",

@@ -3,11 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from leafwork.operators import analyze, outcomes
 from leafwork.workload import inputs as I
+from leafwork.workload.queries import QUERIES
 
-QUERIES = entry.queries()
 ARCHIVE_QUERIES = {  # the one step with Python on executors is opening archives
     "docx_to_text", "xlsx_to_text", "pptx_to_text", "odt_to_text", "unpack_office",
     "convert_documents", "convert_batch", "conversion_with_events", "document_flow",
@@ -58,7 +57,8 @@ def test_settled_documents_skip_the_join(spark, sf_dir):
         "doc_id", F.lit("pdf").alias("document_type"), "text", F.col("n_chars").alias("total_chars")
     )
     plan = plan_of(outcomes.best_extraction(docs, docs.drop("document_type")))
-    assert plan.count("Join") == 1 and "n_chars" in plan.split("PushedFilters", 1)[1][:400]
+    # One join for the choice; before it the enhanced texts are filtered by id.
+    assert plan.count("Join") == 2 and plan.count("LeftSemi") == 1 and "n_chars" in plan.split("PushedFilters", 1)[1][:400]
 
 
 def test_small_inputs_are_spread_and_large_ones_left_alone(spark, sf_dir):

@@ -27,6 +27,34 @@ def test_list_and_read(spark, store):
     assert [(r["key"], bytes(r["content"])) for r in found] == [("in/sub/b.HTM", b"<p>b</p>")]
 
 
+def test_files_beyond_a_cell_are_error_rows(spark, store):
+    found = readers.read_documents(spark, str(store), largest=5).orderBy("key").collect()
+    assert [(r["key"], r["content"] and bytes(r["content"]), r["error"]) for r in found] == [
+        ("in/a.txt", b"alpha", None), ("in/c.zip", b"zz", None),
+        ("in/sub/b.HTM", None, "File too large to read: 8 bytes"),
+    ]
+
+
+def test_keys_are_cut_after_the_folder(spark, store):
+    inner = store / "in" / "sub" / "in"
+    inner.mkdir()
+    (inner / "d.txt").write_text("d")
+    assert {r["key"] for r in readers.list_files(spark, str(store / "in")).collect()} == {
+        "a.txt", "c.zip", "sub/b.HTM", "sub/in/d.txt",
+    }
+    with pytest.raises(ValueError):
+        readers.list_files(spark, f"{store}/i*")
+
+
+def test_moves_never_overwrite(rows, store):
+    (store / "in" / "sub" / "a.txt").write_text("other")
+    moves = rows("source_key string, dest_key string", ("in/a.txt", "done/a.txt"), ("in/sub/a.txt", "done/a.txt"))
+    out = {r["source_key"]: r["error"] for r in writers.move_objects(moves.coalesce(1), str(store)).collect()}
+    assert sorted(out.values(), key=str) == [None, "destination exists"]
+    left = [p for p in (store / "in" / "a.txt", store / "in" / "sub" / "a.txt") if p.exists()]
+    assert len(left) == 1 and {left[0].read_text(), (store / "done" / "a.txt").read_text()} == {"alpha", "other"}
+
+
 def test_fetch_reports_what_is_missing(spark, rows):
     made = rows(
         "job_id string, location_type string, s3_key string, url string, ftp_path string, error string",
