@@ -70,6 +70,7 @@ def parse_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
 
     port_given = F.map_contains_key(f, F.lit("ftp_port"))
     auth_given = F.map_contains_key(f, F.lit("auth_type"))
+    port = F.regexp_extract(value_of("ftp_port"), r"([+-]?[0-9]+)", 1).try_cast("int")
     error = (
         F.when(f.isNull(), F.lit("message is not a JSON object")).otherwise(
             F.coalesce(
@@ -83,11 +84,11 @@ def parse_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
                     & ~F.coalesce(value_of("ftp_port").rlike(INTEGER_PATTERN), F.lit(False)),
                     F.lit("ftp_port is not an integer"),
                 ),
+                F.when(port_given & port.isNull(), F.lit("ftp_port is out of range")),
                 *[not_text(name) for name in CHECKED_TEXT_FIELDS],
             )
         )
     )
-    port = F.regexp_extract(value_of("ftp_port"), r"([+-]?[0-9]+)", 1).try_cast("int")
     return (
         fields.withColumn("error", error)
         .select(

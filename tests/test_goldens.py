@@ -342,6 +342,14 @@ def test_sniff_mime(rows):
     assert [r["mime_type"] for r in out.collect()] == list(known.values())
 
 
+def test_a_port_beyond_32_bits_is_an_error(rows):
+    body = '{"document_type":"txt","location_type":"ftp","ftp_host":"h","ftp_path":"p","ftp_port":%s}'
+    out = jobs.parse_jobs(rows("value string", *[(body % p,) for p in ('"99999999999"', '"2121"', "22.0", "null")]))
+    assert [r["error"] for r in out.collect()] == [
+        "ftp_port is out of range", None, None, "ftp_port is not an integer",
+    ]
+
+
 def test_retention_is_strict(rows):
     now = dt.datetime(2024, 1, 2, 12)
     old = now - dt.timedelta(hours=24)
