@@ -145,19 +145,26 @@ def concat_chunks(
     chunk_no: str = "chunk_no",
     text: str = "text",
     chunks_per_part: int = CHUNKS_PER_PART,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Chunks back to document text, with characters and chunks counted.
 
     ``pages_processed`` is the number of chunks, as every converter reports it.
+    A document without chunks has no row, unless ``documents`` lists all ids:
+    each then adds an empty piece to its part 0, which counts as no chunk.
     """
+    pieces = chunks.select(doc_id, chunk_no, text, F.lit(1).alias("_chunks"))
+    if documents is not None:
+        empty = [F.lit(0).cast("long").alias(chunk_no), F.lit("").alias(text), F.lit(0).alias("_chunks")]
+        pieces = pieces.unionByName(documents.select(doc_id, *empty))
     part = _block(chunk_no, chunks_per_part, 0)
     ordered = F.sort_array(F.collect_list(F.struct(chunk_no, text)))
     return (
-        chunks.groupBy(doc_id, part.alias("part_no"))
+        pieces.groupBy(doc_id, part.alias("part_no"))
         .agg(
             ordered.alias("pieces"),
             F.sum(F.char_length(text)).cast("long").alias("total_chars"),
-            F.count(F.lit(1)).alias("pages_processed"),
+            F.sum("_chunks").alias("pages_processed"),
         )
         .select(
             doc_id,

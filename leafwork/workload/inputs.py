@@ -30,6 +30,16 @@ MESSAGE = f"""CASE page_id % 10
  ELSE '{{"job_id":"m' || {_ID} || '","document_type":"html","location_type":"url","url":"' || url || '","auth_type":"bearer","auth_token":"t0ken"}}'
  END"""
 
+# --- pages as messages of one job, of several, of none, and a broken one --------
+_JOB = "'{{\"job_id\":\"{0}' || " + _ID + " || '\",\"document_type\":\"html\",\"location_type\":\"url\",\"url\":\"' || url || '\"}}'"
+_JOBS = [_JOB.format(n) for n in "abc"]
+BATCH_MESSAGE = f"""CASE page_id % 50
+ WHEN 0 THEN '[]'
+ WHEN 1 THEN '[' || {_JOBS[0]} || ','
+ WHEN 2 THEN {_JOBS[0]}
+ WHEN 3 THEN '[' || {_JOBS[0]} || ']'
+ ELSE '[' || {_JOBS[0]} || ',' || {_JOBS[1]} || ',' || {_JOBS[2]} || ']' END"""
+
 # --- documents as files in an inbox ------------------------------------------
 FILE_KEY = """'inbox/' || source || '/' || CAST(doc_id AS STRING) || CASE doc_id % 12
  WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' WHEN 2 THEN '.HTML' WHEN 3 THEN '.docx' WHEN 4 THEN '.zip'

@@ -161,6 +161,30 @@ ORACLES["key_collisions"] = FILES + """
 SELECT output_key, count(*) AS writers FROM (
  SELECT 'converted/' || string_split(regexp_replace(key, '[0-9]+', 'n', 'g'), '/')[-1] || '.txt' AS output_key FROM files)
 GROUP BY output_key HAVING count(*) > 1"""
+ORACLES["key_suffix"] = FILES + """
+SELECT doc_id, key, CASE WHEN contains(key, '.') THEN '.' || string_split(key, '.')[-1] ELSE '' END AS suffix FROM files"""
+ORACLES["expand_jobs"] = f"""
+WITH m AS (SELECT page_id, {I.BATCH_MESSAGE} AS value FROM pages),
+v AS (SELECT *, CASE WHEN json_valid(value) THEN value ELSE 'null' END AS j FROM m),
+x AS (SELECT page_id, unnest(CASE WHEN json_type(j) <> 'ARRAY' THEN [value] WHEN json_array_length(j) = 0 THEN [NULL]
+ ELSE CAST(json_extract(j, '$[*]') AS VARCHAR[]) END) AS value FROM v),
+y AS (SELECT *, CASE WHEN value IS NOT NULL AND json_valid(value) THEN value ELSE 'null' END AS k FROM x)
+SELECT page_id, coalesce(nullif(json_extract_string(k, '$.job_id'), ''), substr(sha256(value), 1, 12)) AS job_id,
+ json_extract_string(k, '$.document_type') AS document_type, json_extract_string(k, '$.location_type') AS location_type,
+ json_extract_string(k, '$.url') AS url,
+ CASE WHEN json_type(k) <> 'OBJECT' THEN 'message is not a JSON object' END AS error FROM y"""
+ORACLES["last_writer"] = FILES + """
+SELECT output_key, doc_id, sha FROM (
+ SELECT 'converted/' || string_split(regexp_replace(key, '[0-9]+', 'n', 'g'), '/')[-1] || '.txt' AS output_key,
+  doc_id, sha256(text) AS sha FROM files)
+QUALIFY rank() OVER (PARTITION BY output_key ORDER BY doc_id DESC) = 1"""
+ORACLES["move_objects"] = """
+SELECT CASE WHEN doc_id % 10 = 0 THEN 'gone/' ELSE 'txt/' END || doc_id || '.txt' AS source_key,
+ 'processed/' || doc_id || '.txt' AS dest_key, CASE WHEN doc_id % 10 = 0 THEN 'source not found' END AS error
+FROM documents"""
+ORACLES["delete_objects"] = """
+SELECT 'txt/' || doc_id || '.txt' AS key, doc_id % 3 <> 0 AS deleted, CAST(NULL AS VARCHAR) AS error FROM documents
+UNION ALL SELECT 'web/' || page_id || '.HTML', false, NULL FROM pages"""
 ORACLES["watch_results"] = FILES + f"""
 SELECT key, success, CASE WHEN success THEN 'converted/' || {_BASE} || '.txt' END AS output_key,
  CASE WHEN success THEN size_bytes ELSE 0 END AS total_chars,
@@ -267,10 +291,10 @@ ORACLES["chunk_text"] = (
 )
 ORACLES["concat_chunks"] = """
 SELECT doc_id, CAST(0 AS BIGINT) AS part_no, length(text) AS total_chars,
- CAST(ceil(length(text) / 1000) AS BIGINT) AS pages_processed, text FROM documents WHERE text <> ''"""
+ CAST(ceil(length(text) / 1000) AS BIGINT) AS pages_processed, text FROM documents"""
 ORACLES["document_totals"] = """
 SELECT doc_id, length(text) AS total_chars, CAST(ceil(length(text) / 1000) AS BIGINT) AS pages_processed
-FROM documents WHERE text <> ''"""
+FROM documents"""
 # Only the last part of a text without a final line break is not ended by one.
 ORACLES["line_parts"] = f"""
 SELECT doc_id, length(text) AS total_chars,
@@ -491,6 +515,7 @@ SELECT user_id AS job_id, status, event_type AS step FROM runs
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLES["latest_status"] = _LATEST
 ORACLES["latest_status_stream"] = _LATEST
+ORACLES["dedupe_stream"] = "SELECT DISTINCT user_id AS job_id FROM events"
 ORACLES["dedupe_jobs"] = """
 SELECT 'job-' || user_id AS job_id, event_type, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""

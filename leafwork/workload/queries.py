@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork import constants as C
 from leafwork.functions import text as T
+from leafwork.functions import paths
 from leafwork.functions.paths import document_type_of, extension
 from leafwork.operators import analyze, extract, files, jobs, office, outcomes, outputs
 from leafwork.plans import flows
@@ -145,6 +146,21 @@ def url_extension(spark, sf_dir):
     return files.url_extension(I.table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+@query
+def key_suffix(spark, sf_dir):
+    """What follows the last dot of an object key, folders included."""
+    keys = I.inbox(spark, sf_dir).select("doc_id", "key")
+    return keys.withColumn("suffix", paths.key_suffix(F.col("key")))
+
+
+@query
+def expand_jobs(spark, sf_dir):
+    """Messages that hold one job or an array of jobs, one row per job."""
+    batches = I.table(spark, sf_dir, "pages").select("page_id", F.expr(I.BATCH_MESSAGE).alias("value"))
+    parsed = jobs.parse_jobs(jobs.expand_batches(batches))
+    return parsed.select("page_id", "job_id", "document_type", "location_type", "url", "error")
+
+
 # --- sinks ---------------------------------------------------------------------
 
 
@@ -163,6 +179,54 @@ def key_collisions(spark, sf_dir):
     return jobs.key_collisions(found)
 
 
+@query
+def last_writer(spark, sf_dir):
+    """Of the files that share an output key, the one with the highest id."""
+    found = I.inbox(spark, sf_dir).select(
+        jobs.watch_key(F.regexp_replace("key", "[0-9]+", "n")).alias("output_key"), "doc_id", "text"
+    )
+    last = writers.last_writer(found, "output_key", "doc_id")
+    return last.select("output_key", "doc_id", F.sha2(_utf8(F.col("text")), 256).alias("sha"))
+
+
+def _receipts(spark: SparkSession, receipts: DataFrame) -> DataFrame:
+    """Carried out once, by writing the receipts."""
+    folder = new_folder(spark, "receipts")
+    writers.write_table(receipts, folder)
+    return spark.read.schema(receipts.schema).parquet(folder)
+
+
+@query
+def move_objects(spark, sf_dir):
+    """Stored documents moved to the archive; every tenth is not where it should be."""
+    base = _stored_documents(spark, sf_dir)
+    number = F.col("doc_id")
+    source = F.concat(
+        F.when(number % 10 == 0, "gone/").otherwise("txt/"), number.cast("string"), F.lit(".txt")
+    )
+    moves = _documents(spark, sf_dir).select(
+        source.alias("source_key"), jobs.archive_key(source).alias("dest_key")
+    )
+    return _receipts(spark, writers.move_objects(moves, base))
+
+
+@query
+def delete_objects(spark, sf_dir):
+    """Stored documents deleted, then what is left in the store."""
+    base = _stored_documents(spark, sf_dir)
+    number = F.col("doc_id")
+    done = _receipts(spark, writers.delete_objects(
+        _documents(spark, sf_dir).where(number % 3 != 0).select(
+            F.concat(F.lit("txt/"), number.cast("string"), F.lit(".txt")).alias("key")
+        ),
+        base,
+    ))
+    left = readers.read_documents(spark, base, readers.extensions_of(["txt", "html"]))
+    return done.select("key", F.lit(True).alias("deleted"), "error").unionByName(
+        left.select("key", F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("error"))
+    )
+
+
 @query
 def write_text(spark, sf_dir):
     """Texts written as a table split by type, then read back."""
@@ -376,16 +440,17 @@ def batch_rows(spark, sf_dir):
 
 @query
 def concat_chunks(spark, sf_dir):
-    chunks = extract.chunk_text(_documents(spark, sf_dir), size=CHUNK)
-    return extract.concat_chunks(chunks).select(
+    docs = _documents(spark, sf_dir)
+    return extract.concat_chunks(extract.chunk_text(docs, size=CHUNK), documents=docs).select(
         "doc_id", "part_no", "total_chars", "pages_processed", "text"
     )
 
 
 @query
 def document_totals(spark, sf_dir):
-    chunks = extract.chunk_text(_documents(spark, sf_dir), size=CHUNK)
-    return extract.document_totals(extract.concat_chunks(chunks, chunks_per_part=4))
+    docs = _documents(spark, sf_dir)
+    chunks = extract.chunk_text(docs, size=CHUNK)
+    return extract.document_totals(extract.concat_chunks(chunks, chunks_per_part=4, documents=docs))
 
 
 def _mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -635,6 +700,26 @@ def dedupe_jobs(spark, sf_dir):
     return jobs.dedupe_jobs(log, ["ts", "event_id"]).select("job_id", "event_type", "event_id")
 
 
+@query
+def dedupe_stream(spark, sf_dir):
+    """The events table read as a stream of jobs, each job id let through once."""
+    events = I.table(spark, sf_dir, "events")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    landed = new_folder(spark, "first-jobs")
+    log = I.status_log(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    first = streams.dedupe_stream(log, "ts", within="3650 days").select("job_id")
+    (
+        first.writeStream.format("parquet").trigger(availableNow=True)
+        .option("checkpointLocation", new_folder(spark, "first-jobs-log"))
+        .start(landed).awaitTermination()
+    )
+    return spark.read.schema(first.schema).parquet(landed)
+
+
 # --- end to end -------------------------------------------------------------------------------------
 
 

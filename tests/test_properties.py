@@ -128,3 +128,12 @@ def test_average_rounds_as_python_does(spark):
     frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, w long, l long")
     out = frame.select("id", text.average(F.col("w"), F.col("l")).alias("a")).orderBy("id").collect()
     assert [r["a"] for r in out] == [round(w / lines, 2) for w, lines in cases]
+
+
+def test_documents_without_text_keep_a_row(spark):
+    docs = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, None)], "id long, text string")
+    chunks = extract.chunk_text(docs, size=2)
+    parts = extract.concat_chunks(chunks, "id", chunks_per_part=2, documents=docs)
+    got = {(r.id, r.part_no): (r.text, r.total_chars, r.pages_processed) for r in parts.collect()}
+    assert got == {(1, 0): ("abcd", 4, 2), (1, 1): ("ef", 2, 1), (2, 0): ("", 0, 0), (3, 0): ("", 0, 0)}
+    assert {r.id for r in extract.concat_chunks(chunks, "id").collect()} == {1}
