@@ -56,6 +56,18 @@ ENHANCED_TEXT = (
     "CASE doc_id % 5 WHEN 0 THEN substring(text, 1, 30) WHEN 1 THEN substring(text, 1, 10) "
     "ELSE text END"
 )
+# Whole texts on both sides: what an extraction misses is blanked, never cut off, and its
+# total_chars counts what can be seen.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_UNREAD = f"translate(text, '{_LETTERS}.,', '{' ' * 54}')"
+STANDARD_WHOLE = f"CASE WHEN doc_id % 3 = 0 THEN {_UNREAD} ELSE text END"
+ENHANCED_WHOLE = f"""CASE doc_id % 5 WHEN 0 THEN {_UNREAD} WHEN 1 THEN translate(text, 'aeiou', '     ')
+ ELSE text END"""
+
+
+def visible_chars(text: str) -> str:
+    return f"CAST(length(replace(replace({text}, ' ', ''), '\n', '')) AS BIGINT)"
+
 
 # --- conversation turns as pages ----------------------------------------------
 PAGE_NATIVE = "CASE WHEN turn % 4 = 3 OR role = 'system' THEN ' ' ELSE text END"

@@ -402,6 +402,20 @@ ORACLES["best_extraction"] = EXTRACTIONS + "SELECT *, length(text) AS total_char
 ORACLES["retry_escalation"] = EXTRACTIONS + f"""
 SELECT doc_id, escalated, attempt, chosen, length(text) AS total_chars, '{I.OUTPUT_BUCKET}' AS output_bucket,
  'converted/' || doc_id || '.txt' AS output_key FROM chosen"""
+WHOLE_EXTRACTIONS = f"""
+WITH x AS (SELECT doc_id, {I.EXTRACTION_TYPE} AS document_type, {I.STANDARD_WHOLE} AS std, {I.ENHANCED_WHOLE} AS enh FROM documents),
+n AS (SELECT *, {I.visible_chars('std')} AS std_chars, {I.visible_chars('enh')} AS enh_chars FROM x),
+e AS (SELECT *, std_chars < {C.MIN_CHARS_THRESHOLD} AND document_type IN ('pdf', 'image') AS escalated FROM n),
+best AS (SELECT *, escalated AND enh_chars > std_chars AS better FROM e),
+chosen AS (SELECT doc_id, document_type, CASE WHEN better THEN enh ELSE std END AS text, escalated,
+ CAST(CASE WHEN escalated THEN 2 ELSE 1 END AS BIGINT) AS attempt,
+ CASE WHEN better THEN 'enhanced' ELSE 'standard' END AS chosen,
+ CASE WHEN better THEN enh_chars ELSE std_chars END AS total_chars FROM best)
+"""
+ORACLES["best_extraction_whole"] = WHOLE_EXTRACTIONS + "SELECT * FROM chosen"
+ORACLES["retry_escalation_whole"] = WHOLE_EXTRACTIONS + f"""
+SELECT doc_id, escalated, attempt, chosen, total_chars, '{I.OUTPUT_BUCKET}' AS output_bucket,
+ 'converted/' || doc_id || '.txt' AS output_key FROM chosen"""
 
 # --- analytics ---------------------------------------------------------------------------------
 TOKENS = f"WITH t AS (SELECT doc_id, text, {_words('text')} AS w FROM documents)"

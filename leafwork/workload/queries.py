@@ -523,6 +523,25 @@ def best_extraction(spark, sf_dir):
     return outcomes.best_extraction(*_extractions(spark, sf_dir))
 
 
+def _whole_extractions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two extractions of full length per document; see ``inputs.STANDARD_WHOLE``."""
+    docs = _documents(spark, sf_dir)
+    n_chars = F.expr(I.visible_chars("text")).alias("total_chars")
+    standard = docs.select(
+        "doc_id",
+        F.expr(I.EXTRACTION_TYPE).alias("document_type"),
+        F.expr(I.STANDARD_WHOLE).alias("text"),
+    ).select("*", n_chars)
+    enhanced = docs.select("doc_id", F.expr(I.ENHANCED_WHOLE).alias("text")).select("*", n_chars)
+    return standard, enhanced
+
+
+@query
+def best_extraction_whole(spark, sf_dir):
+    """``best_extraction`` with whole documents on both sides of the join."""
+    return outcomes.best_extraction(*_whole_extractions(spark, sf_dir))
+
+
 # --- analytics ------------------------------------------------------------------------
 
 
@@ -814,6 +833,14 @@ def retry_escalation(spark, sf_dir):
     )
 
 
+@query
+def retry_escalation_whole(spark, sf_dir):
+    """``retry_escalation`` with whole documents on both sides of the join."""
+    return flows.retry_escalation(*_whole_extractions(spark, sf_dir), I.OUTPUT_BUCKET).select(
+        "doc_id", "escalated", "attempt", "chosen", "total_chars", "output_bucket", "output_key"
+    )
+
+
 @query
 def conversion_with_events(spark, sf_dir):
     return flows.conversion_with_events(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET).select(
