@@ -384,6 +384,18 @@ every_doc AS (SELECT * FROM word
  UNION ALL SELECT 'd' || doc_id, 'rtf', NULL, 0, 'Unsupported document type: rtf' FROM documents WHERE doc_id % 5 = 2
  UNION ALL SELECT 'd' || doc_id, 'txt', NULL, 0, 'File not found' FROM documents WHERE doc_id % 5 = 4)
 SELECT doc_id, document_type, text, coalesce(length(text), 0) AS total_chars, pages_processed, error FROM every_doc"""
+ORACLES["convert_documents_whole"] = LINES + _DOCX_LINES + f""", word AS (
+ SELECT 'd' || doc_id AS doc_id, 'docx' AS document_type, string_agg(line, {NL} ORDER BY pos) || {NL} AS text,
+  count(DISTINCT chunk_no) AS pages_processed, NULL AS error FROM every WHERE doc_id % 3 = 2 GROUP BY doc_id),
+csv AS (SELECT doc_id, {_csv_records('text')} AS rec FROM documents WHERE doc_id % 3 = 1),
+html AS (SELECT page_id, {_html('html')} AS body FROM pages),
+every_doc AS (SELECT * FROM word
+ UNION ALL SELECT 'd' || doc_id, 'csv', array_to_string(rec, {NL}) || {NL}, CAST(ceil(len(rec) / 200) AS BIGINT), NULL FROM csv
+ UNION ALL SELECT 'p' || page_id, 'html', body, CAST(ceil(length(body) / {C.CHUNK_CHARS}) AS BIGINT), NULL FROM html
+ UNION ALL SELECT 'd' || doc_id, 'txt', text, CAST(ceil(length(text) / {C.CHUNK_CHARS}) AS BIGINT), NULL FROM documents WHERE doc_id % 3 = 0
+ UNION ALL SELECT 'rtf' || doc_id, 'rtf', NULL, 0, 'Unsupported document type: rtf' FROM documents WHERE doc_id % 50 = 0
+ UNION ALL SELECT 'lost' || doc_id, 'txt', NULL, 0, 'File not found' FROM documents WHERE doc_id % 50 = 1)
+SELECT doc_id, document_type, text, coalesce(length(text), 0) AS total_chars, pages_processed, error FROM every_doc"""
 ORACLES["folder_watch_stream"] = STORED + f"""
 SELECT key, 's3watch-' || replace(key, '/', '-') AS job_id, document_type, true AS success,
  'converted/' || {_BASE} || '.txt' AS output_key, length(text) AS total_chars, text
@@ -455,8 +467,11 @@ _FLOW_KEY = "'pipeline/' || job_id || '/text.txt'"
 ORACLES["metadata_json"] = f"""
 {TOKENS}, a AS ({_analytics('t', 'doc_id')}), j AS (SELECT 'doc-' || doc_id AS job_id, * FROM a)
 SELECT job_id, CAST({_metadata('txt', _FLOW_KEY)} AS VARCHAR) AS metadata FROM j"""
-FLOW = f"""
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text ELSE '' END AS text FROM documents),
+
+
+def _flow(docs: str) -> str:
+    return f"""
+WITH d AS ({docs}),
 v AS (SELECT *, CASE
  WHEN text = '' THEN 'Validation failed: File is empty' END AS error FROM d),
 t AS (SELECT doc_id, text, {_words('text')} AS w FROM v WHERE error IS NULL),
@@ -467,10 +482,18 @@ flow AS (SELECT job_id, true AS success, NULL AS error, {_FLOW_KEY} AS text_key,
  total_chars, CAST(ceil(total_chars / {C.CHUNK_CHARS}) AS BIGINT) AS pages_processed, language_hint FROM good
  UNION ALL SELECT 'doc-' || doc_id, false, error, NULL, NULL, NULL, 0, 0, 'unknown' FROM v WHERE error IS NOT NULL)
 """
-ORACLES["document_flow"] = FLOW + "SELECT * FROM flow"
-ORACLES["flow_completed_events"] = FLOW + """
+
+
+FLOW = _flow("SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text ELSE '' END AS text FROM documents")
+_FLOW_EVENTS = """
 SELECT job_id, CAST(to_json(struct_pack(job_id := job_id, status := 'completed', text_key := text_key,
  metadata_key := metadata_key, total_chars := total_chars)) AS VARCHAR) AS payload FROM flow WHERE success"""
+ORACLES["document_flow"] = FLOW + "SELECT * FROM flow"
+ORACLES["flow_completed_events"] = FLOW + _FLOW_EVENTS
+FLOW_WHOLE = _flow("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
+ UNION ALL SELECT 'empty-' || doc_id, '' FROM documents WHERE doc_id % 50 = 0""")
+ORACLES["document_flow_whole"] = FLOW_WHOLE + "SELECT * FROM flow"
+ORACLES["flow_completed_events_whole"] = FLOW_WHOLE + _FLOW_EVENTS
 MULTI = PAGES + f""", src AS (SELECT 'conv-' || doc_id AS job_id, text, pieces FROM split),
 tok AS (SELECT job_id, text, {_words('text')} AS w FROM src),
 an AS ({_analytics('tok', 'job_id')}),
@@ -535,8 +558,11 @@ SELECT 'job-' || user_id AS job_id, event_type, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""
 
 # --- end to end ---------------------------------------------------------------------------------------
-BATCH = f"""
-WITH src AS (SELECT doc_id, 'doc-' || doc_id AS job_id, text, {_csv_records('text')} AS rec, doc_id % 9 AS c FROM documents),
+
+
+def _batch(cases: str) -> str:
+    return f"""
+WITH src AS (SELECT doc_id, 'doc-' || doc_id AS job_id, text, {_csv_records('text')} AS rec, {cases}),
 conv AS (SELECT job_id, c, CASE c WHEN 1 THEN 'csv' WHEN 2 THEN 'rtf' ELSE 'txt' END AS document_type,
  CASE c WHEN 2 THEN 'Unsupported document type: rtf' WHEN 3 THEN 's3_bucket and s3_key are required for S3 location'
   WHEN 4 THEN 'Document not found: lost/in/' || doc_id || '.txt' END AS error,
@@ -547,8 +573,11 @@ batch AS (SELECT job_id, error IS NULL AS success, CASE WHEN error IS NULL THEN
  CASE WHEN error IS NULL THEN 'converted/' || job_id || '.txt' END AS output_key, error, pages_processed,
  coalesce(length(text), 0) AS characters_extracted, text, document_type FROM conv)
 """
+
+
+BATCH = _batch("doc_id % 9 AS c FROM documents")
 ORACLES["convert_batch"] = BATCH + "SELECT * EXCLUDE (document_type) FROM batch"
-ORACLES["conversion_with_events"] = BATCH + """
+_BATCH_EVENTS = """
 SELECT 'conversion.started' AS event, job_id, '{"event":"conversion.started","job_id":"' || job_id ||
  '","document_type":"' || document_type || '","location_type":"s3"}' AS payload FROM batch
 UNION ALL SELECT 'conversion.completed', job_id, '{"event":"conversion.completed","job_id":"' || job_id ||
@@ -556,6 +585,12 @@ UNION ALL SELECT 'conversion.completed', job_id, '{"event":"conversion.completed
  characters_extracted || ',"pages_processed":' || pages_processed || '}' FROM batch WHERE success
 UNION ALL SELECT 'conversion.failed', job_id, '{"event":"conversion.failed","job_id":"' || job_id ||
  '","error":"' || error || '"}' FROM batch WHERE NOT success"""
+ORACLES["conversion_with_events"] = BATCH + _BATCH_EVENTS
+BATCH_WHOLE = _batch("""c FROM (
+ SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, doc_id % 2 AS c FROM documents
+ UNION ALL SELECT 'bad-' || doc_id, text, 2 + doc_id % 50 FROM documents WHERE doc_id % 50 < 3)""")
+ORACLES["convert_batch_whole"] = BATCH_WHOLE + "SELECT * EXCLUDE (document_type) FROM batch"
+ORACLES["conversion_with_events_whole"] = BATCH_WHOLE + _BATCH_EVENTS
 WATCH = FILES + f""", run AS (SELECT *, document_type IN ('html', 'txt', 'csv') AS ok FROM listed WHERE allowed),
 csv AS (SELECT key, {_csv_records('text')} AS rec FROM run WHERE document_type = 'csv'),
 outcome AS (SELECT run.key, ok AS success, CASE WHEN ok THEN 'converted/' || string_split(run.key, '/')[-1] || '.txt' END AS output_key,

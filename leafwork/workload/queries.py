@@ -481,6 +481,38 @@ def convert_documents(spark, sf_dir):
     return convert(_mixed_documents(spark, sf_dir))
 
 
+def _whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as HTML, every document as text, CSV or DOCX; a few more rows are of an
+    unknown type or lost."""
+    number = F.col("doc_id")
+    docs = I.table(spark, sf_dir, "documents")
+    plain = docs.where(number % 3 != 2).select(
+        F.concat(F.lit("d"), number.cast("string")).alias("doc_id"),
+        F.when(number % 3 == 1, "csv").otherwise("txt").alias("document_type"),
+        _utf8(F.col("text")).alias("content"),
+    )
+    word = archives.build_archives(docs.where(number % 3 == 2), "docx").select(
+        F.concat(F.lit("d"), number.cast("string")).alias("doc_id"), "document_type", "content"
+    )
+    bad = docs.where(number % 50 < 2).select(
+        F.concat(F.when(number % 50 == 0, "rtf").otherwise("lost"), number.cast("string")).alias("doc_id"),
+        F.when(number % 50 == 0, "rtf").otherwise("txt").alias("document_type"),
+        F.when(number % 50 == 0, _utf8(F.col("text"))).alias("content"),
+    )
+    pages = I.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"),
+        F.lit("html").alias("document_type"),
+        _utf8(F.col("html")).alias("content"),
+    )
+    return plain.unionByName(word).unionByName(bad).unionByName(pages)
+
+
+@query
+def convert_documents_whole(spark, sf_dir):
+    """``convert_documents`` with every document converted."""
+    return convert(_whole_mix(spark, sf_dir))
+
+
 # --- joins ----------------------------------------------------------------------------
 
 
@@ -742,23 +774,40 @@ def dedupe_stream(spark, sf_dir):
 # --- end to end -------------------------------------------------------------------------------------
 
 
-def _stored_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A job per document and the store it points into; some jobs are bad."""
-    docs = _documents(spark, sf_dir)
-    number = F.col("doc_id")
-    key = F.concat(F.lit("in/"), number.cast("string"), F.lit(".txt"))
-    kind = F.when(number % 9 == 1, "csv").when(number % 9 == 2, "rtf").otherwise("txt")
+def _stored(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A job per row (name, case, text) and the store it points into: case 1 is CSV,
+    2 of unknown type, 3 without a bucket, 4 lost; all others are text."""
+    case, name = F.col("case"), F.col("name")
+    key = F.concat(F.lit("in/"), name, F.lit(".txt"))
+    kind = F.when(case == 1, "csv").when(case == 2, "rtf").otherwise("txt")
     body = F.to_json(
         F.struct(
-            F.concat(F.lit("doc-"), number.cast("string")).alias("job_id"),
+            F.concat(F.lit("doc-"), name).alias("job_id"),
             kind.alias("document_type"),
             F.lit("s3").alias("location_type"),
-            F.when(number % 9 != 3, "inbox").otherwise("").alias("s3_bucket"),
-            F.when(number % 9 == 4, F.concat(F.lit("lost/"), key)).otherwise(key).alias("s3_key"),
+            F.when(case != 3, "inbox").otherwise("").alias("s3_bucket"),
+            F.when(case == 4, F.concat(F.lit("lost/"), key)).otherwise(key).alias("s3_key"),
         )
     )
-    accepted = jobs.validate_jobs(jobs.parse_jobs(docs.select(body.alias("value"))))
-    return accepted, docs.select(key.alias("key"), _utf8(F.col("text")).alias("content"))
+    accepted = jobs.validate_jobs(jobs.parse_jobs(cases.select(body.alias("value"))))
+    return accepted, cases.select(key.alias("key"), _utf8(F.col("text")).alias("content"))
+
+
+def _stored_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A job per document and the store it points into; some jobs are bad."""
+    name = F.col("doc_id").cast("string").alias("name")
+    return _stored(_documents(spark, sf_dir).select(name, (F.col("doc_id") % 9).alias("case"), "text"))
+
+
+def _whole_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A good job per document; a few more jobs are bad."""
+    number = F.col("doc_id")
+    docs = _documents(spark, sf_dir)
+    bad = docs.where(number % 50 < 3).select(
+        F.concat(F.lit("bad-"), number.cast("string")).alias("name"), (2 + number % 50).alias("case"), "text"
+    )
+    good = docs.select(number.cast("string").alias("name"), (number % 2).alias("case"), "text")
+    return _stored(good.unionByName(bad))
 
 
 @query
@@ -766,6 +815,12 @@ def convert_batch(spark, sf_dir):
     return flows.convert_batch(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET)
 
 
+@query
+def convert_batch_whole(spark, sf_dir):
+    """``convert_batch`` with a good job for every document."""
+    return flows.convert_batch(*_whole_jobs(spark, sf_dir), I.OUTPUT_BUCKET)
+
+
 def _flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("job_id"),
@@ -776,21 +831,48 @@ def _flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def document_flow(spark, sf_dir):
-    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT)
+def _whole_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text; a few more are empty."""
+    docs = _documents(spark, sf_dir)
+    number = F.col("doc_id").cast("string")
+    empty = docs.where(F.col("doc_id") % 50 == 0).select(
+        F.concat(F.lit("doc-empty-"), number).alias("job_id"), F.lit("").alias("text")
+    )
+    both = docs.select(F.concat(F.lit("doc-"), number).alias("job_id"), "text").unionByName(empty)
+    return both.select("job_id", F.lit("txt").alias("document_type"), _utf8(F.col("text")).alias("content"))
+
+
+def _flow_columns(flow: DataFrame) -> DataFrame:
     return flow.select(
         "job_id", "success", "error", "text_key", "metadata_key", "metadata", "total_chars",
         "pages_processed", "language_hint",
     )
 
 
+@query
+def document_flow(spark, sf_dir):
+    return _flow_columns(flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT))
+
+
+@query
+def document_flow_whole(spark, sf_dir):
+    """``document_flow`` with no document emptied."""
+    return _flow_columns(flows.document_flow(_whole_flow(spark, sf_dir), I.GENERATED_AT))
+
+
 @query
 def flow_completed_events(spark, sf_dir):
     flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT)
     return outputs.flow_completed_events(flow.where(F.col("success")))
 
 
+@query
+def flow_completed_events_whole(spark, sf_dir):
+    """``flow_completed_events`` with no document emptied."""
+    flow = flows.document_flow(_whole_flow(spark, sf_dir), I.GENERATED_AT)
+    return outputs.flow_completed_events(flow.where(F.col("success")))
+
+
 @query
 def multi_format_output(spark, sf_dir):
     docs = _assembled(spark, sf_dir).select(
@@ -848,6 +930,14 @@ def conversion_with_events(spark, sf_dir):
     )
 
 
+@query
+def conversion_with_events_whole(spark, sf_dir):
+    """``conversion_with_events`` with a good job for every document."""
+    return flows.conversion_with_events(*_whole_jobs(spark, sf_dir), I.OUTPUT_BUCKET).select(
+        "event", "job_id", "payload"
+    )
+
+
 @query
 def maintenance(spark, sf_dir):
     return flows.maintenance(

@@ -13,3 +13,16 @@ def test_both_extractions_are_whole_and_meet_in_the_join(spark):
     retried = [r for r in best if r.escalated]
     assert {r.chosen for r in retried} == {"standard", "enhanced"}
     assert max(len(r.text) for r in retried) > 1000
+
+
+def test_every_document_is_converted(spark):
+    docs = Q._documents(spark, SMALL).collect()
+    ids = {str(r.doc_id) for r in docs}
+    converted = Q.convert_documents_whole(spark, SMALL).where("error IS NULL AND text <> ''").collect()
+    assert ids == {r.doc_id[1:] for r in converted if r.doc_id[0] == "d"}
+    batch = Q.convert_batch_whole(spark, SMALL).collect()
+    flow = Q.document_flow_whole(spark, SMALL).collect()
+    for rows in (batch, flow):
+        done = {r.job_id.removeprefix("doc-") for r in rows if r.success}
+        assert done == ids
+        assert 0 < sum(not r.success for r in rows) <= len(ids) / 10
