@@ -11,9 +11,12 @@ from __future__ import annotations
 import datetime as dt
 import io
 import re
+import tempfile
 import zipfile
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,10 +26,15 @@ from pyspark.sql import types as T
 from leafwork import constants as C
 
 OFFICE_TYPES = ["docx", "xlsx", "pptx", "odt"]
-# Text of one document has to fit one cell; members that unpack beyond this are
-# reported as an error (this also stops archive bombs).
+# Members that hold text are streamed, whatever their size: one paragraph, row or shape
+# is in memory. The small parts that say how they belong together (relations, workbook,
+# styles) are read whole; one beyond this is reported as an error.
 MAX_MEMBER_BYTES = 1024 * 1024 * 1024
 ROWS_PER_BATCH = 4_096
+# A batch of elements is sent on at so many characters, too.
+CHARS_PER_BATCH = 1 << 24
+# Shared strings beyond so many bytes go to a temporary file.
+SHARED_IN_MEMORY = 1 << 26
 
 # XML vocabularies (fixed values).
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -55,6 +63,49 @@ class _Archive:
             raise ValueError(f"archive member too large: {name}")
         return ET.fromstring(self.zip.read(name))
 
+    def starts(self, name: str, seen: Callable[[str, dict], None]) -> None:
+        """Tell ``seen`` the tag and attributes of every element; the whole member is
+        checked, so that what is streamed from it later does not break off."""
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.buffer_text = True
+        parser.StartElementHandler = lambda tag, attrs: seen("{" + tag if "}" in tag else tag, attrs)
+        with self.zip.open(name) as source:
+            parser.ParseFile(source)
+
+    def root(self, name: str) -> str | None:
+        """Tag of the root element of a member, all of which is checked."""
+        if name not in self.names:
+            return None
+        tags: list[str] = []
+        self.starts(name, lambda tag, _: tags or tags.append(tag))
+        return tags[0]
+
+    def stream(
+        self, name: str, wanted: Callable[[list[str]], bool], mark: list[str] | None = None
+    ) -> Iterator[ET.Element | None]:
+        """The outermost elements whose path of tags is ``wanted``, one held at a time;
+        None where an element of the path ``mark`` below the root starts."""
+        stack: list[ET.Element] = []
+        tags: list[str] = []
+        top = 0
+        with self.zip.open(name) as source:
+            for event, node in ET.iterparse(source, ("start", "end")):
+                if event == "start":
+                    stack.append(node)
+                    tags.append(node.tag)
+                    if not top and wanted(tags):
+                        top = len(tags)
+                    elif not top and tags[1:] == mark:
+                        yield None
+                    continue
+                if top == len(tags):
+                    yield node
+                    top = 0
+                stack.pop()
+                tags.pop()
+                if not top and stack:
+                    stack[-1].remove(node)
+
     def relations(self, part: str) -> dict[str, tuple[str, str]]:
         """Relation id -> (last word of the relation type, target member)."""
         folder, _, leaf = part.rpartition("/")
@@ -71,13 +122,11 @@ class _Archive:
             found[rel.get("Id")] = (rel.get("Type", "").rpartition("/")[2], "/".join(steps))
         return found
 
-    def main_part(self, root: str) -> tuple[str, ET.Element]:
-        """Name and content of the main part, which must be a ``root`` element."""
+    def main_part(self, root: str) -> str:
+        """Name of the main part, which must be a ``root`` element."""
         for kind, target in self.relations("").values():
-            if kind == "officeDocument":
-                main = self.xml(target)
-                if main is not None and main.tag == root:
-                    return target, main
+            if kind == "officeDocument" and self.root(target) == root:
+                return target
         raise ValueError("archive has no main part of this document type")
 
 
@@ -128,21 +177,29 @@ def _word_row(row: ET.Element, above: list[str]) -> list[str]:
 
 
 def _docx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    _, document = archive.main_part(W + "document")
-    body = document.find(W + "body")
-    seen = 0
-    for par in body.findall(W + "p"):
+    main = archive.main_part(W + "document")
+    body = [W + "body"]
+    seen, bodies = 0, 0
+    for par in archive.stream(main, lambda tags: tags[1:] == [*body, W + "p"], body):
+        if par is None:
+            bodies += 1
+            continue
         text = _word_paragraph(par).strip()
         if text:
             yield 0, seen // per_chunk, "paragraph", [text]
             seen += 1
-    for number, table in enumerate(body.findall(W + "tbl"), start=1):
-        cells: list[str] = []
-        for i, row in enumerate(table.findall(W + "tr")):
-            if i == 0:
-                yield number, seen // per_chunk, "heading", [f"{C.TABLE_MARKER} {number}]"]
-            cells = _word_row(row, cells)
-            yield number, seen // per_chunk, "row", cells
+    if not bodies:
+        raise ValueError("document has no body")
+    number, cells, fresh = 0, [], True
+    for row in archive.stream(main, lambda tags: tags[1:] == [*body, W + "tbl", W + "tr"], [*body, W + "tbl"]):
+        if row is None:
+            number, cells, fresh = number + 1, [], True
+            continue
+        if fresh:
+            yield number, seen // per_chunk, "heading", [f"{C.TABLE_MARKER} {number}]"]
+            fresh = False
+        cells = _word_row(row, cells)
+        yield number, seen // per_chunk, "row", cells
 
 
 def _column_number(ref: str) -> int:
@@ -178,7 +235,7 @@ def _excel_date(serial: float) -> str:
     return str(dt.datetime(1899, 12, 30) + dt.timedelta(milliseconds=round(day * 86_400_000)))
 
 
-def _cell_value(cell: ET.Element, shared: list[str], dated: set[int]) -> str:
+def _cell_value(cell: ET.Element, shared: _SharedStrings, dated: set[int]) -> str:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         inline = cell.find(S + "is")
@@ -202,56 +259,89 @@ def _rich_text(item: ET.Element) -> str:
     return "".join(parts)
 
 
-def _sheet_rows(source, shared: list[str], dated: set[int]) -> Iterator[list[str]]:
-    """Rows in order. The declared dimension, if any, fixes width and height;
-    rows the file leaves out come back empty."""
-    width = height = None
-    done = 0
-    for _, node in ET.iterparse(source):
-        if node.tag == S + "dimension":
-            corner = node.get("ref", "").rpartition(":")[2]
-            width = _column_number(corner) or None
+class _SharedStrings:
+    """The strings that cells refer to by number, beyond a size on disk."""
+
+    def __init__(self, archive: _Archive, member: str):
+        self.data = tempfile.SpooledTemporaryFile(max_size=SHARED_IN_MEMORY)
+        self.ends = array("Q", [0])
+        if member in archive.names:
+            for item in archive.stream(member, lambda tags: tags[1:] == [S + "si"]):
+                size = self.data.write(_rich_text(item).encode("utf-8", "surrogatepass"))
+                self.ends.append(self.ends[-1] + size)
+
+    def __getitem__(self, number: int) -> str:
+        if not 0 <= number < len(self.ends) - 1:
+            raise IndexError(f"no shared string {number}")
+        self.data.seek(self.ends[number])
+        return self.data.read(self.ends[number + 1] - self.ends[number]).decode("utf-8", "surrogatepass")
+
+
+def _extent(archive: _Archive, member: str) -> tuple[int | None, int | None]:
+    """(width, height) of a sheet that declares a dimension: the declared ones, or those
+    of its cells where these lie beyond. (None, None) where it declares none."""
+    declared: list[int | None] = []
+    row = column = width = height = 0
+
+    def seen(tag: str, attrs: dict) -> None:
+        nonlocal row, column, width, height
+        if tag == S + "dimension":
+            corner = attrs.get("ref", "").rpartition(":")[2]
             digits = corner.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz$")
-            height = int(digits) if digits.isdigit() else None
-        elif node.tag == S + "row":
-            number = int(node.get("r", done + 1))
-            if height is not None and number > height:
-                break
-            while done < number - 1:
-                done += 1
-                yield [""] * (width or 0)
-            placed, column = {}, 0
-            for cell in node.findall(S + "c"):
-                column = _column_number(cell.get("r", "")) or column + 1
-                placed[column] = _cell_value(cell, shared, dated)
-            last = width or max(placed, default=0)
-            yield [placed.get(i, "") for i in range(1, last + 1)]
-            done = number
-            node.clear()
+            declared[:] = [_column_number(corner) or None, int(digits) if digits.isdigit() else None]
+        elif tag == S + "row":
+            row, column = int(attrs.get("r", row + 1)), 0
+        elif tag == S + "c":
+            column = _column_number(attrs.get("r", "")) or column + 1
+            width, height = max(width, column), max(height, row)
+
+    archive.starts(member, seen)
+    wide, high = declared or (None, None)
+    return wide and max(wide, width), None if high is None else max(high, height)
+
+
+def _sheet_rows(
+    archive: _Archive, member: str, extent: tuple[int | None, int | None], shared: _SharedStrings, dated: set[int]
+) -> Iterator[list[str]]:
+    """Rows in order, padded to the extent, if any; rows the file leaves out come back
+    empty."""
+    width, height = extent
+    done = number = 0
+    for node in archive.stream(member, lambda tags: tags[-1] == S + "row"):
+        number = int(node.get("r", number + 1))
+        if height is not None and number > height:
+            continue  # beyond the last cell
+        while done < number - 1:
+            done += 1
+            yield [""] * (width or 0)
+        placed, column = {}, 0
+        for cell in node.findall(S + "c"):
+            column = _column_number(cell.get("r", "")) or column + 1
+            placed[column] = _cell_value(cell, shared, dated)
+        last = width or max(placed, default=0)
+        yield [placed.get(i, "") for i in range(1, last + 1)]
+        done = number
     while height is not None and done < height:
         done += 1
         yield [""] * (width or 0)
 
 
 def _xlsx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    book, workbook = archive.main_part(S + "workbook")
+    book = archive.main_part(S + "workbook")
     relations = archive.relations(book)
     targets = {kind: target for kind, target in relations.values()}
-    strings = archive.xml(targets.get("sharedStrings", ""))
-    shared = [_rich_text(si) for si in strings.findall(S + "si")] if strings is not None else []
+    shared = _SharedStrings(archive, targets.get("sharedStrings", ""))
     dated = _date_styles(archive.xml(targets.get("styles", "")))
     chunk = 0
-    sheets = workbook.find(S + "sheets")
+    sheets = archive.xml(book).find(S + "sheets")
+    members = [relations[s.get(R + "id")][1] for s in (sheets if sheets is not None else [])]
+    extents = [_extent(archive, member) for member in members]
     for number, sheet in enumerate(sheets if sheets is not None else [], start=1):
-        _, member = relations[sheet.get(R + "id")]
-        if archive.zip.getinfo(member).file_size > MAX_MEMBER_BYTES:
-            raise ValueError(f"archive member too large: {member}")
         yield number, chunk, "heading", [f"=== Sheet: {sheet.get('name')} ==="]
         lines = 1
-        with archive.zip.open(member) as source:
-            for row in _sheet_rows(source, shared, dated):
-                yield number, chunk + lines // per_chunk, "row", row
-                lines += 1
+        for row in _sheet_rows(archive, members[number - 1], extents[number - 1], shared, dated):
+            yield number, chunk + lines // per_chunk, "row", row
+            lines += 1
         chunk += -(-lines // per_chunk)
 
 
@@ -269,42 +359,55 @@ def _drawing_paragraphs(body: ET.Element | None) -> list[str]:
     return [_drawing_paragraph(p) for p in body.findall(A + "p")] if body is not None else []
 
 
-def _notes_text(notes: ET.Element | None) -> str:
-    for shape in notes.iter(P + "sp") if notes is not None else []:
+def _notes_text(archive: _Archive, member: str) -> str:
+    if member not in archive.names:
+        return ""
+    for shape in archive.stream(member, lambda tags: tags[-1] == P + "sp"):
         holder = shape.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
         if holder is not None and holder.get("type") == "body":
             return "\n".join(_drawing_paragraphs(shape.find(P + "txBody"))).strip()
     return ""
 
 
+def _slide_lines(archive: _Archive, member: str) -> Iterator[tuple[str, list[str]]]:
+    tree = [P + "cSld", P + "spTree"]
+    shapes = (P + "sp", P + "graphicFrame")
+    trees = 0
+    for shape in archive.stream(member, lambda tags: tags[1:3] == tree and len(tags) == 4 and tags[3] in shapes, tree):
+        if shape is None:
+            trees += 1
+        elif shape.tag == P + "sp":
+            for text in _drawing_paragraphs(shape.find(P + "txBody")):
+                if text.strip():
+                    yield "paragraph", [text.strip()]
+        else:
+            for row in shape.iter(A + "tr"):
+                yield "row", [
+                    "\n".join(_drawing_paragraphs(cell.find(A + "txBody"))).strip()
+                    for cell in row.findall(A + "tc")
+                ]
+    if not trees:
+        raise ValueError(f"slide has no shapes: {member}")
+    for kind, target in archive.relations(member).values():
+        if kind == "notesSlide":
+            notes = _notes_text(archive, target)
+            if notes:
+                yield "notes", [f"[NOTES] {notes}"]
+
+
 def _pptx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    deck, presentation = archive.main_part(P + "presentation")
+    deck = archive.main_part(P + "presentation")
     relations = archive.relations(deck)
-    order = presentation.find(P + "sldIdLst")
+    order = archive.xml(deck).find(P + "sldIdLst")
     for number, entry in enumerate(order if order is not None else [], start=1):
         _, member = relations[entry.get(R + "id")]
-        lines: list[tuple[str, list[str]]] = []
-        for shape in archive.xml(member).find(f"{P}cSld/{P}spTree"):
-            if shape.tag == P + "sp":
-                for text in _drawing_paragraphs(shape.find(P + "txBody")):
-                    if text.strip():
-                        lines.append(("paragraph", [text.strip()]))
-            elif shape.tag == P + "graphicFrame":
-                for row in shape.iter(A + "tr"):
-                    cells = [
-                        "\n".join(_drawing_paragraphs(cell.find(A + "txBody"))).strip()
-                        for cell in row.findall(A + "tc")
-                    ]
-                    lines.append(("row", cells))
-        for kind, target in archive.relations(member).values():
-            if kind == "notesSlide":
-                notes = _notes_text(archive.xml(target))
-                if notes:
-                    lines.append(("notes", [f"[NOTES] {notes}"]))
-        if lines:
-            yield number, number, "heading", [f"--- Slide {number} ---"]
-            for kind, cells in lines:
-                yield number, number, kind, cells
+        archive.root(member)
+        fresh = True
+        for kind, cells in _slide_lines(archive, member):
+            if fresh:
+                yield number, number, "heading", [f"--- Slide {number} ---"]
+                fresh = False
+            yield number, number, kind, cells
 
 
 def _open_text(node: ET.Element) -> str:
@@ -324,15 +427,16 @@ def _open_text(node: ET.Element) -> str:
 
 def _odt(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
     """Every paragraph anywhere; page headers and footers come first."""
+    sources = (("styles.xml", OFFICE + "master-styles"), ("content.xml", OFFICE + "body"))
+    for member, _ in sources:
+        if archive.root(member) is None and member == "content.xml":
+            raise ValueError("archive has no content.xml")
     seen = 0
-    for member, section in (("styles.xml", "master-styles"), ("content.xml", "body")):
-        root = archive.xml(member)
-        if root is None:
-            if member == "content.xml":
-                raise ValueError("archive has no content.xml")
+    for member, section in sources:
+        if member not in archive.names:
             continue
-        for holder in root.findall(OFFICE + section):
-            for par in holder.iter(TEXT + "p"):
+        for top in archive.stream(member, lambda tags: tags[-1] == TEXT + "p" and tags[1] == section):
+            for par in top.iter(TEXT + "p"):
                 text = _open_text(par).strip()
                 if text:
                     yield 0, seen // per_chunk, "paragraph", [text]
@@ -385,14 +489,15 @@ _ARROW_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.i
 def _unpack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, kinds, contents = (batch.column(i) for i in range(3))
-        picked, rows = [], []
+        picked, rows, chars = [], [], 0
         for i in range(batch.num_rows):
             for row in _elements(kinds[i].as_py(), contents[i].as_py()):
                 picked.append(i)
                 rows.append(row)
-                if len(rows) >= ROWS_PER_BATCH:
+                chars += sum(map(len, row[3] or ()))
+                if len(rows) >= ROWS_PER_BATCH or chars >= CHARS_PER_BATCH:
                     yield _element_batch(ids, kinds, picked, rows)
-                    picked, rows = [], []
+                    picked, rows, chars = [], [], 0
         if rows:
             yield _element_batch(ids, kinds, picked, rows)
 

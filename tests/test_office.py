@@ -151,3 +151,41 @@ def test_conversion_equals_the_chunks_joined(spark, sf_dir, kind):
     out = convert_documents(docs).collect()
     assert {r["doc_id"]: r["text"] for r in out} == joined
     assert {r["doc_id"]: r["pages_processed"] for r in out} == counted
+
+
+def _sheet_of(rows: str) -> bytes:
+    body = archives.xlsx({"S": [["s"]]})
+    return _patched(body, {"xl/worksheets/sheet1.xml": f"<worksheet {S}>{rows}</worksheet>"})
+
+
+def test_xlsx_cells_beyond_a_stale_dimension(spark):
+    cells = '<row r="1"><c r="A1"><v>1</v></c><c r="C1"><v>2</v></c></row><row r="3"><c><v>3</v></c></row><row r="9"/>'
+    body = _sheet_of(f'<dimension ref="A1"/><sheetData>{cells}</sheetData>')
+    assert _chunks(office.xlsx_to_text(_rows(spark, ("xlsx", body)))) == [
+        (0, 0, "=== Sheet: S ===\n1 |  | 2\n |  | \n3 |  | \n")
+    ]
+
+
+@pytest.mark.parametrize("kind", office.OFFICE_TYPES)
+def test_large_members_are_streamed(kind, monkeypatch):
+    # Relations and the like are under this size, texts over it.
+    monkeypatch.setattr(office, "MAX_MEMBER_BYTES", 3_000)
+    monkeypatch.setattr(office, "SHARED_IN_MEMORY", 3_000)
+    lines = [f"line {i} of a long text" for i in range(2_000)]
+    body = {
+        "docx": lambda: archives.docx(lines, [[[x] for x in lines]]),
+        "xlsx": lambda: archives.xlsx({"S": [[x] for x in lines]}),
+        "pptx": lambda: archives.pptx([{"paragraphs": lines, "notes": "n" * 4_000}]),
+        "odt": lambda: archives.odt(lines),
+    }[kind]()
+    rows = list(office._elements(kind, body))
+    assert [r[5] for r in rows if r[2] == "error"] == []
+    texts = [r[3][0] for r in rows if r[2] in ("paragraph", "row")]
+    assert texts == lines * (2 if kind == "docx" else 1)
+
+
+def test_a_broken_document_gives_no_part_of_its_text():
+    broken = archives.docx(["kept"] * 3)
+    xml = zipfile.ZipFile(io.BytesIO(broken)).read("word/document.xml").decode()[:-20]
+    rows = list(office._elements("docx", _patched(broken, {"word/document.xml": xml})))
+    assert [r[2] for r in rows] == ["document", "error"]
