@@ -173,8 +173,10 @@ def write_archives(
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha"))
     groups = saved(rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")), "warc-groups")
-    # Copies of one payload and id stay together, whatever the payload's group.
-    placed = lookup(rows, groups, "sha", "n", ["page_id"]).sortWithinPartitions("sha", "page_id", "url")
+    # Copies of one payload and id meet in one task, however the lookup joined; the pages of
+    # a payload that many share are dealt out by their ids.
+    found = lookup(rows, groups, "sha", "n", ["page_id"])
+    placed = found.repartition(partitions(pages.sparkSession), "sha", "page_id").sortWithinPartitions("sha", "page_id", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

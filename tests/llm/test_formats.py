@@ -183,6 +183,15 @@ def test_archives_come_back(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_repeated_rows_in_many_tasks_have_one_response(spark):
+    rows = [(7, "http://a", "<p>twice</p>", "f", "s"), (None, "z", "<p>nobody's</p>", "f", "s")] * 12
+    rows += [(k, "u", f"<p>{k}</p>", "f", "s") for k in range(100, 120)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(8)
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert len(got) == len(rows)
+    assert sorted(str(r.page_id) for r in got if r.record_type == "response" and (r.page_id or 0) < 100) == ["7", "None"]
+
+
 def test_small_payloads_are_all_responses(spark):
     got = warc.read_archives(warc.write_archives(page_rows(spark), min_bytes=100)).collect()
     assert all(r.record_type == "response" for r in got if r.payload_bytes < 100)
