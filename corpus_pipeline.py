@@ -26,10 +26,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with similar sets of five-word shingles one stays: the
-    smallest id. Rows without an id, or without words, stay."""
+    smallest id. Rows without an id, or without words, stay. Where one id stands on several
+    texts, each of them is judged for itself."""
     groups = jaccard.similar_groups(docs, size=5, num=80, den=100)
-    dropped = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = groups.where("component_id < doc_id").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    keyed = docs.withColumn("_text_key", jaccard.text_key("doc_id", "text"))
+    return keyed.join(dropped, ["doc_id", "_text_key"], "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import lookup, mixed, partitions, saved, word_hashes
@@ -447,10 +447,15 @@ def open_postings(near: DataFrame, named: DataFrame) -> DataFrame:
     return saved(labelled.join(ends.select("token"), "token", "left_semi").distinct(), "jaccard-rest")
 
 
+def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names an id's text by 64 bits, a row without an id by its text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(text_col, F.lit("")))
+
+
 def similar_groups(
     docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id, n_links.
 
     Documents link when ``den * shared >= num * union`` of their shingle sets; a document
     without words has an empty set and no link. ``component_id`` is the smallest doc_id
@@ -461,11 +466,11 @@ def similar_groups(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    # Where a set's text is found again: by a document's id, without one by its text.
-    texts = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    # Where a set's text is found again; one id may stand on several texts.
+    texts = texts.withColumn("key", text_key())
     slice_bits = min(16, max(8, (2 * partitions(spark)).bit_length()))
     first = saved(first_pass(texts, size, slice_bits), "jaccard-first")
-    rows = first.where("slice IS NULL").select("doc_id", "sid", "n")
+    rows = first.where("slice IS NULL").select("doc_id", "key", "sid", "n")
     kinds = saved(
         first.where("slice IS NULL AND sid IS NOT NULL").groupBy("sid").agg(
             F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies"),
@@ -545,6 +550,7 @@ def result(rows: DataFrame, kinds: DataFrame, links: DataFrame, named: DataFrame
     found = lookup(rows, whole, "sid", "copies", ["doc_id"])
     return found.select(
         "doc_id",
+        F.col("key").alias("text_key"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

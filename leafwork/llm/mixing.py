@@ -154,12 +154,25 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix in its order, with their own columns; a document that the
-    mix repeats comes as often. Rows without an id stay once, at the end."""
-    placed = mix(docs, **settings).select("doc_id", "block", "position").where("doc_id IS NOT NULL")
-    joined = docs.withColumn("_id", F.col("doc_id")).join(
-        placed.select(F.col("doc_id").alias("_id"), F.col("block").alias("_block"), F.col("position").alias("_position")),
-        "_id",
+    mix repeats comes as often, and k rows of one id come k times an epoch. Rows without
+    an id stay once, at the end."""
+    # Rows of one id, source and length stand for each other: each takes one place an epoch.
+    alike = ["_id", "_source", "_tokens"]
+    source = F.struct(F.col("source").alias("name"))  # null-safe key
+    names = [F.col("doc_id").alias("_id"), source.alias("_source"), F.col("tokens").alias("_tokens")]
+    turn = Window.partitionBy(*alike, "_epoch").orderBy("_start")
+    placed = (
+        mix(docs, **settings)
+        .where("doc_id IS NOT NULL")
+        .select(*names, *[F.col(c).alias(f"_{c}") for c in ("epoch", "start", "block", "position")])
+        .withColumn("_n", F.row_number().over(turn))
+        .select(*alike, "_n", "_block", "_position")
+    )
+    keyed = docs.where("doc_id IS NOT NULL").withColumns(
+        {"_id": F.col("doc_id"), "_source": source, "_tokens": tokens_of(), "_hash": F.xxhash64("text")}
     )
+    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy("_hash")))
+    joined = numbered.join(placed, [*alike, "_n"])
     rest = docs.where("doc_id IS NULL").withColumns(
         {"_block": F.lit(1 << 62).cast("long"), "_position": F.lit(0)}
     )

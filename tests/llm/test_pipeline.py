@@ -22,3 +22,15 @@ def test_stages_on_odd_rows(spark, sf_dir):
         docs = make(spark)
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = saved(stage(spark, docs, sf_dir), f"odd-{k}")
+
+
+def test_one_id_on_several_rows(spark, sf_dir):
+    a = " ".join(f"a{k}" for k in range(60))
+    rows = [(1, a, "s"), (9, a + " end", "s"), (9, "quite another text that nobody else has", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in corpus_pipeline.near_stage(spark, docs, sf_dir).collect()) == [rows[0], rows[2]]
+    # Rows alike in id, source and length, with two texts, and two more of another source.
+    many = [(5, "x y z", None)] * 3 + [(5, "u v w", None)] * 2 + [(5, "x y z", "t")] * 5 + [(k, "p q r", "t") for k in (6, 7)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, source string").repartition(3)
+    mixed = corpus_pipeline.mixing.mixed_documents(docs, entropy=0.0)
+    assert sorted(map(repr, map(tuple, mixed.collect()))) == sorted(map(repr, many))
