@@ -19,8 +19,8 @@ SITE_RULES = [
 ]
 #: Where no site rule fits, a URL with one of these tokens is blocked: token patterns.
 TOKEN_PATTERNS = ["casino", "porn", "xxx", "viagra", "torrent", "warez"]
-#: What splits a URL into tokens: ASCII characters other than letters and digits.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What splits a lowered URL into tokens: all but ASCII letters and digits, as in the edges of token rules.
+SEPARATORS = r"[^a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
 

@@ -202,6 +202,14 @@ def test_url_rules_against_plain_python(spark):
     assert url_rules.judge(pages.limit(0), rules).count() == 0
 
 
+def test_tokens_end_at_characters_beyond_ascii(spark):
+    urls = ["http://\u00fccasino.com/", "http://a.com/\u00fccasino\u00fc", "http://a.com/xcasino\u00fc", "http://m\u00fcnchen.de/x", "http://b.m\u00fcnchen.de/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_rules.site_rules(spark, [("m\u00fcnchen.de", "/", "block")]).union(url_rules.token_rules(spark, ["casino"]))
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, rules).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
 def test_rules_without_literals_and_in_any_number(spark):
     pages = spark.createDataFrame([(k, f"http://h{k}.com/p{k}") for k in range(300)], "page_id long, url string")
     many = url_rules.site_rules(spark, [(f"h{k}.com", "/", "block") for k in range(200)])
