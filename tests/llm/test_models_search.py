@@ -118,6 +118,20 @@ def test_pruned_blocks_change_nothing():
         assert [d for d, _ in shard.search(t, w, 10)] == [r[1] for r in want]
 
 
+def test_blocks_that_tie_only_when_rounded_are_searched():
+    # One term; document 0, of the third block, is under the others by less than rounding shows.
+    n = 3 * bm25.BLOCK_ROWS
+    ids = np.array([*range(1, 2 * bm25.BLOCK_ROWS + 1), 0, *range(1000, 1000 + bm25.BLOCK_ROWS - 1)], "<i8")
+    length = np.full(n, 10, "<i8")
+    length[2 * bm25.BLOCK_ROWS :] = 1_000
+    parts = dict(ids=ids, lengths=length, terms=np.array([7], np.uint64), offsets=np.array([0, n], "<i8"), places=np.arange(n, dtype="<i4"), counts=np.full(n, 1, "<i4"))
+    shard = bm25.Shard({k: v.tobytes() for k, v in parts.items()}, 10.0)
+    shard.impacts[:] = 1.0
+    shard.impacts[2 * bm25.BLOCK_ROWS :] = 1.0 - 2e-7
+    shard.most[:] = np.maximum.reduceat(shard.impacts, shard.starts[:-1])
+    assert [d for d, _ in shard.search(np.array([7], np.uint64), np.array([1.0]), 10)] == list(range(10))
+
+
 def test_search_of_odd_rows(spark):
     docs = documents(spark)
     queries = docs.selectExpr("doc_id AS query_id", "text", "'x' AS score")
