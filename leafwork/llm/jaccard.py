@@ -36,7 +36,7 @@ COUNT_TOKENS = 1 << 20
 #: Cells of the histogram over token hashes that bounds what two sets can share.
 CELLS = 256
 #: Sets are compared by 32 bits of each hash; a pair that passes by fewer tokens than this
-#: is compared by all 64 as well.
+#: is compared by all 64 as well; the margin grows with the tokens expected to agree by chance.
 MARGIN = 8
 #: Further random orders that a candidate pair has to pass.
 ORDERS = 2
@@ -358,7 +358,7 @@ def verified(
                 both = small - (~np.isin(a_set, b_set)).sum() if len(a_set) == small else small - (~np.isin(b_set, a_set)).sum()
                 both = int(both)
                 if den * both >= num * (len(a_set) + len(b_set) - both):
-                    less = both - MARGIN
+                    less = both - margin(len(a_set), len(b_set))
                     out.append((a, sid, whole or den * less >= num * (len(a_set) + len(b_set) - less)))
             cols = zip(*out) if out else ((), (), ())
             kinds_ = (pa.int64(), pa.int64(), pa.bool_())
@@ -403,6 +403,13 @@ def held_texts(texts: DataFrame, roles: DataFrame) -> DataFrame:
     return texts.select("key", "text", bit.alias("bit")).mapInArrow(run, "key long, text string")
 
 
+def margin(a: int, b: int) -> int:
+    """Matches that may be of chance between 32-bit sets of a and b elements: the expected
+    number, eight deviations of it, and MARGIN."""
+    chance = a * b / 2**32
+    return MARGIN + int(np.ceil(chance + 8 * np.sqrt(chance))) if chance >= 0.01 else MARGIN
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b): the smallest node it reaches.
 
@@ -455,11 +462,11 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def similar_groups(
     docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id, n_links.
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id, compared_links.
 
     Documents link when ``den * shared >= num * union`` of their shingle sets; a document
     without words has an empty set and no link. ``component_id`` is the smallest doc_id
-    it reaches, ``n_links`` counts compared and similar partners (a lower bound within
+    it reaches, ``compared_links`` counts compared and similar partners (a lower bound within
     groups, which are not expanded). Null texts are empty; rows without an id keep a null
     component unless they reach an id; repeated rows, ties and copies share a set and a
     component; an empty table gives no rows; other columns are not read.
@@ -541,17 +548,17 @@ def result(rows: DataFrame, kinds: DataFrame, links: DataFrame, named: DataFrame
     of_set = (
         kinds.join(named.withColumnRenamed("node", "sid"), "sid", "left")
         .withColumn("component", F.coalesce("component", "sid"))
-        .join(degree.agg(F.count("*").alias("n_links")), "sid", "left")
+        .join(degree.agg(F.count("*").alias("compared_links")), "sid", "left")
     )
-    of_set = saved(of_set.select("sid", "component", "first", "copies", "n_links"), "jaccard-of-set")
+    of_set = saved(of_set.select("sid", "component", "first", "copies", "compared_links"), "jaccard-of-set")
     firsts = of_set.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
     whole = lookup(of_set, saved(firsts, "jaccard-firsts"), "component", "sets", ["sid"])
-    whole = saved(whole.select("sid", "component_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-whole")
+    whole = saved(whole.select("sid", "component_id", "copies", F.coalesce("compared_links", F.lit(0)).alias("compared_links")), "jaccard-whole")
     found = lookup(rows, whole, "sid", "copies", ["doc_id"])
     return found.select(
         "doc_id",
         F.col("key").alias("text_key"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("compared_links", F.lit(0)).cast("long").alias("compared_links"),
     )

@@ -164,3 +164,14 @@ def test_word_hashes_tell_words_apart_and_only_words(monkeypatch):
                 for h, w in zip(got.tolist(), want):
                     assert known.setdefault(h, w) == w
             assert n == len(texts) and len(set(known.values())) == len(known)
+
+
+def test_links_are_named_for_what_they_count(spark):
+    found = jaccard.similar_groups(documents(spark))
+    assert "compared_links" in found.columns and "n_links" not in found.columns
+
+
+def test_margin_grows_with_large_sets():
+    assert jaccard.margin(1000, 1000) == jaccard.MARGIN
+    # Two million elements each: about 931 chance matches.
+    assert jaccard.margin(2_000_000, 2_000_000) > 931 + jaccard.MARGIN
