@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from leafwork.llm.licenses import PHRASES, TEMPLATES, templates_of
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '{_SPACE}'), lambda x: x <> '')"
@@ -90,10 +92,123 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM d
 """
 
+#: CRC-32 from a table of 256 entries; the cheapest edits row by row, state by state.
+REPAIR = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS name
+  FROM conversations),
+hit AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+         list_prepend(4294967295, list_transform(name, lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]))) % 20 AS fault
+  FROM named, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit),
+numbered AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last
+  FROM hurt),
+judged AS (
+  SELECT *, left(role, 1) AS initial, last = '' AS blank,
+         last <> '' AND i > min(i) OVER (PARTITION BY key, role, text) AS again,
+         lag(left(role, 1)) OVER (PARTITION BY key ORDER BY i) AS before
+  FROM numbered),
+faults AS (SELECT *, NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS cut FROM judged),
+counts AS (
+  SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY key),
+closure(p, q, more, ins) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'),
+  (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+steps(p, letter, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT key, i, p, q, 'K' AS edit, CASE WHEN cut THEN 3 ELSE 0 END AS price
+  FROM faults JOIN steps ON letter = initial WHERE NOT blank AND NOT again
+  UNION ALL SELECT key, i, p, q, 'R', CASE WHEN cut THEN 6 ELSE 3 END
+  FROM faults, steps WHERE letter <> 's' AND NOT blank AND NOT again
+  UNION ALL SELECT key, i, p, p, 'D', 4 FROM faults, (SELECT unnest(range(4)) AS p)),
+walk(key, i, state, best) AS (
+  SELECT key, CAST(0 AS BIGINT), q, {'cost': more, 'audit': ins} FROM counts, closure WHERE p = 0
+  UNION ALL
+  SELECT w.key, w.i + 1, c.q, min({'cost': w.best.cost + e.price + c.more, 'audit': w.best.audit || e.edit || c.ins})
+  FROM walk w JOIN edits e ON e.key = w.key AND e.i = w.i + 1 AND e.p = w.state JOIN closure c ON c.p = e.q
+  GROUP BY w.key, w.i, c.q),
+cheapest AS (
+  SELECT key, min(best) AS best FROM walk JOIN counts USING (key) WHERE i = n AND state IN (0, 3) GROUP BY key),
+letters AS (
+  SELECT key, unnest(string_split(best.audit, '')) AS edit, unnest(range(length(best.audit))) AS pos,
+         (length(best.audit) - length(replace(best.audit, 'D', ''))) AS gone, length(best.audit) AS total
+  FROM cheapest WHERE best.audit <> ''),
+placed AS (
+  SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER (PARTITION BY key ORDER BY pos) AS i,
+         sum(CAST(edit <> 'D' AS INT)) OVER (PARTITION BY key ORDER BY pos) - 1 - (total - gone) % 2 AS spot
+  FROM letters),
+turns AS (
+  SELECT p.key, pos, CASE WHEN edit = 'K' THEN role WHEN spot % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+  FROM placed p LEFT JOIN faults f ON f.key = p.key AND f.i = p.i WHERE edit <> 'D'),
+hashes AS (SELECT key, sha256(string_agg(line, chr(10) ORDER BY pos)) AS sha FROM turns GROUP BY key),
+ids AS (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (key) LEFT JOIN cheapest USING (key) LEFT JOIN hashes USING (key)
+"""
+
+_TERMS = "list_filter(string_split_regex(%s, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+_PHRASES = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in PHRASES.items())
+_TEMPLATES = ", ".join(
+    f"({k}, '{t.label}', {t.block // 2}, {t.needed}, {_listed(sorted(t.distinct))})" for k, t in enumerate(templates_of(TEMPLATES))
+)
+
+#: Every block against every template, by counting shared words; no filters.
+LICENSES = f"""
+WITH d AS (SELECT doc_id, {_TERMS % _LOWER} AS w FROM documents),
+phrases(label, p) AS (VALUES {_PHRASES}),
+templates(k, label, step, needed, t) AS (VALUES {_TEMPLATES}),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS pos
+  FROM d, phrases),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+shared AS (
+  SELECT doc_id, n, k, word, unnest([pos // step, pos // step - 1]) AS block
+  FROM words JOIN (SELECT k, step, unnest(t) AS word FROM templates) USING (word)),
+blocks AS (
+  SELECT doc_id, k, label, count(DISTINCT word) / len(any_value(t)) AS share
+  FROM shared JOIN templates USING (k) WHERE block = 0 OR block > 0 AND block * step + step < n
+  GROUP BY doc_id, k, label, block HAVING count(DISTINCT word) >= any_value(needed)),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT doc_id, label, 1.0 AS share FROM places UNION ALL SELECT doc_id, label, share FROM blocks) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT,
     "op3_bm25_search": SEARCH,
     "op4_ngram_join": NGRAMS,
     "op7_url_rules": URLS,
     "op9_warc": ARCHIVE,
+    "op11_conversation_repair": REPAIR,
+    "op13_license_scan": LICENSES,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import bm25, exact_dedup, jaccard, mixing, packing, quality, token_files, toxicity, url_rules, warc
+from leafwork.llm import (
+    bm25, exact_dedup, jaccard, licenses, mixing, packing, quality, repair, token_files, toxicity, url_rules, warc, whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,18 @@ def vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_examples(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), copies="copies")
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,5 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_toxicity": weak_toxicity,
     "op9_warc": warc_records,
     "op10_vector_packing": vector_packing,
+    "op11_conversation_repair": conversation_repair,
+    "op12_embedding_whitening": embedding_whitening,
+    "op13_license_scan": license_scan,
     "pipeline": pipeline,
 }
