@@ -181,10 +181,11 @@ LICENSES = f"""
 WITH d AS (SELECT doc_id, {_TERMS % _LOWER} AS w FROM documents),
 phrases(label, p) AS (VALUES {_PHRASES}),
 templates(k, label, step, needed, t) AS (VALUES {_TEMPLATES}),
-places AS (
-  SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS pos
-  FROM d, phrases),
 words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+places AS (
+  SELECT doc_id, label, pos - j AS pos
+  FROM words JOIN (SELECT label, len(p) AS size, unnest(p) AS word, unnest(range(len(p))) AS j FROM phrases) USING (word)
+  GROUP BY doc_id, label, pos - j HAVING count(*) = any_value(size)),
 shared AS (
   SELECT doc_id, n, k, word, unnest([pos // step, pos // step - 1]) AS block
   FROM words JOIN (SELECT k, step, unnest(t) AS word FROM templates) USING (word)),
