@@ -1,7 +1,8 @@
 """Token ids by the files of public tokenizers, remembered per piece of text.
 
 A text of plain characters is cut at the places where the tokenizer itself cuts, and each
-piece is encoded once per worker; any other text goes through the whole tokenizer.
+piece is encoded once per worker; any other text, and one that may hold the string of an
+added token, goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ def byte_marks() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of a text, without special tokens; their strings in a text are ordinary text."""
+    """Ids of a text as the library gives them for ``add_special_tokens=False``: nothing is
+    put around the text, a special token's string in it is that token."""
 
     def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = [t for t in added if t]
         self.model, self.keep = self.whole.model, keep
         self.size = self.whole.get_vocab_size()
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -67,8 +70,13 @@ class Encoder:
         self.young[piece] = found
         return found
 
+    def holds_added(self, text: str) -> bool:
+        """Whether an added token's string may be in the text (in any case of its letters)."""
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def ids(self, text: str) -> np.ndarray:
-        if self.cut is None or not self.plain(text):
+        if self.cut is None or not self.plain(text) or self.holds_added(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type)
         pieces = self.cut(text.lower() if self.lower else text)
         young = self.young

@@ -18,7 +18,6 @@ WORDS, BYTES = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_b
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -27,6 +26,7 @@ def test_encoder_gives_the_tokenizers_ids(spark, sf_dir, path):
     enc, want = Encoder(path, keep=50), plain(path)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     odd = ["it's  DON'T\n\n x\t y", " a", "a ", "12 345", "À_b--c!!", "a\u00a0b", "\x1c a", "\x0b\x0c", "ab\r\ncd  ", "I’m", "İı"]
+    odd += ["<|endoftext|> inside", "a<|startoftext|>b <|endoftext|>", "<|EndOfText|> x", " <|endoftext|>  <|endoftext", "<|endoftext|>"]
     for t in [*texts, *[x for x in TEXTS if x is not None], *odd]:
         assert enc.ids(t).tolist() == want(t), t[:80]
 
