@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import lookup, partitions, saved, store_of, unique_name
+from leafwork.llm.common import HOT_KEYS, SPREAD, partitions, saved, store_of, unique_name
 from leafwork.session import new_folder
 
 #: Fixed: the skippable frame of a dictionary, and the first bytes of any Zstandard frame.
@@ -139,12 +139,19 @@ def frames(read, chunk: int = 1 << 20) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def fit_dictionary(pages: DataFrame, html: str) -> bytes:
-    """A dictionary from the pages of the smallest digests; none where too few are usable."""
+def fit_dictionary(pages: DataFrame, groups: DataFrame) -> bytes:
+    """A dictionary from the pages of the smallest digests; none where too few are usable.
+
+    The digests (``groups``: sha, first_id) are chosen first, so that only the chosen pages'
+    samples travel: a number of bytes that does not depend on the input.
+    """
     import zstandard
 
-    some = pages.select(F.substring(F.coalesce(html, F.lit("")), 1, DICTIONARY_SAMPLE).alias("h"), F.sha1(html).alias("d"))
-    samples = [r.h.encode() for r in some.where("h <> ''").orderBy("d").limit(DICTIONARY_PAGES).collect()]
+    chosen = groups.where("first_id IS NOT NULL").orderBy("sha").limit(DICTIONARY_PAGES).select("sha", F.col("first_id").alias("page_id"))
+    sample = F.substring("html", 1, DICTIONARY_SAMPLE).alias("h")
+    found = pages.join(F.broadcast(chosen.withColumnRenamed("sha", "wanted")), "page_id").where(F.sha1("html") == F.col("wanted"))
+    rows = found.select("wanted", sample).where("h <> ''").groupBy("wanted").agg(F.min("h").alias("h")).orderBy("wanted")
+    samples = [r.h.encode() for r in rows.collect()]
     if len(samples) < 16:
         return b""
     try:
@@ -169,14 +176,20 @@ def write_archives(
     table writes nothing; other columns are not read.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
-    dictionary = fit_dictionary(pages, "html")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha"))
     groups = saved(rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")), "warc-groups")
-    # Copies of one payload and id meet in one task, however the lookup joined; the pages of
-    # a payload that many share are dealt out by their ids.
-    found = lookup(rows, groups, "sha", "n", ["page_id"])
-    placed = found.repartition(partitions(pages.sparkSession), "sha", "page_id").sortWithinPartitions("sha", "page_id", "url")
+    dictionary = fit_dictionary(rows.select("page_id", "html"), groups)
+    # Copies meet in one task, where the first in order is the response. Payloads that many
+    # share, under a thousand by their share of the rows, are told with their first id and
+    # dealt out by page id.
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = groups.where(F.col("n") > total / HOT_KEYS).select("sha", "first_id", F.lit(True).alias("hot"))
+    away = F.lit(1) + F.pmod(F.xxhash64("page_id"), F.lit(SPREAD)).cast("int")
+    dealt = rows.join(F.broadcast(hot), "sha", "left").withColumn("spread", F.when(F.col("hot"), away).otherwise(0))
+    placed = dealt.repartition(partitions(pages.sparkSession), "sha", "spread").sortWithinPartitions(
+        "sha", F.asc_nulls_last("page_id"), "url"
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -184,10 +197,10 @@ def write_archives(
         store, root = store_of(folder)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=True, write_content_size=True)
-        out, name, n, size, seen = None, "", 0, 0, None
+        out, name, n, size, seen, first = None, "", 0, 0, None, None
         done: list[tuple[str, int]] = []
         for batch in batches:
-            for page, url, text, sha, first in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for page, url, text, sha, first_id, told in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if out is None or size > FILE_BYTES:
                     if out:
                         out.close()
@@ -197,6 +210,8 @@ def write_archives(
                     out, n = store.open_output_stream(name), 0
                     size = out.write(dictionary_frame(dictionary)) or 0
                 payload = text.encode()
+                if seen is None or seen[0] != sha:
+                    first = first_id if told else page
                 revisit = len(payload) >= min_bytes and (page != first or seen == (sha, page))
                 seen = (sha, page)
                 frame = packer.compress(record(page, url, payload, digest_of(payload), first, revisit, date))
@@ -209,7 +224,7 @@ def write_archives(
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=["file", "records"])
 
-    columns = placed.select("page_id", "url", "html", "sha", "first_id")
+    columns = placed.select("page_id", "url", "html", "sha", "first_id", "hot")
     return saved(columns.mapInArrow(write, "file string, records long").withColumn("uri", F.lit(folder)), "warc-manifest")
 
 
