@@ -84,9 +84,18 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), let(text, rebuild)).otherwise(text)
 
 
-def html_text(html: Column) -> Column:
-    """Visible text nodes, stripped, blank ones dropped, one per line."""
-    visible = F.regexp_replace(html, HIDDEN_PATTERN, "<!>")
+def visible_html(html: Column) -> Column:
+    """What hides text - comments, subtrees that are not shown - replaced by an empty tag."""
+    return F.regexp_replace(html, HIDDEN_PATTERN, "<!>")
+
+
+def text_nodes(visible: Column) -> Column:
+    """Text nodes of visible HTML, stripped, blank ones dropped, one per line."""
     nodes = F.split(visible, TAG_PATTERN, -1)
     texts = F.transform(nodes, lambda n: strip(decode_entities(n)))
     return F.array_join(F.filter(texts, lambda n: n != ""), "\n")
+
+
+def html_text(html: Column) -> Column:
+    """Visible text nodes, stripped, blank ones dropped, one per line."""
+    return text_nodes(visible_html(html))

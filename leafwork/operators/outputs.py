@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import constants as C
@@ -10,6 +10,7 @@ from leafwork.functions import text as T
 from leafwork.operators import jobs as J
 from leafwork.operators.analyze import ANALYTICS
 from leafwork.operators.extract import explode_once
+from leafwork.operators.parts import part_pages
 
 
 def split_pages(
@@ -31,22 +32,8 @@ def split_pages(
 def split_part_pages(
     parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no", text: str = "text"
 ) -> DataFrame:
-    """``split_pages`` for documents stored in several parts (cut before a
-    page marker). Page counts per part are summed up by part, without the
-    text, and joined back on (document, part)."""
-    local = split_pages(parts.select(doc_id, part_no, text), text)
-    counts = parts.select(
-        doc_id, part_no, F.size(T.page_texts(F.col(text))).cast("long").alias("_n")
-    )
-    before = F.sum("_n").over(
-        Window.partitionBy(doc_id).orderBy(part_no).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-    )
-    offsets = counts.select(doc_id, part_no, (before - F.col("_n")).alias("_offset"))
-    return local.join(offsets, [doc_id, part_no]).select(
-        doc_id, (F.col("page_no") + F.col("_offset")).alias("page_no"), text
-    )
+    """``split_pages`` for documents stored in several parts, cut anywhere."""
+    return part_pages(parts, doc_id, part_no, text)
 
 
 def page_uris(job_id: Column, page_count: Column, bucket: Column, prefix: str = C.MULTI_PREFIX) -> Column:

@@ -40,6 +40,10 @@ BATCH_MESSAGE = f"""CASE page_id % 50
  WHEN 3 THEN '[' || {_JOBS[0]} || ']'
  ELSE '[' || {_JOBS[0]} || ',' || {_JOBS[1]} || ',' || {_JOBS[2]} || ']' END"""
 
+# --- documents as CSV: quoted cells with line breaks and doubled quotes ----------
+CSV_TEXT = """'"' || replace(replace(replace(text, ' the ', ' ""the"" '), ', ', '","'), '.' || chr(10),
+ '."' || chr(13) || chr(10) || '"') || '"'"""
+
 # --- documents as files in an inbox ------------------------------------------
 FILE_KEY = """'inbox/' || source || '/' || CAST(doc_id AS STRING) || CASE doc_id % 12
  WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' WHEN 2 THEN '.HTML' WHEN 3 THEN '.docx' WHEN 4 THEN '.zip'

@@ -202,6 +202,17 @@ WITH stored AS (
 """
 ORACLES["read_documents"] = STORED + """
 SELECT key, CAST(strlen(body) AS BIGINT) AS size_bytes, document_type, sha256(body) AS sha FROM stored"""
+ORACLES["read_parts"] = STORED + """
+SELECT key, CAST(strlen(body) AS BIGINT) AS size_bytes, document_type, greatest(1, CAST(ceil(strlen(body) / 1000) AS BIGINT)) AS parts,
+ CAST(NULL AS VARCHAR) AS error, sha256(body) AS sha FROM stored"""
+ORACLES["scan_changes"] = """
+WITH t AS (SELECT doc_id, 'txt/' || lpad(CAST(doc_id % 20 AS VARCHAR), 2, '0') || '/' || doc_id || '.txt' AS key,
+ CAST(strlen(text) AS BIGINT) AS size FROM documents),
+p AS (SELECT page_id, 'web/' || page_id || '.html' AS key, CAST(strlen(html) AS BIGINT) AS size FROM pages)
+SELECT CAST(1 AS BIGINT) AS run, key, size AS size_bytes, 'txt' AS document_type, 'new' AS change FROM t
+UNION ALL SELECT 2, key, size, 'html', 'new' FROM p WHERE page_id % 2 = 0
+UNION ALL SELECT 3, key, size, 'txt', 'gone' FROM t WHERE doc_id % 3 = 0
+UNION ALL SELECT 3, key, size + 14, 'html', 'changed' FROM p WHERE page_id % 14 = 0"""
 ORACLES["fetch_objects"] = """
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'gone/' ELSE 'txt/' END || doc_id || '.txt' AS key,
  CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS sha FROM documents"""
@@ -282,6 +293,16 @@ ORACLES["csv_to_text"] = (
     f"c AS (SELECT doc_id, {_csv_chunks('rec', 20)} AS pieces FROM r) "
     + _numbered("c", "pieces", "doc_id")
 )
+ORACLES["csv_parts_to_text"] = (
+    f"WITH d AS (SELECT doc_id, {I.CSV_TEXT} AS text FROM documents), "
+    f"r AS (SELECT doc_id, {_csv_records('text')} AS rec FROM d), "
+    f"c AS (SELECT doc_id, {_csv_chunks('rec', 20)} AS pieces FROM r) "
+    + _numbered("c", "pieces", "doc_id")
+)
+ORACLES["html_part_texts"] = (
+    f"WITH t AS (SELECT page_id, {_html('html')} AS text FROM pages) SELECT page_id, text FROM t WHERE text <> ''"
+)
+ORACLES["decode_parts"] = "SELECT doc_id, text FROM documents"
 ORACLES["decode_text"] = r"""
 SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN regexp_replace(text, '[^\x00-\x7f\x{a0}-\x{ff}]', '', 'g')
  ELSE text END AS text FROM documents"""
@@ -356,7 +377,7 @@ ORACLES["assemble_pages"] = PAGES + f"""
 SELECT doc_id, CAST(0 AS BIGINT) AS part_no, text, length(text) AS total_chars, pages_processed,
  {_IMAGES} AS images_extracted FROM docs"""
 ORACLES["split_pages"] = PAGES + "SELECT doc_id, page_no, text FROM page_texts"
-ORACLES["split_part_pages"] = ORACLES["split_pages"]
+ORACLES["split_part_pages"] = ORACLES["split_cut_pages"] = ORACLES["split_pages"]
 ORACLES["write_pages"] = PAGES + """
 SELECT 'multi/conv-' || doc_id || '/pages/conv-' || doc_id || '/page_' || lpad(CAST(page_no AS VARCHAR), 4, '0') || '.txt' AS page_key,
  page_no, text FROM page_texts"""

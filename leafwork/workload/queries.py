@@ -11,11 +11,11 @@ from leafwork import constants as C
 from leafwork.functions import text as T
 from leafwork.functions import paths
 from leafwork.functions.paths import document_type_of, extension
-from leafwork.operators import analyze, extract, files, jobs, office, outcomes, outputs
+from leafwork.operators import analyze, extract, files, jobs, office, outcomes, outputs, parts
 from leafwork.plans import flows
 from leafwork.plans.converters import convert_documents as convert
 from leafwork.session import new_folder
-from leafwork.sources import readers, writers
+from leafwork.sources import listing, ranges, readers, writers
 from leafwork.streaming import streams
 from leafwork.workload import archives
 from leafwork.workload import inputs as I
@@ -685,6 +685,90 @@ def split_part_pages(spark, sf_dir):
     return outputs.split_part_pages(parts)
 
 
+def _pieces(rows: DataFrame, size: int) -> DataFrame:
+    """Texts cut every ``size`` characters, wherever that is: (doc_id, part_no, text)."""
+    return extract.chunk_text(rows, size=size).withColumnRenamed("chunk_no", "part_no")
+
+
+@query
+def split_cut_pages(spark, sf_dir):
+    """Pages of documents cut every 150 characters, also inside markers."""
+    whole = extract.concat_chunks(_assembled(spark, sf_dir).select("doc_id", F.col("part_no").alias("chunk_no"), "text"))
+    return outputs.split_part_pages(_pieces(whole.select("doc_id", "text"), 150))
+
+
+@query
+def csv_parts_to_text(spark, sf_dir):
+    """Every document as a CSV file with quoted cells, cut every 997 characters."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.expr(I.CSV_TEXT).alias("text"))
+    return parts.csv_parts_to_text(_pieces(rows, 997), rows_per_chunk=20)
+
+
+@query
+def html_part_texts(spark, sf_dir):
+    """Every page cut every 700 characters, its text put together again."""
+    pages = I.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    texts = parts.html_part_texts(_pieces(pages, 700)).withColumnRenamed("part_no", "chunk_no")
+    return extract.concat_chunks(texts, chunks_per_part=1 << 40).select(F.col("doc_id").alias("page_id"), "text")
+
+
+@query
+def decode_parts(spark, sf_dir):
+    """UTF-8 with a mark and CRLF, UTF-16, or UTF-8 with CR, in parts of 100 bytes, cut inside
+    characters and line ends."""
+    text = F.col("text")
+    content = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), _utf8(F.replace(text, F.lit("\n"), F.lit("\r\n")))))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+        .otherwise(_utf8(F.replace(text, F.lit("\n"), F.lit("\r"))))
+    )
+    files = _documents(spark, sf_dir).select("doc_id", content.alias("content"))
+    planned = ranges.byte_ranges(files.withColumn("size_bytes", F.octet_length("content").cast("long")), 100)
+    cut = planned.withColumn("content", F.substr("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")))
+    texts = parts.decode_parts(cut).withColumnRenamed("part_no", "chunk_no")
+    return extract.concat_chunks(texts, chunks_per_part=1 << 40).select("doc_id", "text")
+
+
+@query
+def read_parts(spark, sf_dir):
+    """Stored documents and pages found by tasks and read in ranges of 1 000 bytes."""
+    found = ranges.read_parts(spark, _stored_documents(spark, sf_dir), [".txt", ".html"], part_bytes=1_000)
+    ordered = F.sort_array(F.collect_list(F.struct("part_no", "content")))
+    return found.groupBy("key", "size_bytes", "document_type").agg(
+        F.count("content").alias("parts"), F.max("error").alias("error"), ordered.alias("_parts")
+    ).select(
+        "key", "size_bytes", "document_type", "parts", "error",
+        F.sha2(F.aggregate("_parts.content", F.lit(b""), lambda a, b: F.concat(a, b)), 256).alias("sha"),
+    )
+
+
+@query
+def scan_changes(spark, sf_dir):
+    """Three runs over a store: documents, then half of the pages as well, then a third of the
+    documents gone and a seventh of the pages written anew, longer."""
+    base, manifest = new_folder(spark, "watched"), new_folder(spark, "manifest")
+    texts = _documents(spark, sf_dir).select(
+        "doc_id", F.format_string("txt/%02d/%d.txt", F.col("doc_id") % 20, F.col("doc_id")).alias("output_key"), "text"
+    )
+    pages = I.table(spark, sf_dir, "pages").select(
+        "page_id", F.format_string("web/%d.html", F.col("page_id")).alias("output_key"), F.col("html").alias("text")
+    )
+
+    def put(rows: DataFrame) -> None:
+        writers.write_objects(rows, base).write.mode("overwrite").format("noop").save()
+
+    put(texts)
+    first = listing.scan_changes(spark, base, manifest)
+    put(pages.where("page_id % 2 = 0"))
+    second = listing.scan_changes(spark, base, manifest)
+    gone = texts.where("doc_id % 3 = 0").select(F.col("output_key").alias("key"))
+    writers.delete_objects(gone, base).write.mode("overwrite").format("noop").save()
+    put(pages.where("page_id % 14 = 0").withColumn("text", F.concat("text", F.lit("<!-- again -->"))))
+    third = listing.scan_changes(spark, base, manifest)
+    runs = [r.select(F.lit(n).cast("long").alias("run"), "key", "size_bytes", "document_type", "change") for n, r in enumerate((first, second, third), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query
 def recent_jobs(spark, sf_dir):
     return outcomes.recent_jobs(I.runs(spark, sf_dir)).withColumns(
