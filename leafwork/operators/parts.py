@@ -5,17 +5,20 @@ the document. An operator that reads a whole text meets two questions at a cut:
 state does a part begin (inside a quoted cell, a comment, a page marker), and what at its
 front still belongs to the part before. Both are answered by all parts at once:
 
-* each part tells, for every state it may begin in, the state it ends in. These mappings
-  are strings, compose by ``translate`` and are composed block by block, then over the
-  blocks, so that every part learns its state (``carried_states``);
-* what each part holds before its first safe place moves to the last part before it that
-  has such a place (``realigned``). Parts then hold whole records, tags or markers, and the
-  operators for whole texts apply to each of them.
-
-Texts are shuffled by (document, part) only; blocks hold a bounded number of parts, so a
-document may have any number of them. What is never cut, one record or one element whose
-text is not shown, has to fit a cell. Part numbers need to rise, not to be dense. Mappings
-and cut texts are written to the shared folder, as several steps read them.
+* each part tells, for every state it may begin in, the state it ends in and how much of
+  its front belongs to the part before. The mappings are strings, compose by ``translate``
+  and are composed block by block, then over the blocks, so that every part learns its
+  state (``carried_states``);
+* the front of each part moves to the last part before it that is longer than its own front
+  (``aligned``). Parts then hold whole records, tags or markers, and the operators for whole
+  texts apply to each of them.
+
+All but the last step works on narrow rows, a few numbers per part, which are written to the
+shared folder. Texts move once, by (document, part), to meet the fronts that they gain, and
+not at all where the fronts are few enough to be broadcast. Blocks hold a bounded number of
+parts, so a document may have any number of them. What is never cut, one record or one
+element whose text is not shown, has to fit a cell. Ids are not null; part numbers need to
+rise, not to be dense.
 """
 
 from __future__ import annotations
@@ -111,44 +114,50 @@ def running(
     return both.select(*rows.columns, combined.alias(name))
 
 
-def realigned(
-    parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no", text: str = "text", head: str = "head"
+def aligned(
+    parts: DataFrame,
+    states: str,
+    step: Column,
+    fronts: list[Column],
+    doc_id: str = "doc_id",
+    part_no: str = "part_no",
+    text: str = "text",
 ) -> DataFrame:
-    """Parts cut anew: the first ``head`` characters (bytes, if that is what parts are made of)
-    of each go to the last earlier part that is longer than its own head, or to a part of
-    their own at the front if there is none. Parts of which nothing is left have no row."""
+    """Parts cut anew, where the state machine allows it.
+
+    ``step`` maps ``states`` to what follows them, ``fronts`` tells for each of them how many
+    characters (bytes, if that is what parts are made of) belong to the part before. They go
+    to the last earlier part that is longer than its own front, or to a part of their own if
+    there is none. Parts of which nothing is left have no row.
+    """
     kind = dict(parts.dtypes)[text]
     nothing = F.lit("").cast(kind)
-    cut = parts.select(
-        doc_id, F.col(part_no).cast("long").alias(part_no),
-        F.substr(text, F.lit(1), F.col(head)).alias("_head"),
-        F.substr(text, F.col(head) + 1).alias("_body"),
+    names = [c for c in parts.columns if c not in (doc_id, part_no, text)]
+    rows = parts.select(doc_id, F.col(part_no).cast("long").alias(part_no), F.coalesce(text, nothing).alias(text), *names)
+    size = F.char_length(text) if kind == "string" else F.octet_length(text)
+    facts = stored(
+        rows.select(doc_id, part_no, step.alias("step"), F.array(*fronts).alias("_fronts"), size.alias("_size")), "parts-facts"
     )
-    cut = stored(cut.withColumn("_mine", F.when(F.col("_body") != nothing, F.col(part_no))), "parts-cut")
-    facts = cut.select(doc_id, part_no, "_head", "_mine")
-    heads = running(facts, doc_id, part_no, "_mine", F.max, "_owner").where(F.col("_head") != nothing)
-    moved = heads.groupBy(doc_id, "_owner").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(part_no).alias("no"), F.col("_head").alias("head")))).alias("_heads")
+    front = F.get("_fronts", F.instr(F.lit(states), F.col("state")) - 1)
+    known = facts.join(carried_states(facts.select(doc_id, part_no, "step"), doc_id, part_no, states), [doc_id, part_no])
+    cut = known.select(doc_id, part_no, front.alias("_front"), F.when(front < F.col("_size"), F.col(part_no)).alias("_mine"))
+    cut = stored(running(cut, doc_id, part_no, "_mine", F.max, "_owner"), "parts-cuts")
+
+    both = rows.select(doc_id, part_no, text).join(cut, [doc_id, part_no])
+    head = F.substr(text, F.lit(1), F.col("_front"))
+    moved = both.where("_front > 0").groupBy(doc_id, "_owner").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(part_no).alias("no"), head.alias("head")))).alias("_heads")
     )
-    joined = F.array_join("_heads.head", "") if kind == "string" else F.aggregate("_heads.head", nothing, lambda a, b: F.concat(a, b))
-    moved = stored(
-        moved.select(doc_id, "_owner", joined.alias("_tail"), F.col("_heads")[0]["no"].alias("_first")), "parts-heads"
+    joined = (
+        F.array_join("_heads.head", "") if kind == "string" else F.aggregate("_heads.head", nothing, lambda a, b: F.concat(a, b))
     )
     # What no part precedes stands before the first part.
-    front = moved.where("_owner IS NULL").select(doc_id, (F.col("_first") - 1).alias(part_no), F.col("_tail").alias(text))
-    tails = moved.where("_owner IS NOT NULL").select(doc_id, F.col("_owner").alias(part_no), "_tail")
-    bodies = cut.where("_mine IS NOT NULL").select(doc_id, part_no, "_body")
-    whole = bodies.join(tails, [doc_id, part_no], "left").select(
-        doc_id, part_no, F.concat("_body", F.coalesce("_tail", nothing)).alias(text)
+    target = F.coalesce("_owner", F.col("_heads")[0]["no"] - 1)
+    tails = moved.select(doc_id, target.alias(part_no), joined.alias("_tail"))
+    bodies = both.where("_mine IS NOT NULL").select(doc_id, part_no, F.substr(text, F.col("_front") + 1).alias("_body"))
+    return bodies.join(tails, [doc_id, part_no], "full").select(
+        doc_id, part_no, F.concat(F.coalesce("_body", nothing), F.coalesce("_tail", nothing)).alias(text)
     )
-    return whole.unionByName(front)
-
-
-def _with_state(parts: DataFrame, step: Column, states: str, doc_id: str, part_no: str, text: str) -> DataFrame:
-    steps = parts.select(doc_id, F.col(part_no).cast("long").alias(part_no), step.alias("step"))
-    known = carried_states(stored(steps, "parts-steps"), doc_id, part_no, states)
-    rows = parts.select(doc_id, F.col(part_no).cast("long").alias(part_no), F.coalesce(text, F.lit("")).alias(text))
-    return rows.join(known, [doc_id, part_no])
 
 
 # --- bytes ----------------------------------------------------------------------------
@@ -183,10 +192,8 @@ def decode_parts(
     pattern = F.regexp_extract(hexed, _UTF8_FRONT, 0)
     for mark, fronts in _UTF16_FRONTS.items():
         pattern = F.when(F.startswith("_mark", F.lit(mark)), F.regexp_extract(hexed, fronts, 0)).otherwise(pattern)
-    whole = realigned(
-        marked.select(doc_id, part_no, content, (F.char_length(pattern) / 2).cast("int").alias("head")), doc_id, part_no, content
-    )
-    whole = stored(whole, "parts-bytes")
+    front = (F.char_length(pattern) / 2).cast("int")
+    whole = stored(aligned(marked, "N", F.lit("N"), [front], doc_id, part_no, content), "parts-bytes")
     facts = whole.groupBy(doc_id).agg(
         F.bool_and(F.is_valid_utf8(F.col(content).cast("string"))).alias("_valid"), F.min(part_no).alias("_least")
     )
@@ -245,31 +252,29 @@ def csv_step(text: Column) -> Column:
     return F.when(text == "", CSV_STATES).otherwise(T.let(_csv_end(text, ""), steps))
 
 
-def _csv_head(text: Column, state: Column) -> Column:
-    """Characters before the first record that begins in the part."""
+def csv_fronts(text: Column) -> list[Column]:
+    """For each of ``CSV_STATES`` the characters before the first record that begins in the text."""
 
     def up_to_record(lead: str) -> Column:
         led = F.concat(F.lit(lead), text) if lead else text
         found = F.char_length(F.regexp_extract(led, _CSV_RECORD, 0))
         return F.when(found > 0, found - len(lead)).otherwise(F.char_length(text))
 
-    rule = F.when(state == "R", 0).when(state == "C", F.startswith(text, F.lit("\n")).cast("int"))
-    for name in "FUQ":
-        rule = rule.when(state == name, up_to_record(_CSV_LEAD[name]))
-    return rule.otherwise(up_to_record(_CSV_LEAD["E"]))
+    fronts = {name: up_to_record(_CSV_LEAD[name]) for name in "FUQE"}
+    fronts |= {"R": F.lit(0), "C": F.startswith(text, F.lit("\n")).cast("int")}
+    return [fronts[name] for name in CSV_STATES]
 
 
 def csv_aligned(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no", text: str = "text") -> DataFrame:
     """Parts of CSV files, cut anywhere, to parts that hold whole records."""
-    known = _with_state(parts, csv_step(F.coalesce(text, F.lit(""))), CSV_STATES, doc_id, part_no, text)
-    return realigned(known.withColumn("head", _csv_head(F.col(text), F.col("state"))), doc_id, part_no, text)
+    return aligned(parts, CSV_STATES, csv_step(F.col(text)), csv_fronts(F.col(text)), doc_id, part_no, text)
 
 
 def csv_part_rows(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no", text: str = "text") -> DataFrame:
     """``csv_rows`` for files in parts, cut anywhere: (doc_id, row_no, text) per record,
     numbered from 1 through all parts of a file."""
-    aligned = csv_aligned(parts, doc_id, part_no, text)
-    records = stored(aligned.select(doc_id, part_no, csv_records(F.col(text)).alias(text)), "parts-records")
+    whole = csv_aligned(parts, doc_id, part_no, text)
+    records = whole.select(doc_id, part_no, csv_records(F.col(text)).alias(text))
     counts = records.select(doc_id, part_no, F.size(text).cast("long").alias("_n"))
     before = running(counts, doc_id, part_no, "_n").select(doc_id, part_no, F.coalesce("before", F.lit(0)).alias("_before"))
     numbered = explode_once(records.join(before, [doc_id, part_no]), F.col(text), "_no", text, 1)
@@ -338,16 +343,15 @@ def page_step(text: Column) -> Column:
     return F.when(text == "", PAGE_STATES).otherwise(T.let(_page_end(text, ""), steps))
 
 
-def _page_head(text: Column, state: Column) -> Column:
-    """Characters up to where the marker under way is whole or broken off."""
-    lead = F.get(F.array(*[F.lit(m) for m in _MARK_SO_FAR]), F.instr(F.lit(PAGE_STATES), state) - 1)
+def page_fronts(text: Column) -> list[Column]:
+    """For each of ``PAGE_STATES`` the characters up to where the marker under way is whole or
+    broken off."""
 
-    def taken(led: Column) -> Column:
-        return F.char_length(F.regexp_extract(led, _ATTEMPTS, 0)) - F.char_length(lead)
+    def up_to_end(lead: str) -> Column:
+        taken = F.char_length(F.regexp_extract(F.concat(F.lit(lead), text), _ATTEMPTS, 0)) - len(lead)
+        return F.when(_may_go_on(text, lead), F.greatest(F.lit(0), taken)).otherwise(0)
 
-    return F.when(state == PAGE_STATES[0], 0).otherwise(
-        F.greatest(F.lit(0), T.let(F.concat(lead, text), taken))
-    )
+    return [F.lit(0), *map(up_to_end, _MARK_SO_FAR[1:])]
 
 
 def part_pages(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no", text: str = "text") -> DataFrame:
@@ -356,9 +360,8 @@ def part_pages(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no
     A page may lie across parts; its pieces meet by (document, markers before them), so a
     document's pages spread over tasks, and a page has to fit a cell.
     """
-    known = _with_state(parts, page_step(F.coalesce(text, F.lit(""))), PAGE_STATES, doc_id, part_no, text)
-    aligned = realigned(known.withColumn("head", _page_head(F.col(text), F.col("state"))), doc_id, part_no, text)
-    split = aligned.select(doc_id, part_no, F.split(text, C.PAGE_MARKER_PATTERN, -1).alias(text))
+    whole = aligned(parts, PAGE_STATES, page_step(F.col(text)), page_fronts(F.col(text)), doc_id, part_no, text)
+    split = whole.select(doc_id, part_no, F.split(text, C.PAGE_MARKER_PATTERN, -1).alias(text))
     marks = split.select(doc_id, part_no, (F.size(text) - 1).cast("long").alias("_n"))
     before = running(marks, doc_id, part_no, "_n").select(doc_id, part_no, F.coalesce("before", F.lit(0)).alias("_before"))
     pieces = split.join(before, [doc_id, part_no]).select(
@@ -422,21 +425,16 @@ def hidden_step(text: Column) -> Column:
     return F.when(text == "", HIDDEN_STATES).otherwise(F.concat(*ends, *inside, *starting))
 
 
-def _hidden_head(text: Column, state: Column) -> Column:
-    rule = F.when(state == "N", 0)
-    fronts = {"c": r"\A.*?-->"}
-    for letter, name in _UNSHOWN.items():
-        fronts[letter] = rf"\A.*?{_closing(name)}"
-        fronts[letter.upper()] = rf"\A[^>]*+>.*?{_closing(name)}"
-    for letter, front in fronts.items():
-        # The end of ruby text may be no character, so what is not found is told by the test.
-        rule = rule.when(
-            state == letter,
-            F.when(text.rlike(rf"(?is){front}"), F.char_length(F.regexp_extract(text, rf"(?is){front}", 0))).otherwise(
-                F.char_length(text)
-            ),
-        )
-    return rule
+def _up_to(text: Column, front: str) -> Column:
+    """Characters up to the end of ``front``, all where the text does not hold it."""
+    return F.when(text.rlike(front), F.char_length(F.regexp_extract(text, front, 0))).otherwise(F.char_length(text))
+
+
+def hidden_fronts(text: Column) -> list[Column]:
+    """For each of ``HIDDEN_STATES`` the characters up to where text is shown again."""
+    inside = [_up_to(text, rf"(?is)\A.*?{_closing(name)}") for name in _UNSHOWN.values()]
+    starting = [_up_to(text, rf"(?is)\A[^>]*+>.*?{_closing(name)}") for name in _UNSHOWN.values()]
+    return [F.lit(0), _up_to(text, r"(?s)\A.*?-->"), *inside, *starting]
 
 
 # States of what is left: Data, in a tag (Bare, in a double or an apostrophe quoted value), in
@@ -479,24 +477,15 @@ def tag_step(text: Column) -> Column:
     return F.when(text == "", TAG_STATES).otherwise(F.concat(*ends, F.lit("Y")))
 
 
-def _tag_head(text: Column, state: Column) -> Column:
-    def up_to(front: str) -> Column:
-        found = F.char_length(F.regexp_extract(text, front, 0))
-        return F.when(found > 0, found).otherwise(F.char_length(text))
-
+def tag_fronts(text: Column) -> list[Column]:
+    """For each of ``TAG_STATES`` the characters up to the end of the tag, or of the text node."""
     # A part starts with its first tag if it holds that tag's end; one without an end is text.
     node = rf"\A(?:[^<]++|(?!{_TAG_OPEN})<)*+"
     first = F.when(
         text.rlike(rf"{node}(?:{_TAG_DONE})"), F.char_length(F.regexp_extract(text, node, 0))
     ).otherwise(F.char_length(text))
-    return (
-        F.when(state == "D", first)
-        .when(state == "B", up_to(rf"\A{_IN_TAG}>"))
-        .when(state == "q", up_to(rf"\A[^\"]*+\"{_IN_TAG}>"))
-        .when(state == "a", up_to(rf"\A[^']*+'{_IN_TAG}>"))
-        .when(state == "G", up_to(r"\A[^>]*+>"))
-        .otherwise(F.char_length(text))
-    )
+    ends = [rf"\A{_IN_TAG}>", rf"\A[^\"]*+\"{_IN_TAG}>", rf"\A[^']*+'{_IN_TAG}>", r"\A[^>]*+>"]
+    return [first, *[_up_to(text, end) for end in ends], F.char_length(text)]
 
 
 def html_part_texts(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part_no", text: str = "text") -> DataFrame:
@@ -507,17 +496,13 @@ def html_part_texts(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "pa
     of tags and text nodes; what is left in a part is read as if it were a page. A tag that
     is never closed keeps all that follows it in its part, as it hides it from the reader.
     """
-    keys = (doc_id, part_no, text)
-    before_tag = F.instr(F.col(text), "<") - 1
-    rows = parts.select(doc_id, part_no, F.coalesce(text, F.lit("")).alias(text))
-    at_tags = realigned(
-        rows.withColumn("head", F.when(before_tag < 0, F.char_length(text)).otherwise(before_tag)), *keys
-    )
-    known = _with_state(at_tags, hidden_step(F.col(text)), HIDDEN_STATES, *keys)
-    unhidden = realigned(known.withColumn("head", _hidden_head(F.col(text), F.col("state"))), *keys)
-    visible = unhidden.withColumn(text, visible_html(F.col(text)))
-    tagged = _with_state(visible, tag_step(F.col(text)), TAG_STATES, *keys)
-    whole = realigned(tagged.withColumn("head", _tag_head(F.col(text), F.col("state"))), *keys)
+    keys, t = (doc_id, part_no, text), F.col(text)
+    before_tag = F.instr(t, "<") - 1
+    up_to_tag = F.when(before_tag < 0, F.char_length(t)).otherwise(before_tag)
+    at_tags = stored(aligned(parts, "N", F.lit("N"), [up_to_tag], *keys), "parts-tags")
+    unhidden = aligned(at_tags, HIDDEN_STATES, hidden_step(t), hidden_fronts(t), *keys)
+    visible = stored(unhidden.withColumn(text, visible_html(t)), "parts-visible")
+    whole = aligned(visible, TAG_STATES, tag_step(t), tag_fronts(t), *keys)
     lines = stored(whole.select(doc_id, part_no, text_nodes(F.col(text)).alias(text)), "parts-texts").where(F.col(text) != "")
     order = running(lines.select(doc_id, part_no, F.lit(1).cast("long").alias("_one")), doc_id, part_no, "_one")
     joined = lines.join(order.select(doc_id, part_no, "before"), [doc_id, part_no])

@@ -22,11 +22,14 @@ from leafwork.sources.readers import fetch_documents, list_files, wanted_documen
 from leafwork.sources.writers import write_table
 
 
-def convert_batch(accepted: DataFrame, documents: DataFrame, default_bucket: str) -> DataFrame:
+def convert_batch(
+    accepted: DataFrame, documents: DataFrame, default_bucket: str, types: list[str] | None = None
+) -> DataFrame:
     """Jobs to converted text and result columns, one row per job.
 
     ``accepted`` comes from ``validate_jobs``; rows that already carry an error
-    pass through as failures. ``documents`` holds (key, content).
+    pass through as failures. ``documents`` holds (key, content). ``types``, if
+    known, are the only ones that jobs ask for: see ``convert_documents``.
     """
     # Where the text goes travels inside the id, so the converted text is never
     # joined to anything.
@@ -37,7 +40,7 @@ def convert_batch(accepted: DataFrame, documents: DataFrame, default_bucket: str
     )
     fetched = fetch_documents(accepted, documents)
     converted = convert_documents(
-        fetched.select(target.alias("doc_id"), "document_type", "content", "error")
+        fetched.select(target.alias("doc_id"), "document_type", "content", "error"), types
     )
     ok = F.col("error").isNull()
     return converted.select(
@@ -61,17 +64,19 @@ def document_flow(
     enable_analytics: bool = True,
     enable_metadata: bool = True,
     language_mode: str = "compat",
+    types: list[str] | None = None,
 ) -> DataFrame:
     """Validate, convert, analyse and describe (job_id, document_type, content).
 
-    One row per document; ``metadata`` needs the analytics stage.
+    One row per document; ``metadata`` needs the analytics stage. ``types``, if
+    known, are the only ones there are: see ``convert_documents``.
     """
     rows = documents.withColumnRenamed("job_id", "doc_id")
     if enable_validation:
         rows = files.validate_document(rows, max_mb=max_mb).withColumn(
             "error", F.concat(F.lit("Validation failed: "), F.col("validation_error"))
         )
-    flow = convert_documents(rows).withColumnRenamed("doc_id", "job_id")
+    flow = convert_documents(rows, types).withColumnRenamed("doc_id", "job_id")
     ok = F.col("error").isNull()
     flow = flow.withColumns(
         {
@@ -219,9 +224,10 @@ def conversion_with_events(
     on_start: bool = True,
     on_complete: bool = True,
     on_failure: bool = True,
+    types: list[str] | None = None,
 ) -> DataFrame:
     """``convert_batch`` told as lifecycle events."""
-    results = convert_batch(accepted, documents, default_bucket).withColumnRenamed(
+    results = convert_batch(accepted, documents, default_bucket, types).withColumnRenamed(
         "characters_extracted", "total_chars"
     )
     return outputs.lifecycle_events(accepted, results, on_start, on_complete, on_failure)

@@ -55,17 +55,12 @@ FILE_SUCCESS = "doc_id % 7 <> 0"
 EXTRACTION_TYPE = (
     "CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'docx' ELSE 'pdf' END"
 )
-STANDARD_TEXT = "CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 30) ELSE text END"
-ENHANCED_TEXT = (
-    "CASE doc_id % 5 WHEN 0 THEN substring(text, 1, 30) WHEN 1 THEN substring(text, 1, 10) "
-    "ELSE text END"
-)
 # Whole texts on both sides: what an extraction misses is blanked, never cut off, and its
 # total_chars counts what can be seen.
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _UNREAD = f"translate(text, '{_LETTERS}.,', '{' ' * 54}')"
-STANDARD_WHOLE = f"CASE WHEN doc_id % 3 = 0 THEN {_UNREAD} ELSE text END"
-ENHANCED_WHOLE = f"""CASE doc_id % 5 WHEN 0 THEN {_UNREAD} WHEN 1 THEN translate(text, 'aeiou', '     ')
+STANDARD_TEXT = f"CASE WHEN doc_id % 3 = 0 THEN {_UNREAD} ELSE text END"
+ENHANCED_TEXT = f"""CASE doc_id % 5 WHEN 0 THEN {_UNREAD} WHEN 1 THEN translate(text, 'aeiou', '     ')
  ELSE text END"""
 
 

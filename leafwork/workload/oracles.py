@@ -179,9 +179,9 @@ SELECT output_key, doc_id, sha FROM (
   doc_id, sha256(text) AS sha FROM files)
 QUALIFY rank() OVER (PARTITION BY output_key ORDER BY doc_id DESC) = 1"""
 ORACLES["move_objects"] = """
-SELECT CASE WHEN doc_id % 10 = 0 THEN 'gone/' ELSE 'txt/' END || doc_id || '.txt' AS source_key,
- 'processed/' || doc_id || '.txt' AS dest_key, CASE WHEN doc_id % 10 = 0 THEN 'source not found' END AS error
-FROM documents"""
+SELECT 'txt/' || doc_id || '.txt' AS source_key, 'processed/' || doc_id || '.txt' AS dest_key, CAST(NULL AS VARCHAR) AS error FROM documents
+UNION ALL SELECT 'gone/lost-' || doc_id || '.txt', 'processed/lost-' || doc_id || '.txt', 'source not found'
+FROM documents WHERE doc_id % 50 = 0"""
 ORACLES["delete_objects"] = """
 SELECT 'txt/' || doc_id || '.txt' AS key, doc_id % 3 <> 0 AS deleted, CAST(NULL AS VARCHAR) AS error FROM documents
 UNION ALL SELECT 'web/' || page_id || '.HTML', false, NULL FROM pages"""
@@ -214,11 +214,13 @@ UNION ALL SELECT 2, key, size, 'html', 'new' FROM p WHERE page_id % 2 = 0
 UNION ALL SELECT 3, key, size, 'txt', 'gone' FROM t WHERE doc_id % 3 = 0
 UNION ALL SELECT 3, key, size + 14, 'html', 'changed' FROM p WHERE page_id % 14 = 0"""
 ORACLES["fetch_objects"] = """
-SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'gone/' ELSE 'txt/' END || doc_id || '.txt' AS key,
- CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS sha FROM documents"""
-_LIMIT = int(0.01 * 1024 * 1024)
+SELECT doc_id, 'txt/' || doc_id || '.txt' AS key, sha256(text) AS sha FROM documents
+UNION ALL SELECT doc_id, 'gone/' || doc_id || '.txt', NULL FROM documents WHERE doc_id % 50 = 0"""
+_LIMIT = int(0.5 * 1024 * 1024)
 ORACLES["validate_document"] = f"""
-WITH d AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END AS body FROM documents),
+WITH d AS (SELECT doc_id, text AS body FROM documents
+ UNION ALL SELECT -1 - doc_id, CASE doc_id % 50 WHEN 0 THEN '' WHEN 2 THEN repeat(text, CAST(ceil(600000 / strlen(text)) AS BIGINT)) END
+ FROM documents WHERE doc_id % 50 < 3),
 s AS (SELECT *, coalesce(strlen(body), 0) AS n FROM d),
 v AS (SELECT *, CASE WHEN body IS NULL THEN 'File not found'
  WHEN n > {_LIMIT} THEN 'File too large: ' || n || ' bytes (max {_LIMIT})'
@@ -303,9 +305,7 @@ ORACLES["html_part_texts"] = (
     f"WITH t AS (SELECT page_id, {_html('html')} AS text FROM pages) SELECT page_id, text FROM t WHERE text <> ''"
 )
 ORACLES["decode_parts"] = "SELECT doc_id, text FROM documents"
-ORACLES["decode_text"] = r"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN regexp_replace(text, '[^\x00-\x7f\x{a0}-\x{ff}]', '', 'g')
- ELSE text END AS text FROM documents"""
+ORACLES["decode_text"] = ORACLES["decode_parts"]
 ORACLES["chunk_text"] = (
     f"WITH c AS (SELECT doc_id, {_chunks('text', 1000)} AS pieces FROM documents) "
     + _numbered("c", "pieces", "doc_id")
@@ -394,18 +394,6 @@ SELECT doc_id, CAST(0 AS BIGINT) AS part_no, coalesce(string_agg(
  FILTER (body <> ''), '') AS text, count(*) FILTER (body <> '') AS pages_processed, max(n) AS n_frames
 FROM f GROUP BY doc_id"""
 ORACLES["convert_documents"] = LINES + _DOCX_LINES + f""", word AS (
- SELECT 'd' || doc_id AS doc_id, 'docx' AS document_type, string_agg(line, {NL} ORDER BY pos) || {NL} AS text,
-  count(DISTINCT chunk_no) AS pages_processed, NULL AS error FROM every WHERE doc_id % 5 = 3 GROUP BY doc_id),
-csv AS (SELECT doc_id, {_csv_records('text')} AS rec FROM documents WHERE doc_id % 5 = 1),
-html AS (SELECT page_id, {_html('html')} AS body FROM pages),
-every_doc AS (SELECT * FROM word
- UNION ALL SELECT 'd' || doc_id, 'csv', array_to_string(rec, {NL}) || {NL}, CAST(ceil(len(rec) / 200) AS BIGINT), NULL FROM csv
- UNION ALL SELECT 'p' || page_id, 'html', body, CAST(ceil(length(body) / {C.CHUNK_CHARS}) AS BIGINT), NULL FROM html
- UNION ALL SELECT 'd' || doc_id, 'txt', text, CAST(ceil(length(text) / {C.CHUNK_CHARS}) AS BIGINT), NULL FROM documents WHERE doc_id % 5 = 0
- UNION ALL SELECT 'd' || doc_id, 'rtf', NULL, 0, 'Unsupported document type: rtf' FROM documents WHERE doc_id % 5 = 2
- UNION ALL SELECT 'd' || doc_id, 'txt', NULL, 0, 'File not found' FROM documents WHERE doc_id % 5 = 4)
-SELECT doc_id, document_type, text, coalesce(length(text), 0) AS total_chars, pages_processed, error FROM every_doc"""
-ORACLES["convert_documents_whole"] = LINES + _DOCX_LINES + f""", word AS (
  SELECT 'd' || doc_id AS doc_id, 'docx' AS document_type, string_agg(line, {NL} ORDER BY pos) || {NL} AS text,
   count(DISTINCT chunk_no) AS pages_processed, NULL AS error FROM every WHERE doc_id % 3 = 2 GROUP BY doc_id),
 csv AS (SELECT doc_id, {_csv_records('text')} AS rec FROM documents WHERE doc_id % 3 = 1),
@@ -425,18 +413,6 @@ FROM (SELECT *, CASE document_type WHEN 'txt' THEN body ELSE {_html('body')} END
 # --- choosing ------------------------------------------------------------------------------
 EXTRACTIONS = f"""
 WITH x AS (SELECT doc_id, {I.EXTRACTION_TYPE} AS document_type, {I.STANDARD_TEXT} AS std, {I.ENHANCED_TEXT} AS enh FROM documents),
-e AS (SELECT *, length(std) < {C.MIN_CHARS_THRESHOLD} AND document_type IN ('pdf', 'image') AS escalated FROM x),
-best AS (SELECT *, escalated AND length(enh) > length(std) AS better FROM e),
-chosen AS (SELECT doc_id, document_type, CASE WHEN better THEN enh ELSE std END AS text, escalated,
- CAST(CASE WHEN escalated THEN 2 ELSE 1 END AS BIGINT) AS attempt,
- CASE WHEN better THEN 'enhanced' ELSE 'standard' END AS chosen FROM best)
-"""
-ORACLES["best_extraction"] = EXTRACTIONS + "SELECT *, length(text) AS total_chars FROM chosen"
-ORACLES["retry_escalation"] = EXTRACTIONS + f"""
-SELECT doc_id, escalated, attempt, chosen, length(text) AS total_chars, '{I.OUTPUT_BUCKET}' AS output_bucket,
- 'converted/' || doc_id || '.txt' AS output_key FROM chosen"""
-WHOLE_EXTRACTIONS = f"""
-WITH x AS (SELECT doc_id, {I.EXTRACTION_TYPE} AS document_type, {I.STANDARD_WHOLE} AS std, {I.ENHANCED_WHOLE} AS enh FROM documents),
 n AS (SELECT *, {I.visible_chars('std')} AS std_chars, {I.visible_chars('enh')} AS enh_chars FROM x),
 e AS (SELECT *, std_chars < {C.MIN_CHARS_THRESHOLD} AND document_type IN ('pdf', 'image') AS escalated FROM n),
 best AS (SELECT *, escalated AND enh_chars > std_chars AS better FROM e),
@@ -445,8 +421,8 @@ chosen AS (SELECT doc_id, document_type, CASE WHEN better THEN enh ELSE std END
  CASE WHEN better THEN 'enhanced' ELSE 'standard' END AS chosen,
  CASE WHEN better THEN enh_chars ELSE std_chars END AS total_chars FROM best)
 """
-ORACLES["best_extraction_whole"] = WHOLE_EXTRACTIONS + "SELECT * FROM chosen"
-ORACLES["retry_escalation_whole"] = WHOLE_EXTRACTIONS + f"""
+ORACLES["best_extraction"] = EXTRACTIONS + "SELECT * FROM chosen"
+ORACLES["retry_escalation"] = EXTRACTIONS + f"""
 SELECT doc_id, escalated, attempt, chosen, total_chars, '{I.OUTPUT_BUCKET}' AS output_bucket,
  'converted/' || doc_id || '.txt' AS output_key FROM chosen"""
 
@@ -505,16 +481,13 @@ flow AS (SELECT job_id, true AS success, NULL AS error, {_FLOW_KEY} AS text_key,
 """
 
 
-FLOW = _flow("SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text ELSE '' END AS text FROM documents")
 _FLOW_EVENTS = """
 SELECT job_id, CAST(to_json(struct_pack(job_id := job_id, status := 'completed', text_key := text_key,
  metadata_key := metadata_key, total_chars := total_chars)) AS VARCHAR) AS payload FROM flow WHERE success"""
+FLOW = _flow("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
+ UNION ALL SELECT 'empty-' || doc_id, '' FROM documents WHERE doc_id % 50 = 0""")
 ORACLES["document_flow"] = FLOW + "SELECT * FROM flow"
 ORACLES["flow_completed_events"] = FLOW + _FLOW_EVENTS
-FLOW_WHOLE = _flow("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
- UNION ALL SELECT 'empty-' || doc_id, '' FROM documents WHERE doc_id % 50 = 0""")
-ORACLES["document_flow_whole"] = FLOW_WHOLE + "SELECT * FROM flow"
-ORACLES["flow_completed_events_whole"] = FLOW_WHOLE + _FLOW_EVENTS
 MULTI = PAGES + f""", src AS (SELECT 'conv-' || doc_id AS job_id, text, pieces FROM split),
 tok AS (SELECT job_id, text, {_words('text')} AS w FROM src),
 an AS ({_analytics('tok', 'job_id')}),
@@ -596,8 +569,6 @@ batch AS (SELECT job_id, error IS NULL AS success, CASE WHEN error IS NULL THEN
 """
 
 
-BATCH = _batch("doc_id % 9 AS c FROM documents")
-ORACLES["convert_batch"] = BATCH + "SELECT * EXCLUDE (document_type) FROM batch"
 _BATCH_EVENTS = """
 SELECT 'conversion.started' AS event, job_id, '{"event":"conversion.started","job_id":"' || job_id ||
  '","document_type":"' || document_type || '","location_type":"s3"}' AS payload FROM batch
@@ -606,12 +577,11 @@ UNION ALL SELECT 'conversion.completed', job_id, '{"event":"conversion.completed
  characters_extracted || ',"pages_processed":' || pages_processed || '}' FROM batch WHERE success
 UNION ALL SELECT 'conversion.failed', job_id, '{"event":"conversion.failed","job_id":"' || job_id ||
  '","error":"' || error || '"}' FROM batch WHERE NOT success"""
-ORACLES["conversion_with_events"] = BATCH + _BATCH_EVENTS
-BATCH_WHOLE = _batch("""c FROM (
+BATCH = _batch("""c FROM (
  SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, doc_id % 2 AS c FROM documents
  UNION ALL SELECT 'bad-' || doc_id, text, 2 + doc_id % 50 FROM documents WHERE doc_id % 50 < 3)""")
-ORACLES["convert_batch_whole"] = BATCH_WHOLE + "SELECT * EXCLUDE (document_type) FROM batch"
-ORACLES["conversion_with_events_whole"] = BATCH_WHOLE + _BATCH_EVENTS
+ORACLES["convert_batch"] = BATCH + "SELECT * EXCLUDE (document_type) FROM batch"
+ORACLES["conversion_with_events"] = BATCH + _BATCH_EVENTS
 WATCH = FILES + f""", run AS (SELECT *, document_type IN ('html', 'txt', 'csv') AS ok FROM listed WHERE allowed),
 csv AS (SELECT key, {_csv_records('text')} AS rec FROM run WHERE document_type = 'csv'),
 outcome AS (SELECT run.key, ok AS success, CASE WHEN ok THEN 'converted/' || string_split(run.key, '/')[-1] || '.txt' END AS output_key,

@@ -23,7 +23,9 @@ from leafwork.workload import inputs as I
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHUNK = 1_000
-MAX_MB = 0.01
+MAX_MB = 0.5
+#: What the jobs of ``_stored`` ask for; no office files among them.
+JOB_TYPES = ["txt", "csv", "rtf"]
 
 
 def query(fn: Query) -> Query:
@@ -123,16 +125,12 @@ def read_documents(spark, sf_dir):
 
 @query
 def fetch_objects(spark, sf_dir):
-    """The same objects fetched by the keys of a table; every tenth is missing."""
+    """The same objects fetched by the keys of a table; some more keys name nothing."""
     base = _stored_documents(spark, sf_dir)
-    number = F.col("doc_id")
-    keys = _documents(spark, sf_dir).select(
-        "doc_id",
-        F.concat(
-            F.when(number % 10 == 0, "gone/").otherwise("txt/"), number.cast("string"), F.lit(".txt")
-        ).alias("key"),
-    )
-    found = readers.fetch_objects(keys, base)
+    docs, number = _documents(spark, sf_dir), F.col("doc_id").cast("string")
+    keys = docs.select("doc_id", F.concat(F.lit("txt/"), number, F.lit(".txt")).alias("key"))
+    lost = docs.where("doc_id % 50 = 0").select("doc_id", F.concat(F.lit("gone/"), number, F.lit(".txt")).alias("key"))
+    found = readers.fetch_objects(keys.unionByName(lost), base)
     return found.select("doc_id", "key", F.sha2("content", 256).alias("sha"))
 
 
@@ -198,15 +196,13 @@ def _receipts(spark: SparkSession, receipts: DataFrame) -> DataFrame:
 
 @query
 def move_objects(spark, sf_dir):
-    """Stored documents moved to the archive; every tenth is not where it should be."""
+    """Stored documents moved to the archive; some more are not where they should be."""
     base = _stored_documents(spark, sf_dir)
-    number = F.col("doc_id")
-    source = F.concat(
-        F.when(number % 10 == 0, "gone/").otherwise("txt/"), number.cast("string"), F.lit(".txt")
-    )
-    moves = _documents(spark, sf_dir).select(
-        source.alias("source_key"), jobs.archive_key(source).alias("dest_key")
-    )
+    docs, number = _documents(spark, sf_dir), F.col("doc_id").cast("string")
+    there = docs.select(F.concat(F.lit("txt/"), number, F.lit(".txt")).alias("source_key"))
+    lost = docs.where("doc_id % 50 = 0").select(F.concat(F.lit("gone/lost-"), number, F.lit(".txt")).alias("source_key"))
+    sources = there.unionByName(lost)
+    moves = sources.withColumn("dest_key", jobs.archive_key(F.col("source_key")))
     return _receipts(spark, writers.move_objects(moves, base))
 
 
@@ -300,15 +296,14 @@ def route_converter(spark, sf_dir):
 
 @query
 def validate_document(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select(
-        "doc_id",
-        F.when(F.col("doc_id") % 11 == 0, F.lit(""))
-        .when(F.col("doc_id") % 11 == 1, None)
-        .otherwise(F.col("text"))
-        .cast("binary")
-        .alias("content"),
+    """Every document; some more rows are empty, lost, or longer than the limit."""
+    docs, number = _documents(spark, sf_dir), F.col("doc_id") % 50
+    bad = docs.where(number < 3).select(
+        (-1 - F.col("doc_id")).alias("doc_id"),
+        F.when(number == 0, "").when(number == 2, F.repeat("text", F.ceil(F.lit(600_000) / F.octet_length("text")).cast("int"))).alias("text"),
     )
-    return files.validate_document(docs, max_mb=MAX_MB).drop("content")
+    rows = docs.unionByName(bad).select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.validate_document(rows, max_mb=MAX_MB).drop("content")
 
 
 @query
@@ -351,15 +346,15 @@ def csv_to_text(spark, sf_dir):
 
 
 def _legacy_bytes() -> Column:
-    """UTF-8 with a mark and CRLF, Latin-1, or UTF-8 with CR."""
+    """UTF-8 with a mark and CRLF; Latin-1 where that has all characters, else UTF-16; UTF-8 with CR."""
     text = F.col("text")
-    latin = F.regexp_replace(text, "[^\\x00-\\x7f\\xa0-\\xff]", "")
     return (
         F.when(
             F.col("doc_id") % 3 == 0,
             F.concat(F.unhex(F.lit("EFBBBF")), _utf8(F.replace(text, F.lit("\n"), F.lit("\r\n")))),
         )
-        .when(F.col("doc_id") % 3 == 1, F.encode(latin, "ISO-8859-1"))
+        .when((F.col("doc_id") % 3 == 1) & text.rlike(r"\A[\x00-\x7f\xa0-\xff]*+\z"), F.encode(text, "ISO-8859-1"))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
         .otherwise(_utf8(F.replace(text, F.lit("\n"), F.lit("\r"))))
     )
 
@@ -454,34 +449,6 @@ def document_totals(spark, sf_dir):
 
 
 def _mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as HTML; documents as text, CSV, DOCX, an unknown type, or lost."""
-    number = F.col("doc_id")
-    docs = I.table(spark, sf_dir, "documents")
-    name = F.concat(F.lit("d"), number.cast("string")).alias("doc_id")
-    plain = docs.where(number % 5 != 3).select(
-        name,
-        F.when(number % 5 == 1, "csv").when(number % 5 == 2, "rtf").otherwise("txt").alias(
-            "document_type"
-        ),
-        F.when(number % 5 != 4, _utf8(F.col("text"))).alias("content"),
-    )
-    word = archives.build_archives(docs.where(number % 5 == 3), "docx").select(
-        name, "document_type", "content"
-    )
-    pages = I.table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"),
-        F.lit("html").alias("document_type"),
-        _utf8(F.col("html")).alias("content"),
-    )
-    return plain.unionByName(word).unionByName(pages)
-
-
-@query
-def convert_documents(spark, sf_dir):
-    return convert(_mixed_documents(spark, sf_dir))
-
-
-def _whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as HTML, every document as text, CSV or DOCX; a few more rows are of an
     unknown type or lost."""
     number = F.col("doc_id")
@@ -508,9 +475,8 @@ def _whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def convert_documents_whole(spark, sf_dir):
-    """``convert_documents`` with every document converted."""
-    return convert(_whole_mix(spark, sf_dir))
+def convert_documents(spark, sf_dir):
+    return convert(_mixed_documents(spark, sf_dir))
 
 
 # --- joins ----------------------------------------------------------------------------
@@ -539,8 +505,9 @@ def watch_results(spark, sf_dir):
 
 
 def _extractions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two extractions of full length per document; see ``inputs.STANDARD_TEXT``."""
     docs = _documents(spark, sf_dir)
-    n_chars = F.char_length("text").cast("long").alias("total_chars")
+    n_chars = F.expr(I.visible_chars("text")).alias("total_chars")
     standard = docs.select(
         "doc_id",
         F.expr(I.EXTRACTION_TYPE).alias("document_type"),
@@ -555,25 +522,6 @@ def best_extraction(spark, sf_dir):
     return outcomes.best_extraction(*_extractions(spark, sf_dir))
 
 
-def _whole_extractions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two extractions of full length per document; see ``inputs.STANDARD_WHOLE``."""
-    docs = _documents(spark, sf_dir)
-    n_chars = F.expr(I.visible_chars("text")).alias("total_chars")
-    standard = docs.select(
-        "doc_id",
-        F.expr(I.EXTRACTION_TYPE).alias("document_type"),
-        F.expr(I.STANDARD_WHOLE).alias("text"),
-    ).select("*", n_chars)
-    enhanced = docs.select("doc_id", F.expr(I.ENHANCED_WHOLE).alias("text")).select("*", n_chars)
-    return standard, enhanced
-
-
-@query
-def best_extraction_whole(spark, sf_dir):
-    """``best_extraction`` with whole documents on both sides of the join."""
-    return outcomes.best_extraction(*_whole_extractions(spark, sf_dir))
-
-
 # --- analytics ------------------------------------------------------------------------
 
 
@@ -714,15 +662,8 @@ def html_part_texts(spark, sf_dir):
 
 @query
 def decode_parts(spark, sf_dir):
-    """UTF-8 with a mark and CRLF, UTF-16, or UTF-8 with CR, in parts of 100 bytes, cut inside
-    characters and line ends."""
-    text = F.col("text")
-    content = (
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), _utf8(F.replace(text, F.lit("\n"), F.lit("\r\n")))))
-        .when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
-        .otherwise(_utf8(F.replace(text, F.lit("\n"), F.lit("\r"))))
-    )
-    files = _documents(spark, sf_dir).select("doc_id", content.alias("content"))
+    """The files of ``decode_text`` in parts of 100 bytes, cut inside characters and line ends."""
+    files = _documents(spark, sf_dir).select("doc_id", _legacy_bytes().alias("content"))
     planned = ranges.byte_ranges(files.withColumn("size_bytes", F.octet_length("content").cast("long")), 100)
     cut = planned.withColumn("content", F.substr("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")))
     texts = parts.decode_parts(cut).withColumnRenamed("part_no", "chunk_no")
@@ -878,12 +819,6 @@ def _stored(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _stored_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A job per document and the store it points into; some jobs are bad."""
-    name = F.col("doc_id").cast("string").alias("name")
-    return _stored(_documents(spark, sf_dir).select(name, (F.col("doc_id") % 9).alias("case"), "text"))
-
-
-def _whole_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A good job per document; a few more jobs are bad."""
     number = F.col("doc_id")
     docs = _documents(spark, sf_dir)
@@ -896,26 +831,10 @@ def _whole_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 @query
 def convert_batch(spark, sf_dir):
-    return flows.convert_batch(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET)
-
-
-@query
-def convert_batch_whole(spark, sf_dir):
-    """``convert_batch`` with a good job for every document."""
-    return flows.convert_batch(*_whole_jobs(spark, sf_dir), I.OUTPUT_BUCKET)
+    return flows.convert_batch(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET, types=JOB_TYPES)
 
 
 def _flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("job_id"),
-        F.lit("txt").alias("document_type"),
-        F.when(F.col("doc_id") % 13 != 0, _utf8(F.col("text")))
-        .otherwise(F.lit("").cast("binary"))
-        .alias("content"),
-    )
-
-
-def _whole_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text; a few more are empty."""
     docs = _documents(spark, sf_dir)
     number = F.col("doc_id").cast("string")
@@ -935,25 +854,12 @@ def _flow_columns(flow: DataFrame) -> DataFrame:
 
 @query
 def document_flow(spark, sf_dir):
-    return _flow_columns(flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT))
-
-
-@query
-def document_flow_whole(spark, sf_dir):
-    """``document_flow`` with no document emptied."""
-    return _flow_columns(flows.document_flow(_whole_flow(spark, sf_dir), I.GENERATED_AT))
+    return _flow_columns(flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT, types=["txt"]))
 
 
 @query
 def flow_completed_events(spark, sf_dir):
-    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT)
-    return outputs.flow_completed_events(flow.where(F.col("success")))
-
-
-@query
-def flow_completed_events_whole(spark, sf_dir):
-    """``flow_completed_events`` with no document emptied."""
-    flow = flows.document_flow(_whole_flow(spark, sf_dir), I.GENERATED_AT)
+    flow = flows.document_flow(_flow_documents(spark, sf_dir), I.GENERATED_AT, types=["txt"])
     return outputs.flow_completed_events(flow.where(F.col("success")))
 
 
@@ -999,25 +905,9 @@ def retry_escalation(spark, sf_dir):
     )
 
 
-@query
-def retry_escalation_whole(spark, sf_dir):
-    """``retry_escalation`` with whole documents on both sides of the join."""
-    return flows.retry_escalation(*_whole_extractions(spark, sf_dir), I.OUTPUT_BUCKET).select(
-        "doc_id", "escalated", "attempt", "chosen", "total_chars", "output_bucket", "output_key"
-    )
-
-
 @query
 def conversion_with_events(spark, sf_dir):
-    return flows.conversion_with_events(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET).select(
-        "event", "job_id", "payload"
-    )
-
-
-@query
-def conversion_with_events_whole(spark, sf_dir):
-    """``conversion_with_events`` with a good job for every document."""
-    return flows.conversion_with_events(*_whole_jobs(spark, sf_dir), I.OUTPUT_BUCKET).select(
+    return flows.conversion_with_events(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET, types=JOB_TYPES).select(
         "event", "job_id", "payload"
     )
 

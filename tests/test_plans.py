@@ -9,12 +9,11 @@ from leafwork.workload.queries import QUERIES
 
 ARCHIVE_QUERIES = {  # the one step with Python on executors is opening archives
     "docx_to_text", "xlsx_to_text", "pptx_to_text", "odt_to_text", "unpack_office",
-    "convert_documents", "convert_batch", "conversion_with_events", "document_flow",
-    "flow_completed_events", "folder_watch", "folder_watch_summary",
+    "convert_documents", "folder_watch", "folder_watch_summary",
 }
 STREAMS_AND_STORES = {
     "jobs_stream", "latest_status_stream", "folder_watch_stream", "read_documents", "fetch_objects",
-    "write_text", "write_pages", "move_objects", "delete_objects", "dedupe_stream",
+    "write_text", "write_pages", "move_objects", "delete_objects", "dedupe_stream", "read_parts", "scan_changes",
 }
 
 
@@ -85,11 +84,16 @@ def test_listing_does_not_read_contents(spark, tmp_path):
 
 def test_converted_text_is_not_joined(spark, sf_dir):
     """Contents are joined to their jobs before conversion; texts never after."""
-    from leafwork.workload.queries import QUERIES as registered
+    from leafwork.plans import flows
+    from leafwork.workload.queries import QUERIES as registered, _stored_jobs
 
-    plan = plan_of(registered["convert_batch"](spark, sf_dir))
+    plan = plan_of(flows.convert_batch(*_stored_jobs(spark, sf_dir), I.OUTPUT_BUCKET))
     above_conversion = plan.split("Union", 1)[0]
     assert "Join" not in above_conversion and "Exchange" not in above_conversion
+    # With the types known no archive is opened; the conversion is where records are read.
+    plan = plan_of(registered["convert_batch"](spark, sf_dir))
+    above_conversion = plan.split("regexp_extract_all", 1)[0]
+    assert "MapInArrow" not in plan and "Join" not in above_conversion and "Exchange" not in above_conversion
 
 
 def test_results_are_converted_once_for_all_events(spark, sf_dir):
