@@ -93,15 +93,26 @@ def mix(
     like any other row, repeated rows are rows, an empty table gives no rows, and other
     columns are not read. The last copy of a source may pass its quota's end.
     """
+    placed = _placed(docs, entropy, max_epochs, budget, block_tokens, seed, id_col, source_col, text_col)
+    return placed.drop("text_hash")
+
+
+def _placed(
+    docs: DataFrame, entropy: float = 0.98, max_epochs: float = 4.0, budget: float | None = None,
+    block_tokens: int = 1 << 20, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """``mix`` with the hash of each row's text. Rows are dealt out by id and text, so that
+    neither an id that many rows share nor null ids fill a section."""
     rows = saved(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens_of(text_col).alias("tokens")
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens_of(text_col).alias("tokens"),
+            F.xxhash64(text_col).alias("text_hash"),
         ),
         "mix-rows",
     )
     # Sections and rows in a section both grow with the square root of the rows.
     sections = max(1, isqrt(rows.count()))
-    dealt = rows.withColumn("section", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(sections)).cast("int"))
+    dealt = rows.withColumn("section", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(sections)).cast("int"))
     dealt = dealt.withColumn("source", F.struct(F.col("source").alias("name")))  # null-safe key
     totals = saved(dealt.groupBy("source", "section").agg(F.sum("tokens").alias("section_tokens")), "mix-sections")
     sources = saved(totals.groupBy("source").agg(F.sum("section_tokens").alias("tokens")), "mix-sources")
@@ -122,8 +133,8 @@ def mix(
         .where(F.col("section_start") < F.col("quota"))
         .drop("section_tokens", "source_tokens")
     )
-    shuffled = F.xxhash64("doc_id", "epoch", F.lit(seed))
-    inside = Window.partitionBy("source", "section", "epoch").orderBy(shuffled, "doc_id", "tokens")
+    shuffled = F.xxhash64("doc_id", "text_hash", "epoch", F.lit(seed))
+    inside = Window.partitionBy("source", "section", "epoch").orderBy(shuffled, "doc_id", "text_hash", "tokens")
     placed = (
         dealt.join(layout, ["source", "section"])
         .withColumn(
@@ -149,6 +160,7 @@ def mix(
         F.row_number().over(in_block).alias("position"),
         F.round("weight", 9).alias("weight"),
         F.lit(round(exponent, 9)).alias("exponent"),
+        "text_hash",
     )
 
 
@@ -156,13 +168,15 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix in its order, with their own columns; a document that the
     mix repeats comes as often, and k rows of one id come k times an epoch. Rows without
     an id stay once, at the end."""
-    # Rows of one id, source and length stand for each other: each takes one place an epoch.
-    alike = ["_id", "_source", "_tokens"]
+    # Rows of one id, source and text stand for each other: each takes one place an epoch.
+    alike = ["_id", "_source", "_tokens", "_hash"]
     source = F.struct(F.col("source").alias("name"))  # null-safe key
-    names = [F.col("doc_id").alias("_id"), source.alias("_source"), F.col("tokens").alias("_tokens")]
+    names = [
+        F.col("doc_id").alias("_id"), source.alias("_source"), F.col("tokens").alias("_tokens"), F.col("text_hash").alias("_hash")
+    ]
     turn = Window.partitionBy(*alike, "_epoch").orderBy("_start")
     placed = (
-        mix(docs, **settings)
+        _placed(docs, **settings)
         .where("doc_id IS NOT NULL")
         .select(*names, *[F.col(c).alias(f"_{c}") for c in ("epoch", "start", "block", "position")])
         .withColumn("_n", F.row_number().over(turn))
@@ -171,7 +185,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     keyed = docs.where("doc_id IS NOT NULL").withColumns(
         {"_id": F.col("doc_id"), "_source": source, "_tokens": tokens_of(), "_hash": F.xxhash64("text")}
     )
-    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy("_hash")))
+    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy("_id")))
     joined = numbered.join(placed, [*alike, "_n"])
     rest = docs.where("doc_id IS NULL").withColumns(
         {"_block": F.lit(1 << 62).cast("long"), "_position": F.lit(0)}

@@ -2,8 +2,11 @@
 
 Trusted positives and unlabelled web text train a linear model that minimises the
 non-negative unbiased risk: pi * R(positives as 1) + max(0, R(unlabelled as 0) -
-pi * R(positives as 0)), with the class prior pi estimated. Its features describe a text's
-make, not its language or source: word shapes, character classes and repetition.
+pi * R(positives as 0)). The class prior pi is estimated from the same two samples: where
+a classifier of the one against the other is surest, nearly all of the unlabelled are
+positives, so the least ratio of their shares there bounds it. Labels of 0 are never learnt
+from. Features describe a text's make, not its language or source: word shapes, character
+classes and repetition.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import held_out
-from leafwork.llm.linear import adam, calibration, sigmoid
+from leafwork.llm.linear import adam, logistic, sigmoid
 
 SHAPES = 256
 DENSE = 16
 SIZE = DENSE + SHAPES
-#: The model is fitted on so many labelled and so many unlabelled documents at most.
+#: By default the model is fitted on so many positives and so many unlabelled documents at most.
 MOST_LABELLED = 8_000
 MOST_UNLABELLED = 8_000
 PRIOR_RANGE = (0.05, 0.98)
@@ -41,7 +44,7 @@ class Shapes(dict):
             mark = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
             if not marks or marks[-1] != mark:
                 marks.append(mark)
-        shape = "".join(marks)[:12]
+        shape = "".join(marks)
         letters = sum(c.isalpha() for c in word)
         upper = sum(c.isupper() for c in word)
         digits = sum(c.isdigit() for c in word)
@@ -82,7 +85,8 @@ def features(text: str, shapes: Shapes) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, unlabelled: int) -> DataFrame:
-    """text, y: bounded samples of labelled and of any rows (y null), neither held out.
+    """text, y: bounded samples of labelled and of any rows (y null), neither held out; of
+    several rows of one id one, the least text.
 
     Chosen by a hash of the id, so the same rows on every run and in any partitioning."""
     pick = F.xxhash64("doc_id", F.lit(11))
@@ -93,7 +97,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, unlabe
     other = ids.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(unlabelled).withColumn("y", F.lit(None).cast("int"))
     both = chosen.select("doc_id", F.col("y").cast("int")).union(other)
     # Sixteen bytes for each of a bounded number of rows.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(both), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(both), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +119,33 @@ def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x[order], y[order]
 
 
-def class_prior(y: np.ndarray) -> float:
-    """Share of label 1 among the labelled rows that may be learnt from, kept off 0 and 1."""
-    known = y[y >= 0]
-    return float(np.clip(known.mean() if len(known) else 0.5, *PRIOR_RANGE))
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, kept off 0 and 1: the least ratio of the two
+    samples' shares above a threshold, over thresholds that a fifth of the positives or more
+    pass. Each half is judged by a classifier fitted on the other."""
+    found = []
+    for half in (0, 1):
+        p, u = np.arange(len(positive)) % 2 == half, np.arange(len(unlabelled)) % 2 == half
+        if p.all() or u.all() or not p.any() or not u.any():
+            return 0.5
+        x = np.concatenate([positive[~p], unlabelled[~u]]).astype(float)
+        y = np.r_[np.ones((~p).sum()), np.zeros((~u).sum())]
+        weight = np.r_[np.full((~p).sum(), 1 / (~p).sum()), np.full((~u).sum(), 1 / (~u).sum())]
+        w = logistic(x, y, weight, 1e-4, 300, 0.05)
+        sure, any_ = positive[p] @ w, unlabelled[u] @ w
+        least = np.quantile(sure, np.linspace(0, 0.8, 33))
+        found.append(min((any_ >= t).mean() / (sure >= t).mean() for t in least))
+    return float(np.clip(np.mean(found), *PRIOR_RANGE))
+
+
+def pu_calibration(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Scale and shift that make decision values probabilities of label 1: the two numbers of
+    least unbiased risk, which is convex in them."""
+    spread = max(float(np.std(unlabelled)), 1e-6)
+    p, u = (np.stack([g / spread, np.ones(len(g))], 1) for g in (positive, unlabelled))
+    pull, small = prior * p.mean(0), np.array([1e-4, 0.0])
+    w = adam(lambda v: u.T @ sigmoid(u @ v) / len(u) - pull + small * v, np.zeros(2), 1500, 0.05)
+    return float(max(w[0], 0.0) / spread), float(w[1])
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
@@ -136,14 +164,17 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return adam(gradient, np.zeros(p.shape[1]), steps, rate)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, unlabelled: int = MOST_UNLABELLED
+) -> tuple[np.ndarray, float, float]:
     """Weights, scale and shift. Without any positives every text scores one half."""
-    x, y = vectors(sample(docs, labels, "quality", MOST_LABELLED, MOST_UNLABELLED))
-    if not (y == 1).any() or not (y < 0).any():
+    x, y = vectors(sample(docs, labels.where(F.col("quality") == 1), "quality", labelled, unlabelled))
+    positive, other = x[y == 1], x[y < 0]
+    if not len(positive) or not len(other):
         return np.zeros(SIZE), 1.0, 0.0
-    w = fit_pu(x[y == 1], x[y < 0], class_prior(y))
-    known = y >= 0
-    scale, shift = calibration(x[known] @ w, y[known])
+    prior = class_prior(positive, other)
+    w = fit_pu(positive, other, prior)
+    scale, shift = pu_calibration(positive @ w, other @ w, prior)
     return w, scale, shift
 
 
@@ -165,10 +196,17 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float], text: str =
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.3,
+    labelled: int = MOST_LABELLED,
+    unlabelled: int = MOST_UNLABELLED,
+) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; null texts count as empty, a null id is
-    not held out, repeated rows score alike, an empty table gives no rows."""
-    rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
+    not held out, repeated rows score alike, an empty table gives no rows. ``labelled`` and
+    ``unlabelled`` bound the rows that the model is fitted on."""
+    rows = scored(docs.select("doc_id", "text"), fit(docs, labels, labelled, unlabelled))
     return rows.select(
         "doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= threshold).cast("int").alias("predicted"),

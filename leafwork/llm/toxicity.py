@@ -158,9 +158,11 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
     return post, table, weight
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, labelled: int = MOST_LABELLED, unlabelled: int = MOST_UNLABELLED
+) -> tuple[list[str], np.ndarray]:
     """Lexicon and weights. Without documents of both labels every text scores nothing."""
-    rows = sample(docs, labels, "toxic", MOST_LABELLED, MOST_UNLABELLED)
+    rows = sample(docs, labels, "toxic", labelled, unlabelled)
     entries = lexicon(rows.where("y IS NOT NULL"))
     if not entries:
         return [], np.array([-5.0, 0, 0, 0, 0])
@@ -199,10 +201,17 @@ def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.5,
+    labelled: int = MOST_LABELLED,
+    unlabelled: int = MOST_UNLABELLED,
+) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; null texts count as empty, a null id is
-    not held out, repeated rows score alike, an empty table gives no rows."""
-    rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
+    not held out, repeated rows score alike, an empty table gives no rows. ``labelled`` and
+    ``unlabelled`` bound the rows that the models are fitted on."""
+    rows = scored(docs.select("doc_id", "text"), fit(docs, labels, labelled, unlabelled))
     return rows.select(
         "doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= threshold).cast("int").alias("predicted"),

@@ -38,14 +38,27 @@ def site_rules(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
         whole = path.rsplit("/", 1)[0]  # a last part without its slash may go on
         tokens = [t for t in re.split(SEPARATORS, f"{host} {whole}".translate(str.maketrans(UPPER, LOWER))) if t]
         rows.append((host + path, rf"(?s)^(?:[^/]*\.)?{quoted(host)}{quoted(path)}", verdict, tokens, 1000 + len(host + path)))
-    return spark.createDataFrame(rows, "rule string, regex string, verdict string, tokens array<string>, rank int")
+    return _rules(spark, rows)
 
 
 def token_rules(spark: SparkSession, tokens: list[str]) -> DataFrame:
     """Rules of the method itself: they give a verdict but no rule name."""
     edge = "[^a-z0-9]"
     rows = [(None, rf"(?si)(?:^|{edge}){quoted(t)}(?:{edge}|$)", "block", [t], 1) for t in tokens]
-    return spark.createDataFrame(rows, "rule string, regex string, verdict string, tokens array<string>, rank int")
+    return _rules(spark, rows)
+
+
+def _rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A rule table made of literals, which no Python worker has to serve."""
+    names = ("rule", "regex", "verdict", "tokens", "rank")
+    kinds = ("string", "string", "string", "array<string>", "int")
+
+    def cell(value) -> Column:
+        return F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+
+    made = [F.struct(*[cell(v).cast(k).alias(n) for v, n, k in zip(row, names, kinds)]) for row in rows]
+    none = F.array().cast("array<struct<" + ", ".join(f"{n}: {k}" for n, k in zip(names, kinds)) + ">>")
+    return spark.range(1).select(F.inline(F.array(*made) if made else none))
 
 
 def tokens_of(target: Column) -> Column:

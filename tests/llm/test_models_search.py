@@ -230,3 +230,99 @@ def test_rules_without_literals_and_in_any_number(spark):
     free = spark.createDataFrame([("any", "(?s)p29[0-9]$", "block", [], 1)], many.schema)
     got = {r.page_id: r.rule for r in url_rules.judge(pages, many.union(free)).collect()}
     assert got[5] == "h5.com/" and got[295] == "any" and got[250] is None
+
+
+def weights_by_hand(tokens, entropy, max_epochs, budget):
+    """Weights by plain bisection of the exponent."""
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items()}
+
+    def weights(t):
+        z = sum(p**t for p in share.values())
+        return {s: p**t / z for s, p in share.items()}
+
+    def bisect(met, low, high):
+        if met(low):
+            return low
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (low, mid) if met(mid) else (mid, high)
+        return high
+
+    def spread(t):
+        return -sum(w * math.log(w) for w in weights(t).values() if w)
+
+    t = bisect(lambda t: spread(t) <= entropy * math.log(len(share)) + 1e-12, 0.0, 1.0)
+    if t < 1:
+        most, small = max(max_epochs, budget / total), min(tokens, key=tokens.get)
+        t = bisect(lambda t: weights(t)[small] * budget / tokens[small] <= most + 1e-12, t, 1.0)
+    return weights(t)
+
+
+@pytest.mark.parametrize("entropy, epochs, budget", [(0.9, 4.0, None), (1.0, 2.5, 3000), (0.5, 9.0, 700), (0.0, 1.0, None)])
+def test_mix_against_brute_force(spark, entropy, epochs, budget):
+    rng = np.random.default_rng(int(entropy * 10))
+    rows = [(int(k), s, "w " * int(rng.integers(0, 12))) for s, n in (("a", 150), ("b", 40), (None, 12)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.mix(docs, entropy=entropy, max_epochs=epochs, budget=budget, block_tokens=200).collect()
+    size = {(s, k): len(t.split()) + 1 for k, s, t in rows}
+    tokens = Counter()
+    for (s, _), n in size.items():
+        tokens[s] += n
+    whole = budget or sum(tokens.values())
+    want = weights_by_hand(tokens, entropy, epochs, whole)
+    for s in tokens:
+        mine = sorted((r for r in got if r.source == s), key=lambda r: (r.start, r.epoch))
+        quota, at, epoch_rows = math.floor(want[s] * whole), 0, defaultdict(list)
+        assert all(abs(r.weight - want[s]) < 1e-6 for r in mine)
+        for r in mine:
+            # Gapless, whole passes in order, each copy with its own length, none past the quota.
+            assert (r.start, r.tokens, r.epoch) == (at, size[s, r.doc_id], at // tokens[s]) and r.start < quota + 1
+            at += r.tokens
+            epoch_rows[r.epoch].append(r)
+            per_block = max(want[s] * min(200, whole), 1e-9)
+            assert abs(r.block - math.floor(r.start / per_block)) <= (abs(r.start / per_block - round(r.start / per_block)) < 1e-4)
+        assert at >= quota - 1
+        for epoch, there in epoch_rows.items():
+            ids = [r.doc_id for r in there]
+            assert len(set(ids)) == len(ids) and (epoch == max(epoch_rows) or len(ids) == sum(1 for k in size if k[0] == s))
+            runs = [r.section for k, r in enumerate(there) if k == 0 or there[k - 1].section != r.section]
+            assert len(runs) == len(set(runs))  # a section is one run
+    for rows_of in (list(v) for v in _by_block(got).values()):
+        assert sorted(r.position for r in rows_of) == list(range(1, len(rows_of) + 1))
+
+
+def _by_block(rows):
+    blocks = defaultdict(list)
+    for r in rows:
+        blocks[r.block].append(r)
+    return blocks
+
+
+def test_one_id_or_none_on_a_third_of_the_rows(spark):
+    for hot in (5, None):
+        rows = [(hot if k % 3 == 0 else 10_000 + k, "s", f"text number {k}") for k in range(3000)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        sections = Counter(r.section for r in mixing.mix(docs, entropy=0.0).collect())
+        assert sum(sections.values()) == 3000 and max(sections.values()) < 200
+        if hot:
+            mixed = mixing.mixed_documents(docs, entropy=0.0).collect()
+            assert sorted(r.text for r in mixed) == sorted(t for *_, t in rows)
+        known = spark.createDataFrame([(i, 1, 1) for i, *_ in rows[:600]], "doc_id long, quality int, toxic int")
+        for label in ("quality", "toxic"):
+            assert quality.sample(docs, known, label, 10, 10).count() <= 20
+        assert quality.quality_scores(docs, known, labelled=10, unlabelled=10).count() == 3000
+
+
+def test_class_prior_and_calibration_without_negatives():
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.85):
+        positive = np.c_[np.ones(2000), rng.normal(1.5, 1, (2000, 4))].astype(np.float32)
+        y = rng.random(4000) < prior
+        other = np.c_[np.ones(4000), np.where(y[:, None], rng.normal(1.5, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4)))].astype(np.float32)
+        found = quality.class_prior(positive, other)
+        assert abs(found - prior) < 0.05
+        w = quality.fit_pu(positive, other, found)
+        scale, shift = quality.pu_calibration(positive @ w, other @ w, found)
+        score = 1 / (1 + np.exp(-(other @ w * scale + shift)))
+        assert abs(score.mean() - prior) < 0.06 and ((score > 0.5) == y).mean() > 0.97
