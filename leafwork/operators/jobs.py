@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import constants as C
+from leafwork.functions import text as T
 from leafwork.functions.paths import base_name, literal_map, or_default
 
 TEXT_FIELDS = [
@@ -15,8 +16,9 @@ TEXT_FIELDS = [
 # Fields that hold text or null; anything else is an error.
 CHECKED_TEXT_FIELDS = ["job_id", *TEXT_FIELDS, "ftp_user", "auth_username", *C.SECRET_FIELDS]
 INTEGER_PATTERN = r"\A\s*[+-]?[0-9]+(?:\.0+)?\s*\z"
+# A secret in text that is no JSON object: its value, or all that follows the start of a list.
 SECRET_PATTERN = (
-    r"(\"(?:" + "|".join(C.SECRET_FIELDS) + r")\"\s*:\s*)(?:\"(?:[^\"\\]++|\\.)*+\"?|[^,}\s]++)"
+    r"(?s)(\"(?:" + "|".join(C.SECRET_FIELDS) + r")\"\s*:\s*)(?:\"(?:[^\"\\]++|\\.)*+\"?|[\[{].*|[^,}\s]++)"
 )
 
 
@@ -24,6 +26,36 @@ def mask_secrets(raw: Column) -> Column:
     return F.regexp_replace(raw, SECRET_PATTERN, '$1"***"')
 
 
+def _masked_object(raw: Column, keys: Column, values: Column) -> Column:
+    """A JSON object without its secrets: masked where they stand, put together again if one
+    is a list or an object, or its name is spelled so that the pattern does not see it."""
+    shown = F.zip_with(
+        keys,
+        values,
+        lambda k, v: F.concat(
+            F.regexp_extract(F.to_json(F.array(k)), r"(?s)\A\[(.*)\]\z", 1), F.lit(":"),
+            F.when(k.isin(C.SECRET_FIELDS), '"***"').otherwise(F.to_json(v)),
+        ),
+    )
+    secret = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"].isin(C.SECRET_FIELDS))
+    nested = F.exists(secret, lambda e: F.schema_of_variant(e["v"]).rlike("^(?:ARRAY|OBJECT)"))
+    seen = F.size(secret) == F.regexp_count(raw, F.lit(SECRET_PATTERN))
+    again = F.concat(F.lit("{"), F.array_join(F.reverse(shown), ","), F.lit("}"))
+    return F.when(seen & ~nested, mask_secrets(raw)).otherwise(again)
+
+
+def _json_object(raw: Column) -> Column:
+    """The members of ``raw`` if it is one JSON object and nothing else, null otherwise.
+
+    Readers stop at the end of a value, so what follows it is seen only from outside: text
+    that closes a list around it early cannot close an object too.
+    """
+    listed = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,variant>>")
+    member = F.from_json(F.concat(F.lit('{"m":'), raw, F.lit("}")), "m map<string,variant>")["m"]
+    whole = raw.rlike(r"\A\s*\{") & member.isNotNull()
+    return F.when(whole, T.let(listed, lambda o: F.when(F.size(o) == 1, F.get(o, 0))))
+
+
 def stable_id(value: Column) -> Column:
     """Twelve hex characters that depend on the message only, so a replay of
     the same message gets the same id."""
@@ -39,37 +71,39 @@ def _enum_error(name: str, value: Column, allowed: list[str]) -> Column:
 def parse_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
     """JSON text to typed job rows; rejects keep ``raw`` (masked) and ``error``.
 
-    Unknown fields are ignored, ``ftp_port`` accepts numeric text, absent
+    A message is one JSON object; of members of one name the last counts. Unknown fields are ignored, ``ftp_port`` accepts numeric text, absent
     ``ftp_port`` and ``auth_type`` take their defaults while an explicit null is
     an error. Credentials never leave this step. Other input columns are kept.
     """
     kept = [c for c in messages.columns if c != value]
     raw = F.col(value).cast("string")
-    parsed = messages.select(
-        *kept,
-        F.struct(
-            raw.alias("_raw"),
-            F.when(
-                raw.rlike(r"(?s)\A\s*\{.*\}\s*\z"), F.from_json(raw, "map<string,variant>")
-            ).alias("_fields"),
-        ).alias("_parsed"),
+    # Members from the last to the first: the first found is the last given.
+    members = T.let(
+        _json_object(raw),
+        lambda o: F.struct(
+            raw.alias("_raw"), F.reverse(F.map_keys(o)).alias("_keys"), F.reverse(F.map_values(o)).alias("_values")
+        ),
     )
+    parsed = messages.select(*kept, members.alias("_parsed"))
     # Reading the parsed struct through a generator stops later filters from
     # being pushed below it, which would parse the text again for every field.
     fields = parsed.select(*kept, F.inline_outer(F.array("_parsed")))
-    f = F.col("_fields")
+    f = F.col("_keys")
+
+    def member(name: str) -> str:
+        return f"get(_values, CAST(array_position(_keys, '{name}') AS INT) - 1)"
 
     def value_of(name: str) -> Column:
-        return F.expr(f"try_variant_get(_fields['{name}'], '$', 'string')")
+        return F.expr(f"try_variant_get({member(name)}, '$', 'string')")
 
     def not_text(name: str) -> Column:
         return F.expr(
-            f"CASE WHEN schema_of_variant(_fields['{name}']) NOT IN ('STRING', 'VOID') "
+            f"CASE WHEN schema_of_variant({member(name)}) NOT IN ('STRING', 'VOID') "
             f"THEN '{name} is not text' END"
         )
 
-    port_given = F.map_contains_key(f, F.lit("ftp_port"))
-    auth_given = F.map_contains_key(f, F.lit("auth_type"))
+    port_given = F.array_contains(f, F.lit("ftp_port"))
+    auth_given = F.array_contains(f, F.lit("auth_type"))
     port = F.regexp_extract(value_of("ftp_port"), r"([+-]?[0-9]+)", 1).try_cast("int")
     error = (
         F.when(f.isNull(), F.lit("message is not a JSON object")).otherwise(
@@ -101,7 +135,14 @@ def parse_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
             F.when(F.col("error").isNull(), F.coalesce(value_of("auth_type"), F.lit("none"))).alias(
                 "auth_type"
             ),
-            F.when(F.col("error").isNotNull(), mask_secrets(F.col("_raw"))).alias("raw"),
+            F.when(
+                F.col("error").isNotNull(),
+                F.when(
+                    F.arrays_overlap(f, T.literal_array(C.SECRET_FIELDS)), _masked_object(F.col("_raw"), f, F.col("_values"))
+                ).otherwise(
+                    F.when(f.isNull(), mask_secrets(F.col("_raw"))).otherwise(F.col("_raw"))
+                ),
+            ).alias("raw"),
             F.col("error"),
         )
     )

