@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import pickle
 import re
 import tempfile
 import zipfile
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree as ET
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,9 @@ MAX_MEMBER_BYTES = 1024 * 1024 * 1024
 ROWS_PER_BATCH = 4_096
 # A batch of elements is sent on at so many characters, too.
 CHARS_PER_BATCH = 1 << 24
+# A sheet may declare this many empty rows or columns more than it has cells; a dimension
+# beyond that (whole grids are declared for a few cells) is not made.
+MOST_PADDING = 1_000
 # Shared strings beyond so many bytes go to a temporary file.
 SHARED_IN_MEMORY = 1 << 26
 
@@ -81,10 +85,11 @@ class _Archive:
         return tags[0]
 
     def stream(
-        self, name: str, wanted: Callable[[list[str]], bool], mark: list[str] | None = None
-    ) -> Iterator[ET.Element | None]:
-        """The outermost elements whose path of tags is ``wanted``, one held at a time;
-        None where an element of the path ``mark`` below the root starts."""
+        self, name: str, wanted: Callable[[list[str]], bool], marks: Sequence[list[str]] = ()
+    ) -> Iterator[ET.Element | str]:
+        """The outermost elements whose path of tags is ``wanted``, one held at a time; the
+        tag alone where an element of one of the paths ``marks`` below the root starts."""
+        deepest = 1 + max(map(len, marks), default=-1)
         stack: list[ET.Element] = []
         tags: list[str] = []
         top = 0
@@ -95,8 +100,8 @@ class _Archive:
                     tags.append(node.tag)
                     if not top and wanted(tags):
                         top = len(tags)
-                    elif not top and tags[1:] == mark:
-                        yield None
+                    elif not top and len(tags) <= deepest and tags[1:] in marks:
+                        yield node.tag
                     continue
                 if top == len(tags):
                     yield node
@@ -176,30 +181,51 @@ def _word_row(row: ET.Element, above: list[str]) -> list[str]:
     return cells
 
 
+class _Later:
+    """Elements to be sent after all others, beyond a size on disk."""
+
+    def __init__(self):
+        self.data, self.n = tempfile.SpooledTemporaryFile(max_size=SHARED_IN_MEMORY), 0
+
+    def add(self, element: tuple) -> None:
+        pickle.dump(element, self.data)
+        self.n += 1
+
+    def __iter__(self) -> Iterator[tuple]:
+        self.data.seek(0)
+        for _ in range(self.n):
+            yield pickle.load(self.data)
+
+
 def _docx(archive: _Archive, per_chunk: int) -> Iterator[tuple]:
-    main = archive.main_part(W + "document")
-    body = [W + "body"]
-    seen, bodies = 0, 0
-    for par in archive.stream(main, lambda tags: tags[1:] == [*body, W + "p"], body):
-        if par is None:
+    """One pass: paragraphs go on as they come, tables follow them in the last chunk."""
+    body, table = [W + "body"], [W + "body", W + "tbl"]
+    paths = ([*body, W + "p"], [*table, W + "tr"])
+    seen = bodies = number = 0
+    cells: list[str] = []
+    fresh, later = True, _Later()
+    for node in archive.stream(
+        archive.main_part(W + "document"), lambda tags: 2 < len(tags) < 5 and tags[1:] in paths, (body, table)
+    ):
+        if node == body[-1]:
             bodies += 1
-            continue
-        text = _word_paragraph(par).strip()
-        if text:
-            yield 0, seen // per_chunk, "paragraph", [text]
-            seen += 1
+        elif node == table[-1]:
+            number, cells, fresh = number + 1, [], True
+        elif node.tag == W + "p":
+            text = _word_paragraph(node).strip()
+            if text:
+                yield 0, seen // per_chunk, "paragraph", [text]
+                seen += 1
+        else:
+            if fresh:
+                later.add((number, "heading", [f"{C.TABLE_MARKER} {number}]"]))
+                fresh = False
+            cells = _word_row(node, cells)
+            later.add((number, "row", cells))
     if not bodies:
         raise ValueError("document has no body")
-    number, cells, fresh = 0, [], True
-    for row in archive.stream(main, lambda tags: tags[1:] == [*body, W + "tbl", W + "tr"], [*body, W + "tbl"]):
-        if row is None:
-            number, cells, fresh = number + 1, [], True
-            continue
-        if fresh:
-            yield number, seen // per_chunk, "heading", [f"{C.TABLE_MARKER} {number}]"]
-            fresh = False
-        cells = _word_row(row, cells)
-        yield number, seen // per_chunk, "row", cells
+    for part, kind, shown in later:
+        yield part, seen // per_chunk, kind, shown
 
 
 def _column_number(ref: str) -> int:
@@ -279,8 +305,9 @@ class _SharedStrings:
 
 def _extent(archive: _Archive, member: str) -> tuple[int | None, int | None]:
     """(width, height) of a sheet that declares a dimension: the declared ones, or those
-    of its cells where these lie beyond. (None, None) where it declares none."""
-    declared: list[int | None] = []
+    of its cells where these lie beyond, or where the declared ones lie so far beyond them
+    that they tell nothing of the sheet. (None, None) where it declares none."""
+    declared: list[int] = []
     row = column = width = height = 0
 
     def seen(tag: str, attrs: dict) -> None:
@@ -288,7 +315,7 @@ def _extent(archive: _Archive, member: str) -> tuple[int | None, int | None]:
         if tag == S + "dimension":
             corner = attrs.get("ref", "").rpartition(":")[2]
             digits = corner.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz$")
-            declared[:] = [_column_number(corner) or None, int(digits) if digits.isdigit() else None]
+            declared[:] = [_column_number(corner), int(digits) if digits.isdigit() else 0]
         elif tag == S + "row":
             row, column = int(attrs.get("r", row + 1)), 0
         elif tag == S + "c":
@@ -296,8 +323,10 @@ def _extent(archive: _Archive, member: str) -> tuple[int | None, int | None]:
             width, height = max(width, column), max(height, row)
 
     archive.starts(member, seen)
-    wide, high = declared or (None, None)
-    return wide and max(wide, width), None if high is None else max(high, height)
+    if not declared:
+        return None, None
+    wide, high = (most if most - own <= MOST_PADDING else own for most, own in zip(declared, (width, height)))
+    return max(wide, width), max(high, height)
 
 
 def _sheet_rows(
@@ -318,7 +347,7 @@ def _sheet_rows(
         for cell in node.findall(S + "c"):
             column = _column_number(cell.get("r", "")) or column + 1
             placed[column] = _cell_value(cell, shared, dated)
-        last = width or max(placed, default=0)
+        last = max(placed, default=0) if width is None else width
         yield [placed.get(i, "") for i in range(1, last + 1)]
         done = number
     while height is not None and done < height:
@@ -373,8 +402,8 @@ def _slide_lines(archive: _Archive, member: str) -> Iterator[tuple[str, list[str
     tree = [P + "cSld", P + "spTree"]
     shapes = (P + "sp", P + "graphicFrame")
     trees = 0
-    for shape in archive.stream(member, lambda tags: tags[1:3] == tree and len(tags) == 4 and tags[3] in shapes, tree):
-        if shape is None:
+    for shape in archive.stream(member, lambda tags: tags[1:3] == tree and len(tags) == 4 and tags[3] in shapes, (tree,)):
+        if isinstance(shape, str):
             trees += 1
         elif shape.tag == P + "sp":
             for text in _drawing_paragraphs(shape.find(P + "txBody")):
@@ -525,17 +554,27 @@ def _rendered() -> Column:
 
 
 def office_chunks(elements: DataFrame) -> DataFrame:
-    """Element rows to the text chunks of each document, numbered in order."""
+    """Element rows to the text chunks of each document, numbered in order. A document that
+    is damaged anywhere has one row with its ``error`` and none of its text."""
+    is_error = F.col("kind") == "error"
+    failed = F.max("error").over(Window.partitionBy("doc_id")).isNotNull()
     ordered = F.sort_array(F.collect_list(F.struct("elem_no", "line")))
     return (
-        elements.where(~F.col("kind").isin("document", "error"))
-        .select("doc_id", "chunk_no", "elem_no", _rendered().alias("line"))
+        elements.where("kind <> 'document'")
+        .select(
+            "doc_id", F.when(~is_error, F.col("chunk_no")).alias("chunk_no"), "elem_no",
+            F.coalesce(_rendered(), F.lit("")).alias("line"), "error", failed.alias("_failed"),
+        )
+        .where(~F.col("_failed") | F.col("error").isNotNull())
         .groupBy("doc_id", "chunk_no")
-        .agg(ordered.alias("lines"))
+        .agg(ordered.alias("lines"), F.max("error").alias("error"))
         .select(
             "doc_id",
             "chunk_no",
-            F.concat(F.array_join(F.col("lines.line"), "\n"), F.lit("\n")).alias("text"),
+            F.when(
+                F.col("error").isNull(), F.concat(F.array_join(F.col("lines.line"), "\n"), F.lit("\n"))
+            ).alias("text"),
+            "error",
         )
     )
 

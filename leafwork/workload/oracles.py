@@ -338,7 +338,7 @@ every AS (SELECT doc_id, no // 50 AS chunk_no, no AS pos, line FROM full_lines
  UNION ALL SELECT doc_id, n // 50, n + 1, 'source | lang' FROM counted
  UNION ALL SELECT doc_id, n // 50, n + 2, source || ' | ' || lang FROM counted)
 """
-_BY_CHUNK = f"SELECT doc_id, chunk_no, string_agg(line, {NL} ORDER BY pos) || {NL} AS text FROM every GROUP BY doc_id, chunk_no"
+_BY_CHUNK = f"SELECT doc_id, chunk_no, string_agg(line, {NL} ORDER BY pos) || {NL} AS text, CAST(NULL AS VARCHAR) AS error FROM every GROUP BY doc_id, chunk_no"
 ORACLES["docx_to_text"] = LINES + _DOCX_LINES + _BY_CHUNK
 ORACLES["odt_to_text"] = LINES + (
     ", every AS (SELECT doc_id, no // 50 AS chunk_no, no AS pos, line FROM full_lines) " + _BY_CHUNK

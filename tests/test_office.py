@@ -18,7 +18,7 @@ def _rows(spark, *docs):
 
 
 def _chunks(df):
-    return [tuple(r) for r in df.orderBy("doc_id", "chunk_no").collect()]
+    return [tuple(r) for r in df.select("doc_id", "chunk_no", "text").orderBy("doc_id", "chunk_no").collect()]
 
 
 def _patched(archive: bytes, changed: dict[str, str]) -> bytes:
@@ -166,6 +166,27 @@ def test_xlsx_cells_beyond_a_stale_dimension(spark):
     ]
 
 
+def test_xlsx_declared_grids_are_not_made(spark):
+    cells = '<row r="1"><c r="A1"><v>1</v></c><c r="C1"><v>2</v></c></row><row r="3"><c><v>3</v></c></row>'
+    text = "=== Sheet: S ===\n1 |  | 2\n |  | \n3 |  | \n"
+    for ref, shown in (("A1:XFD1048576", text), ("A1:C1048576", text), ("A1:XFD3", text), ("A1:D4", None)):
+        body = _sheet_of(f'<dimension ref="{ref}"/><sheetData>{cells}</sheetData>')
+        rows = [r[3] for r in office._elements("xlsx", body) if r[2] == "row"]
+        assert len(rows) == (3 if shown else 4) and {len(r) for r in rows} == {3 if shown else 4}
+        if shown:
+            assert _chunks(office.xlsx_to_text(_rows(spark, ("xlsx", body)))) == [(0, 0, shown)]
+
+
+def test_damaged_documents_are_error_rows_without_text(spark):
+    lines = "".join(f'<row r="{k}"><c r="A{k}"><v>{k}</v></c></row>' for k in range(1, 500))
+    number = _sheet_of(f'<sheetData>{lines}<row r="500"><c r="A500" t="s"><v>77</v></c></row></sheetData>')
+    docs = _rows(spark, ("xlsx", number), ("xlsx", b"no archive"), ("xlsx", _sheet_of("<sheetData/>")), ("xlsx", None))
+    got = {(r.doc_id, r.chunk_no): (r.text, r.error) for r in office.xlsx_to_text(docs).collect()}
+    assert set(got) == {(0, None), (1, None), (2, 0), (3, None)}
+    assert got[0, None] == (None, "IndexError: no shared string 77") and got[2, 0] == ("=== Sheet: S ===\n", None)
+    assert got[1, None][0] is None and got[1, None][1] and got[3, None] == (None, "ValueError: File not found")
+
+
 @pytest.mark.parametrize("kind", office.OFFICE_TYPES)
 def test_large_members_are_streamed(kind, monkeypatch):
     # Relations and the like are under this size, texts over it.
