@@ -106,10 +106,11 @@ def running(
     inside = how(F.col(value)).over(Window.partitionBy(doc_id, "_block").orderBy(no).rowsBetween(*up_to))
     both = blocked.withColumn("_inside", inside).join(earlier, [doc_id, "_block"])
     pair = F.array("_earlier", "_inside")
+    added = {F.max: F.greatest, F.min: F.least}.get(how, lambda a, b: a + b)
     combined = F.aggregate(
         F.filter(pair, lambda v: v.isNotNull()),
-        F.lit(None).cast(dict(rows.dtypes)[value] if how is F.max else "long"),
-        lambda a, b: F.coalesce(F.greatest(a, b) if how is F.max else a + b, b),
+        F.lit(None).cast("long" if how is F.sum else dict(rows.dtypes)[value]),
+        lambda a, b: F.coalesce(F.when(a.isNotNull(), added(a, b)), b),
     )
     return both.select(*rows.columns, combined.alias(name))
 
@@ -127,8 +128,8 @@ def aligned(
 
     ``step`` maps ``states`` to what follows them, ``fronts`` tells for each of them how many
     characters (bytes, if that is what parts are made of) belong to the part before. They go
-    to the last earlier part that is longer than its own front, or to a part of their own if
-    there is none. Parts of which nothing is left have no row.
+    to the last earlier part that is longer than its own front, else to the first, which
+    keeps its own. Parts of which nothing is left have no row.
     """
     kind = dict(parts.dtypes)[text]
     nothing = F.lit("").cast(kind)
@@ -140,24 +141,30 @@ def aligned(
     )
     front = F.get("_fronts", F.instr(F.lit(states), F.col("state")) - 1)
     known = facts.join(carried_states(facts.select(doc_id, part_no, "step"), doc_id, part_no, states), [doc_id, part_no])
-    cut = known.select(doc_id, part_no, front.alias("_front"), F.when(front < F.col("_size"), F.col(part_no)).alias("_mine"))
-    cut = stored(running(cut, doc_id, part_no, "_mine", F.max, "_owner"), "parts-cuts")
+    cut = running(known.select(doc_id, part_no, front.alias("_front"), "_size"), doc_id, part_no, part_no, F.min, "_first")
+    first = F.col("_first").isNull()
+    cut = cut.select(
+        doc_id, part_no, "_first", F.when(first, 0).otherwise(F.col("_front")).alias("_front"),
+        F.when(first | (F.col("_front") < F.col("_size")), F.col(part_no)).alias("_mine"),
+    )
+    owned = running(cut, doc_id, part_no, "_mine", F.max, "_before").withColumn("_owner", F.coalesce("_before", "_first"))
+    cut = stored(owned.select(doc_id, part_no, "_front", "_mine", "_owner"), "parts-cuts")
 
     both = rows.select(doc_id, part_no, text).join(cut, [doc_id, part_no])
     head = F.substr(text, F.lit(1), F.col("_front"))
-    moved = both.where("_front > 0").groupBy(doc_id, "_owner").agg(
+    moved = both.where("_front > 0").groupBy(doc_id, F.col("_owner").alias(part_no)).agg(
         F.sort_array(F.collect_list(F.struct(F.col(part_no).alias("no"), head.alias("head")))).alias("_heads")
     )
     joined = (
         F.array_join("_heads.head", "") if kind == "string" else F.aggregate("_heads.head", nothing, lambda a, b: F.concat(a, b))
     )
-    # What no part precedes stands before the first part.
-    target = F.coalesce("_owner", F.col("_heads")[0]["no"] - 1)
-    tails = moved.select(doc_id, target.alias(part_no), joined.alias("_tail"))
+    tails = moved.select(doc_id, part_no, joined.alias("_tail"))
     bodies = both.where("_mine IS NOT NULL").select(doc_id, part_no, F.substr(text, F.col("_front") + 1).alias("_body"))
-    return bodies.join(tails, [doc_id, part_no], "full").select(
-        doc_id, part_no, F.concat(F.coalesce("_body", nothing), F.coalesce("_tail", nothing)).alias(text)
+    # The left side stays where the first join has put it.
+    whole = bodies.join(tails, [doc_id, part_no], "left").select(
+        doc_id, part_no, F.concat("_body", F.coalesce("_tail", nothing)).alias(text)
     )
+    return whole.where(F.col(text) != nothing)
 
 
 # --- bytes ----------------------------------------------------------------------------
