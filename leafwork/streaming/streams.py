@@ -55,7 +55,8 @@ def start_folder_watch(
     available_now: bool = False,
 ) -> StreamingQuery:
     """Convert new files as they appear; ``documents`` comes from
-    ``stream_documents``. Files already handled are known from the checkpoint.
+    ``stream_documents``. Files already handled are known from the checkpoint; one of
+    unknown type is a failed row.
     Name the document ``types`` if the stream is limited to some, so that a
     micro-batch is read once.
 
@@ -65,9 +66,7 @@ def start_folder_watch(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = f"{results_table}/batch_id={batch_id}"
-        rows = batch.where(F.col("document_type") != "").select(
-            F.col("key").alias("doc_id"), "document_type", "content"
-        )
+        rows = batch.select(F.col("key").alias("doc_id"), "document_type", "content")
         converted = convert_documents(rows, types).select(
             F.col("doc_id").alias("key"),
             J.watch_job_id(F.col("doc_id")).alias("job_id"),

@@ -546,7 +546,10 @@ _LATEST = RUNS + """
 SELECT user_id AS job_id, status, event_type AS step FROM runs
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLES["latest_status"] = _LATEST
-ORACLES["latest_status_stream"] = _LATEST
+ORACLES["latest_status_stream"] = ORACLES["latest_status_levels"] = _LATEST
+# Each run knows the jobs of those before it.
+ORACLES["dedupe_runs"] = """
+SELECT user_id AS job_id, arg_min(event_id, row(event_id % 3, ts, event_id)) AS event_id FROM events GROUP BY user_id"""
 ORACLES["dedupe_stream"] = "SELECT DISTINCT user_id AS job_id FROM events"
 ORACLES["dedupe_jobs"] = """
 SELECT 'job-' || user_id AS job_id, event_type, event_id FROM events

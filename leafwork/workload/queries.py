@@ -16,7 +16,7 @@ from leafwork.plans import flows
 from leafwork.plans.converters import convert_documents as convert
 from leafwork.session import new_folder
 from leafwork.sources import listing, ranges, readers, writers
-from leafwork.streaming import streams
+from leafwork.streaming import levels, streams
 from leafwork.workload import archives
 from leafwork.workload import inputs as I
 
@@ -765,6 +765,26 @@ def latest_status_stream(spark, sf_dir):
     return streams.current_status(spark.read.parquet(changes))
 
 
+@query
+def latest_status_levels(spark, sf_dir):
+    """The same without streaming state, in twelve micro-batches merged as they come together."""
+    events = I.table(spark, sf_dir, "events")
+    log = I.status_log(events)
+    source, table = new_folder(spark, "status-source"), new_folder(spark, "status-levels")
+    log.repartition(12, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    levels.start_status_levels(stream, table, new_folder(spark, "status-log"), fan=3, available_now=True).awaitTermination()
+    return levels.status_now(spark, table, log.schema)
+
+
+@query
+def dedupe_runs(spark, sf_dir):
+    """``dedupe_jobs`` in three runs over a third of the log each, which share a key table."""
+    log, table = I.status_log(I.table(spark, sf_dir, "events")).select("job_id", "ts", "event_id"), new_folder(spark, "keys")
+    runs = [levels.first_seen(log.where(F.col("event_id") % 3 == k), table, k, ["ts", "event_id"], fan=2) for k in range(3)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("job_id", "event_id")
+
+
 @query
 def dedupe_jobs(spark, sf_dir):
     log = I.table(spark, sf_dir, "events").select(
