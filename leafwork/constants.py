@@ -49,6 +49,9 @@ CONVERTER_FAMILIES = {
     "image": "frames",
 }
 
+# --- longest time from the start of a conversion to its end (fixed value) ------
+CONVERT_STEP_LIMIT = "600 SECONDS"
+
 # --- text analytics (fixed values) ------------------------------------------
 STOP_WORDS = [
     "the", "a", "an", "is", "it", "in", "on", "at", "to", "for",

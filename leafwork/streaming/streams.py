@@ -129,3 +129,43 @@ def current_status(changes: DataFrame, job_id: str = "job_id") -> DataFrame:
 def lifecycle_stream(results: DataFrame) -> DataFrame:
     """Completed and failed events of finished jobs, as they finish."""
     return finished_events(results)
+
+
+def step_outcomes(
+    started: DataFrame, finished: DataFrame, limit: str = C.CONVERT_STEP_LIMIT, late: str = "1 hour"
+) -> DataFrame:
+    """Started steps (job_id, ts, ...) with how they ended, from finished ones (job_id, ts,
+    success): completed or failed if that came within ``limit`` of the start, else overdue.
+
+    On streams an outer join under watermarks: events may come up to ``late`` after newer
+    ones, a step is told to be overdue once no timely end can come any more, and state is
+    dropped then. A job that ends twice in time has two rows. Works on tables just so.
+    """
+    time = F.col("ts").cast("timestamp")
+    begun = started.withColumns({"_job": F.col("job_id"), "started_at": time}).drop("job_id", "ts").withWatermark("started_at", late)
+    ended = finished.select(
+        "job_id", time.alias("finished_at"), F.coalesce("success", F.lit(False)).alias("_ok")
+    ).withWatermark("finished_at", late)
+    timely = F.expr(
+        f"_job = job_id AND finished_at >= started_at AND finished_at <= started_at + INTERVAL {limit}"
+    )
+    outcome = F.when(F.col("_ok").isNull(), "overdue").when(F.col("_ok"), "completed").otherwise("failed")
+    others = [c for c in started.columns if c not in ("job_id", "ts")]
+    return begun.join(ended, timely, "left_outer").select(
+        F.col("_job").alias("job_id"), *others, "started_at", "finished_at", outcome.alias("outcome")
+    )
+
+
+def start_step_outcomes(
+    started: DataFrame, finished: DataFrame, table: str, checkpoint: str, available_now: bool = False, **limits: str
+) -> StreamingQuery:
+    """Append ``step_outcomes`` of two streams to a table, each row once."""
+    writer = (
+        step_outcomes(started, finished, **limits)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(table)

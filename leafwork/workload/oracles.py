@@ -547,6 +547,13 @@ SELECT user_id AS job_id, status, event_type AS step FROM runs
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLES["latest_status"] = _LATEST
 ORACLES["latest_status_stream"] = ORACLES["latest_status_levels"] = _LATEST
+ORACLES["step_outcomes"] = """
+SELECT s.event_id AS start_id, s.user_id AS job_id,
+ CASE f.event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'overdue' END AS outcome,
+ strftime(f.ts, '%Y-%m-%d %H:%M:%S.%f') AS finished_at
+FROM (SELECT * FROM events WHERE event_type = 'view') s
+LEFT JOIN (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) f
+ ON f.user_id = s.user_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 6 HOUR"""
 # Each run knows the jobs of those before it.
 ORACLES["dedupe_runs"] = """
 SELECT user_id AS job_id, arg_min(event_id, row(event_id % 3, ts, event_id)) AS event_id FROM events GROUP BY user_id"""

@@ -777,6 +777,26 @@ def latest_status_levels(spark, sf_dir):
     return levels.status_now(spark, table, log.schema)
 
 
+@query
+def step_outcomes(spark, sf_dir):
+    """The log as two streams: views start steps, purchases and errors end them, six hours at
+    most. A last event far on lets the watermark pass all others."""
+    events = I.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"), "event_type", "ts")
+    source = new_folder(spark, "steps")
+    last = [events.select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("job_id"), F.lit(t).alias("event_type"),
+                          F.expr("ts + INTERVAL 400 DAYS").alias("ts")).limit(1) for t in ("view", "error")]
+    events.unionByName(last[0]).unionByName(last[1]).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    started = stream.where("event_type = 'view'").select(F.col("event_id").alias("start_id"), "job_id", "ts")
+    ended = stream.where("event_type IN ('purchase', 'error')").select("job_id", "ts", (F.col("event_type") == "purchase").alias("success"))
+    table = new_folder(spark, "outcomes")
+    streams.start_step_outcomes(
+        started, ended, table, new_folder(spark, "outcomes-log"), available_now=True, limit="6 HOURS"
+    ).awaitTermination()
+    found = spark.read.parquet(table).where("job_id >= 0")
+    return found.select("start_id", "job_id", "outcome", _stamp(F.col("finished_at")).alias("finished_at"))
+
+
 @query
 def dedupe_runs(spark, sf_dir):
     """``dedupe_jobs`` in three runs over a third of the log each, which share a key table."""

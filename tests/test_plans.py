@@ -14,7 +14,7 @@ ARCHIVE_QUERIES = {  # the one step with Python on executors is opening archives
 STREAMS_AND_STORES = {
     "jobs_stream", "latest_status_stream", "folder_watch_stream", "read_documents", "fetch_objects",
     "write_text", "write_pages", "move_objects", "delete_objects", "dedupe_stream", "read_parts", "scan_changes",
-    "latest_status_levels", "dedupe_runs",
+    "latest_status_levels", "dedupe_runs", "step_outcomes",
 }
 
 

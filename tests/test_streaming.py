@@ -156,6 +156,35 @@ def test_lifecycle_stream(spark, tmp_path):
     assert {r["event"] for r in out.collect()} == {"conversion.completed", "conversion.failed"}
 
 
+def test_step_outcomes_over_several_batches(spark, tmp_path):
+    def events(name, rows, schema):
+        made = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("n")).drop("n")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return made
+
+    def drain():
+        stream = lambda n, s: spark.readStream.schema(s).parquet(str(tmp_path / n))
+        streams.start_step_outcomes(
+            stream("s", "job_id string, ts timestamp"), stream("f", "job_id string, success boolean, ts timestamp"),
+            str(tmp_path / "t"), str(tmp_path / "log"), available_now=True, limit="10 SECONDS", late="5 SECONDS",
+        ).awaitTermination()
+        return {(r.job_id, r.outcome) for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+
+    start, end = "job_id string, n long", "job_id string, success boolean, n long"
+    events("s", [("a", 100), ("b", 100), ("c", 101), ("d", 102)], start)
+    events("f", [("a", True, 104), ("b", False, 110)], end)
+    assert drain() == {("a", "completed"), ("b", "failed")}  # the others may still end in time
+    events("f", [("c", True, 112), ("d", None, 112)], end)  # c too late by a second
+    events("s", [("e", 200)], start)
+    assert drain() == {("a", "completed"), ("b", "failed"), ("d", "failed")}
+    events("f", [("x", True, 300)], end)
+    events("s", [("f", 300)], start)
+    want = {("a", "completed"), ("b", "failed"), ("c", "overdue"), ("d", "failed"), ("e", "overdue")}
+    assert drain() == want
+    batch = streams.step_outcomes(*(spark.read.parquet(str(tmp_path / n)) for n in "sf"), limit="10 SECONDS").collect()
+    assert {(r.job_id, r.outcome) for r in batch} == want | {("f", "overdue")}
+
+
 def test_kafka_source_needs_its_connector(spark):
     try:
         frame = readers.kafka_messages(spark, "nowhere:9092", "jobs", max_offsets=10)
