@@ -106,7 +106,12 @@ def read_documents(
     A file that does not fit a cell keeps its row, with null content and an
     ``error``; it is not opened and fails nothing else.
     """
-    found = _binary_files(spark, spark.read, base, extensions)
+    return _fitting(_binary_files(spark, spark.read, base, extensions), largest)
+
+
+def _fitting(found: DataFrame, largest: int) -> DataFrame:
+    """Files with ``error``: those that do not fit are rows without content. The size is a
+    filter on the scan, so they are never opened."""
     fits = F.col("size_bytes") <= largest
     too_large = F.concat(
         F.lit("File too large to read: "), F.col("size_bytes").cast("string"), F.lit(" bytes")
@@ -117,11 +122,16 @@ def read_documents(
 
 
 def stream_documents(
-    spark: SparkSession, base: str, extensions: list[str] | None = None, max_files: int = 1_000
+    spark: SparkSession,
+    base: str,
+    extensions: list[str] | None = None,
+    max_files: int = 1_000,
+    largest: int = LARGEST_CELL,
 ) -> DataFrame:
-    """Files below a folder as they appear."""
+    """Files below a folder as they appear; one that does not fit a cell is a row with an
+    ``error`` and stops nothing."""
     reader = spark.readStream.schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
-    return _binary_files(spark, reader, base, extensions)
+    return _fitting(_binary_files(spark, reader, base, extensions), largest)
 
 
 def spread_small(rows: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def start_folder_watch(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = f"{results_table}/batch_id={batch_id}"
-        rows = batch.select(F.col("key").alias("doc_id"), "document_type", "content")
+        known = ["error"] if "error" in batch.columns else []
+        rows = batch.select(F.col("key").alias("doc_id"), "document_type", "content", *known)
         converted = convert_documents(rows, types).select(
             F.col("doc_id").alias("key"),
             J.watch_job_id(F.col("doc_id")).alias("job_id"),

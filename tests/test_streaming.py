@@ -85,6 +85,21 @@ def test_folder_watch_converts_archives_and_restarts(spark, tmp_path):
     assert drain() == sorted([*first, ("inbox/e.txt", True, "converted/e.txt.txt", "new")])
 
 
+def test_watch_keeps_rows_for_large_and_unknown_files(spark, tmp_path):
+    base, out = tmp_path / "in", str(tmp_path / "out")
+    base.mkdir()
+    for name, text in (("a.txt", "short"), ("b.txt", "much longer"), ("c.zip", "zz"), ("d", "d")):
+        (base / name).write_text(text)
+    stream = readers.stream_documents(spark, str(base), largest=5)
+    streams.start_folder_watch(stream, out, str(tmp_path / "log"), types=["txt"], available_now=True).awaitTermination()
+    got = {r.key: (r.success, r.text, r.error) for r in spark.read.parquet(out).collect()}
+    unknown = "Unsupported document type: "
+    assert got == {
+        "a.txt": (True, "short", None), "b.txt": (False, None, "File too large to read: 11 bytes"),
+        "c.zip": (False, None, unknown), "d": (False, None, unknown),
+    }
+
+
 def test_a_replayed_batch_is_overwritten(spark, tmp_path):
     """The batch folder carries the batch id, so running it again adds nothing."""
     events = tmp_path / "events"
