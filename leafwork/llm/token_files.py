@@ -29,6 +29,7 @@ def width_of(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    """Ids below ``2 ** width`` in that many bits each, lowest bits first; no ids, no bytes."""
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
     bits = (ids.astype(np.uint32)[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
@@ -36,6 +37,7 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    """The first ``n`` ids that ``pack`` has put into ``data``."""
     if width in (8, 16, 32):
         return np.frombuffer(data, f"<u{width // 8}", n).astype("<u4")
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)

@@ -67,11 +67,14 @@ def tokens_of(target: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
+    """What stands between the first ``://`` and the next ``/``, ``?`` or ``#``, A-Z lowered;
+    empty for a null URL or one without ``://``."""
     after = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.translate(F.coalesce(after, F.lit("")), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
+    """What follows the host up to ``?`` or ``#``; empty for a null URL or one without ``://``."""
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 

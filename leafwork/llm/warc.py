@@ -38,6 +38,8 @@ def record_id(page: int | None) -> str:
 
 
 def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    """A record's bytes. An empty payload is a block without a body, an empty URL an empty
+    field; without an id there is no id field, and all such records share a record id."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     url = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
