@@ -31,13 +31,17 @@ MOST_UNLABELLED = 8_000
 PRIOR_RANGE = (0.05, 0.98)
 
 
+#: Words that a task remembers the shapes of; a worker outlives its task and keeps the memory.
+MOST_WORDS = 64_000
+
+
 class Shapes(dict):
     """Shape bucket and letter statistics of each word, remembered up to a number."""
 
     def __missing__(self, word: str):
         from zlib import crc32
 
-        if len(self) >= 300_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         marks = []
         for c in word:
@@ -107,7 +111,7 @@ def vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            xs = [features(t, shapes).tobytes() for t in batch.column(0).to_pylist()]
+            xs = [features(t.as_py(), shapes).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), batch.column(1)], names=["x", "y"])
 
     got = rows.mapInArrow(run, "x binary, y int").toPandas()
@@ -188,7 +192,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            scores = [float(sigmoid(features(t or "", shapes) @ w)) for t in batch.column(at).to_pylist()]
+            # One text at a time: the batch is held as it came, not once more as strings.
+            scores = [float(sigmoid(features(t.as_py() or "", shapes) @ w)) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
