@@ -91,6 +91,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_small(rows) if name in TEXT_TABLES else rows
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, one file or a folder of files, read as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # A stream takes a single file only by a pattern; this one fits nothing else.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.expr(MESSAGE).alias("value"))
 

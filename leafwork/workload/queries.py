@@ -60,13 +60,7 @@ def parse_jobs(spark, sf_dir):
 @query
 def jobs_stream(spark, sf_dir):
     """The pages table read as a stream of messages, landed and read back."""
-    pages = I.table(spark, sf_dir, "pages")
-    stream = (
-        spark.readStream.schema(pages.schema)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(sf_dir)
-        .select("page_id", F.expr(I.MESSAGE).alias("value"))
-    )
+    stream = I.table_stream(spark, sf_dir, "pages").select("page_id", F.expr(I.MESSAGE).alias("value"))
     landed = new_folder(spark, "jobs")
     streams.start_jobs_stream(
         stream, landed, new_folder(spark, "jobs-log"), available_now=True
@@ -752,12 +746,7 @@ def latest_status(spark, sf_dir):
 @query
 def latest_status_stream(spark, sf_dir):
     """The same from the events table read as a stream."""
-    events = I.table(spark, sf_dir, "events")
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    stream = I.table_stream(spark, sf_dir, "events")
     changes = new_folder(spark, "status")
     streams.start_latest_status(
         I.status_log(stream), changes, new_folder(spark, "status-log"), available_now=True
@@ -819,12 +808,7 @@ def dedupe_jobs(spark, sf_dir):
 @query
 def dedupe_stream(spark, sf_dir):
     """The events table read as a stream of jobs, each job id let through once."""
-    events = I.table(spark, sf_dir, "events")
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    stream = I.table_stream(spark, sf_dir, "events")
     landed = new_folder(spark, "first-jobs")
     log = I.status_log(stream).withColumn("ts", F.col("ts").cast("timestamp"))
     first = streams.dedupe_stream(log, "ts", within="3650 days").select("job_id")
