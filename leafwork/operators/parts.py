@@ -115,6 +115,12 @@ def running(
     return both.select(*rows.columns, combined.alias(name))
 
 
+def _per_part(rows: DataFrame, name: str) -> DataFrame:
+    """``stored`` rows, one per part: their files are so much smaller than the rows are in memory
+    that a join would broadcast millions of them, so they are merged by key."""
+    return stored(rows, name).hint("merge")
+
+
 def aligned(
     parts: DataFrame,
     states: str,
@@ -136,7 +142,7 @@ def aligned(
     names = [c for c in parts.columns if c not in (doc_id, part_no, text)]
     rows = parts.select(doc_id, F.col(part_no).cast("long").alias(part_no), F.coalesce(text, nothing).alias(text), *names)
     size = F.char_length(text) if kind == "string" else F.octet_length(text)
-    facts = stored(
+    facts = _per_part(
         rows.select(doc_id, part_no, step.alias("step"), F.array(*fronts).alias("_fronts"), size.alias("_size")), "parts-facts"
     )
     front = F.get("_fronts", F.instr(F.lit(states), F.col("state")) - 1)
@@ -148,7 +154,7 @@ def aligned(
         F.when(first | (F.col("_front") < F.col("_size")), F.col(part_no)).alias("_mine"),
     )
     owned = running(cut, doc_id, part_no, "_mine", F.max, "_before").withColumn("_owner", F.coalesce("_before", "_first"))
-    cut = stored(owned.select(doc_id, part_no, "_front", "_mine", "_owner"), "parts-cuts")
+    cut = _per_part(owned.select(doc_id, part_no, "_front", "_mine", "_owner"), "parts-cuts")
 
     both = rows.select(doc_id, part_no, text).join(cut, [doc_id, part_no])
     head = F.substr(text, F.lit(1), F.col("_front"))
