@@ -101,18 +101,27 @@ def compare(listing: DataFrame, last: DataFrame) -> DataFrame:
     )
 
 
-def scan_changes(spark: SparkSession, base: str, manifest: str, keep: int = 2) -> DataFrame:
+def scan_changes(
+    spark: SparkSession, base: str, manifest: str, keep: int = 2, feed: str | None = None, rows_per_file: int = 0
+) -> DataFrame:
     """One run: lists ``base``, writes the listing as the manifest's next version and returns
     the files that are new, changed or gone since the last complete version.
 
     A run that fails before its version is complete changes nothing: the next one compares
     with the same version again. The last ``keep`` versions stay, older ones are deleted.
+
+    ``feed`` names a table, a folder per version, that the changes are added to before the
+    version is complete, ``rows_per_file`` at most to a file; a repeated run writes its own again.
     """
     known = versions(spark, manifest)
     listing = stored(list_tree(spark, base), "scan")
     last = spark.read.schema(listing.schema).parquet(f"{manifest}/version={known[-1]:08d}") if known else listing.limit(0)
     changes = stored(compare(listing, last).where("change <> 'same'"), "scan-changes")
     following = known[-1] + 1 if known else 1
+    if feed is not None:
+        # In order of the keys' hashes, so that files are full and hold files of all folders.
+        dealt = changes.repartitionByRange(F.xxhash64("key"))
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{feed}/{following:08d}")
     listing.write.mode("overwrite").parquet(f"{manifest}/version={following:08d}")
     for old in known[: max(len(known) + 1 - keep, 0)]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{manifest}/version={old:08d}")

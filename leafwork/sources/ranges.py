@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.sources.listing import list_tree
+from leafwork.sources.readers import fetched_batches, tasks_for
 from leafwork.sources.uris import store_uri
 
 #: Bytes of a part; even, as characters of UTF-16 are not to be cut.
@@ -34,11 +35,12 @@ def byte_ranges(files: DataFrame, part_bytes: int = PART_BYTES, size: str = "siz
     )
 
 
-def read_ranges(ranges: DataFrame, base_uri: str, key: str = "key") -> DataFrame:
+def read_ranges(ranges: DataFrame, base_uri: str, key: str = "key", tasks: int | None = None) -> DataFrame:
     """Add ``content``, the bytes of each (key, offset, length) below ``base_uri``, and ``error``:
     a file that is gone or shorter than its plan is told, and fails nothing else.
 
-    Ranges are dealt out by (key, part), one is in memory at a time.
+    Ranges are dealt out by (key, part), to so many ``tasks`` if that is given; small ones go
+    on together.
     """
     base_uri = store_uri(ranges.sparkSession, base_uri)
     at = {name: ranges.columns.index(name) for name in (key, "offset", "length")}
@@ -47,25 +49,22 @@ def read_ranges(ranges: DataFrame, base_uri: str, key: str = "key") -> DataFrame
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(base_uri)
+
+        def get(name: str, offset: int, length: int) -> tuple[bytes | None, str | None]:
+            try:
+                with store.open_input_file(f"{root}/{name}") as source:
+                    data = source.read_at(length, offset)
+                return (None, f"File is shorter than listed: {name}") if len(data) < length else (data, None)
+            except (FileNotFoundError, IsADirectoryError):
+                return None, f"Document not found: {name}"
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                name, offset, length = (one.column(at[c])[0].as_py() for c in (key, "offset", "length"))
-                data, error = None, None
-                try:
-                    with store.open_input_file(f"{root}/{name}") as source:
-                        data = source.read_at(length, offset)
-                    if len(data) < length:
-                        data, error = None, f"File is shorter than listed: {name}"
-                except (FileNotFoundError, IsADirectoryError):
-                    error = f"Document not found: {name}"
-                yield pa.RecordBatch.from_arrays(
-                    [*one.columns, pa.array([data], pa.binary()), pa.array([error], pa.string())],
-                    names=[*one.schema.names, "content", "error"],
-                )
+            asked = list(zip(*(batch.column(at[c]).to_pylist() for c in (key, "offset", "length"))))
+            yield from fetched_batches(batch, lambda i: get(*asked[i]), [("content", pa.binary()), ("error", pa.string())])
 
     fields = [*ranges.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
-    return ranges.repartition(key, "part_no").mapInArrow(read, T.StructType(fields))
+    dealt = ranges.repartition(*([] if tasks is None else [tasks]), key, "part_no")
+    return dealt.mapInArrow(read, T.StructType(fields))
 
 
 def read_parts(
@@ -77,4 +76,5 @@ def read_parts(
     if extensions is not None:
         files = files.where(F.col("ext").isin(extensions))
     planned = byte_ranges(files.select("key", "size_bytes", "document_type"), part_bytes)
-    return read_ranges(planned, base)
+    n, size = planned.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return read_ranges(planned, base, tasks=tasks_for(n, size, spark))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +11,20 @@ from pyspark.sql import types as T
 
 from leafwork import constants as C
 from leafwork.functions.paths import document_type_of, extension
+from leafwork.sources.listing import list_tree, scan_changes
 from leafwork.sources.uris import qualified, store_uri
 
 #: Bytes that one cell holds.
 LARGEST_CELL = 2**31 - 16
+#: Rows with fetched bytes go on together up to so many bytes.
+FETCHED_BYTES = 1 << 24
+#: Files, and bytes of them, that one task reads.
+FILES_PER_TASK = 2_000
+#: Files of a feed to a micro-batch, which its tasks share.
+FEED_FILES = 16
+BYTES_PER_TASK = 1 << 27
+#: Names below a folder that Spark's file readers pass over.
+_HIDDEN = r"(?:\A|/)(?:\.|_(?![^/=]*=))|\._COPYING_(?:/|\z)"
 BINARY_FILE_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -94,19 +104,55 @@ def list_files(spark: SparkSession, base: str, extensions: list[str] | None = No
     return _binary_files(spark, spark.read, base, extensions).drop("content")
 
 
+def _readable(files: DataFrame, extensions: list[str] | None) -> DataFrame:
+    """Of listed files those that Spark's file readers give, too: neither hidden nor empty."""
+    shown = files.where((F.col("size_bytes") > 0) & ~F.col("key").rlike(_HIDDEN))
+    return shown if extensions is None else shown.where(F.col("ext").isin(extensions))
+
+
+def _with_contents(spark: SparkSession, files: DataFrame, base: str, largest: int) -> DataFrame:
+    """Listed files with their bytes, read by the tasks that hold their rows; those that do
+    not fit a cell are not opened."""
+    prefix = qualified(spark, base).rstrip("/") + "/"
+    fits = F.col("size_bytes") <= largest
+    too_large = F.concat(
+        F.lit("File too large to read: "), F.col("size_bytes").cast("string"), F.lit(" bytes")
+    )
+    gone = F.concat(F.lit("Document not found: "), F.col("key"))
+    asked = files.withColumn("_asked", F.when(fits, F.col("key")))
+    return fetch_objects(asked, base, "_asked").select(
+        F.concat(F.lit(prefix), "key").alias("path"),
+        "key",
+        "size_bytes",
+        "last_modified",
+        "document_type",
+        "content",
+        F.when(~fits, too_large).when(F.col("content").isNull(), gone).alias("error"),
+    )
+
+
+def tasks_for(rows: int, size: int, spark: SparkSession) -> int:
+    """Tasks that read so many files or ranges of so many bytes in all."""
+    wanted = max(-(-rows // FILES_PER_TASK), -(-size // BYTES_PER_TASK))
+    return max(wanted, min(rows, spark.sparkContext.defaultParallelism), 1)
+
+
 def read_documents(
     spark: SparkSession,
     base: str,
     extensions: list[str] | None = None,
     largest: int = LARGEST_CELL,
 ) -> DataFrame:
-    """Files below a folder with their bytes. The extension list becomes a file
-    glob, so other files are never opened.
+    """Files below a folder with their bytes. Tasks list the folder and read the files, so
+    their number does not matter to the driver; files of other extensions are never opened.
 
     A file that does not fit a cell keeps its row, with null content and an
     ``error``; it is not opened and fails nothing else.
     """
-    return _fitting(_binary_files(spark, spark.read, base, extensions), largest)
+    _relative(spark, base)  # a folder
+    found = _readable(list_tree(spark, base), extensions)
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+    return _with_contents(spark, found.repartition(tasks_for(n, size, spark), "key"), base, largest)
 
 
 def _fitting(found: DataFrame, largest: int) -> DataFrame:
@@ -134,6 +180,34 @@ def stream_documents(
     return _fitting(_binary_files(spark, reader, base, extensions), largest)
 
 
+def stream_found(
+    spark: SparkSession,
+    base: str,
+    manifest: str,
+    feed: str,
+    extensions: list[str] | None = None,
+    max_files: int = 1_000,
+    largest: int = LARGEST_CELL,
+) -> DataFrame:
+    """``stream_documents`` for folders of any number of files: one run of a watch.
+
+    Tasks list the folder and compare it with the last run's listing (``scan_changes``); the
+    files that are new are rows added to the ``feed`` table, and the stream reads that table,
+    about ``max_files`` rows to a micro-batch, whose tasks fetch the bytes. The driver and the
+    checkpoint know the feed's files only. A file that is gone by then is a row with an ``error``.
+    """
+    _relative(spark, base)
+    per_file = max(max_files // FEED_FILES, 1)
+    found = scan_changes(spark, base, manifest, feed=feed, rows_per_file=per_file)
+    stream = (
+        spark.readStream.schema(found.schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max(max_files // per_file, 1))
+        .parquet(feed)
+    )
+    return _with_contents(spark, _readable(stream.where("change = 'new'"), extensions), base, largest)
+
+
 def spread_small(rows: DataFrame) -> DataFrame:
     """Give a small input a task per core.
 
@@ -160,7 +234,7 @@ def fetch_objects(rows: DataFrame, base_uri: str, key: str = "key") -> DataFrame
 
     The form for inventories too long to list: keys come from a table, every
     task reads its own, and neither a listing nor a join touches the driver.
-    One object is in memory at a time.
+    Small objects go on together, up to ``FETCHED_BYTES``.
     """
     at = rows.columns.index(key)
     base_uri = store_uri(rows.sparkSession, base_uri)
@@ -169,25 +243,48 @@ def fetch_objects(rows: DataFrame, base_uri: str, key: str = "key") -> DataFrame
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(base_uri)
+
+        def get(name: str | None) -> tuple[bytes | None]:
+            if name is None:
+                return (None,)
+            try:
+                with store.open_input_stream(f"{root}/{name}") as source:
+                    return (source.read(),)
+            except (FileNotFoundError, IsADirectoryError):
+                return (None,)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                name, data = one.column(at)[0].as_py(), None
-                if name is not None:
-                    try:
-                        with store.open_input_stream(f"{root}/{name}") as source:
-                            data = source.read()
-                    except (FileNotFoundError, IsADirectoryError):
-                        data = None
-                yield pa.RecordBatch.from_arrays(
-                    [*one.columns, pa.array([data], pa.binary())],
-                    names=[*one.schema.names, "content"],
-                )
+            names = batch.column(at).to_pylist()
+            yield from fetched_batches(batch, lambda i: get(names[i]), [("content", pa.binary())])
 
     fields = [*rows.schema.fields, T.StructField("content", T.BinaryType())]
     return rows.mapInArrow(fetch, T.StructType(fields))
 
 
+def fetched_batches(
+    batch: pa.RecordBatch, fetch: Callable[[int], tuple], columns: list[tuple[str, pa.DataType]]
+) -> Iterator[pa.RecordBatch]:
+    """``batch`` with more columns: what ``fetch`` gives for each row, bytes first. Rows go on
+    before their bytes exceed ``FETCHED_BYTES``; one with more goes alone."""
+
+    def made(start: int, rows: list[tuple]) -> pa.RecordBatch:
+        more = [pa.array(list(values), kind) for values, (_, kind) in zip(zip(*rows), columns)]
+        names = [*batch.schema.names, *(name for name, _ in columns)]
+        return pa.RecordBatch.from_arrays([*batch.slice(start, len(rows)).columns, *more], names=names)
+
+    start, rows, size = 0, [], 0
+    for i in range(batch.num_rows):
+        row = fetch(i)
+        more = len(row[0] or b"")
+        if rows and size + more > FETCHED_BYTES:
+            yield made(start, rows)
+            start, rows, size = i, [], 0
+        rows.append(row)
+        size += more
+    if rows:
+        yield made(start, rows)
+
+
 def source_key() -> Column:
     """What a job asks for: object key, URL or FTP path."""
     location = F.col("location_type")
