@@ -716,12 +716,15 @@ def recent_jobs(spark, sf_dir):
 
 @query
 def folder_watch_stream(spark, sf_dir):
-    """Stored documents and pages picked up as a stream and converted."""
+    """Stored documents and pages found by tasks, picked up as a stream and converted."""
     base = _stored_documents(spark, sf_dir)
     landed = new_folder(spark, "watch")
     types = ["txt", "html"]
     streams.start_folder_watch(
-        readers.stream_documents(spark, base, readers.extensions_of(types), max_files=10_000),
+        readers.stream_found(
+            spark, base, new_folder(spark, "watch-manifest"), new_folder(spark, "watch-feed"),
+            readers.extensions_of(types), max_files=10_000,
+        ),
         landed,
         new_folder(spark, "watch-log"),
         types=types,
