@@ -1,12 +1,15 @@
 """Folders of many small files: listed and read by tasks, sent on together."""
 
+import zipfile
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.operators import parts
+from leafwork.operators import office, parts
 from leafwork.sources import readers
 from leafwork.streaming import streams
+from leafwork.workload import archives
 
 
 def _plan(df):
@@ -74,3 +77,24 @@ def test_a_watch_fed_by_listings_sees_each_file_once(spark, tmp_path):
     assert drain() == first
     _store(base, ["u.txt"])
     assert drain() == sorted([*first, ("u.txt", True, "u.txt", None)])
+
+
+def _office_rows(kind, content):
+    return list(office._elements(kind, content))
+
+
+@pytest.mark.parametrize("kind", ["docx", "xlsx", "pptx", "odt"])
+def test_small_members_are_read_once_and_as_streamed(monkeypatch, kind):
+    content = archives._build(kind, 7, "one & two\n\n\tthree\nfour\nfive", "en", "web")
+    opened, plain = [], zipfile.ZipFile.open
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: (opened.append(str(name)), plain(self, name, *a, **k))[1])
+    kept = _office_rows(kind, content)
+    assert len(opened) == len(set(opened)) and opened
+    monkeypatch.setattr(office, "SMALL_MEMBERS", 0)
+    assert _office_rows(kind, content) == kept
+    for cut in range(0, len(content), 97):  # damaged anywhere, told alike
+        bad = content[:cut] + b"\xff\x00" + content[cut + 2 :]
+        streamed = _office_rows(kind, bad)
+        monkeypatch.setattr(office, "SMALL_MEMBERS", 1 << 20)
+        assert _office_rows(kind, bad) == streamed
+        monkeypatch.setattr(office, "SMALL_MEMBERS", 0)
