@@ -37,6 +37,8 @@ from leafwork.operators.extract import batch_rows, explode_once
 from leafwork.session import stored
 
 PARTS_PER_BLOCK = 1_000
+#: Rows of a part each that a join may broadcast, some 100 bytes each in memory.
+BROADCAST_PARTS = 200_000
 
 
 def _block(no: str, size: int) -> Column:
@@ -116,9 +118,10 @@ def running(
 
 
 def _per_part(rows: DataFrame, name: str) -> DataFrame:
-    """``stored`` rows, one per part: their files are so much smaller than the rows are in memory
-    that a join would broadcast millions of them, so they are merged by key."""
-    return stored(rows, name).hint("merge")
+    """``stored`` rows, one per part. Their files are so much smaller than the rows are in memory
+    that a join would broadcast millions of them, so more than a few are merged by key."""
+    kept = stored(rows, name)
+    return kept.hint("merge") if kept.count() > BROADCAST_PARTS else kept
 
 
 def aligned(

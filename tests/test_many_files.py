@@ -22,7 +22,8 @@ def _store(folder, names):
         (folder / name).write_text("" if "empty" in name else name)
 
 
-def test_joins_of_part_facts_are_not_broadcast(spark, rows):
+def test_joins_of_many_part_facts_are_not_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(parts, "BROADCAST_PARTS", 10)
     made = rows("doc_id int, part_no long, text string", *((d, n, "ab,\n") for d in range(3) for n in range(4)))
     whole = parts.aligned(made, "N", F.lit("N"), [F.lit(1)])
     assert "BroadcastHashJoin" not in _plan(whole) and "SortMergeJoin" in _plan(whole)
