@@ -8,15 +8,18 @@ shape of the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork import constants as C
 from leafwork.functions import text as T
+from leafwork.session import stored
 
 STATS = ["total_chars", "total_words", "total_lines", "total_pages", "avg_words_per_line"]
 FLAGS = ["has_tables", "has_images"]
 VOCABULARY_SLICES = 16
+#: A document of no more characters and parts is put together in one row.
+WHOLE_CHARS, WHOLE_PARTS = 1 << 20, 1 << 13
 ANALYTICS = [
     "total_chars", "total_words", "total_lines", "total_pages", "language_hint",
     "avg_words_per_line", "has_tables", "has_images", "top_words",
@@ -118,7 +121,57 @@ def analyze_parts(
 ) -> DataFrame:
     """``analyze_text`` for documents whose text spans several rows.
 
-    Parts must be cut at line ends. The text is read once: each part shrinks to
+    Parts must be cut at line ends. A first, narrow pass finds the long documents. The parts
+    of any other are put together, so its text moves once and its words never do; those of
+    long documents are analysed where they lie (``_spread_parts``).
+    """
+    sizes = parts.groupBy(doc_id).agg(
+        F.sum(F.char_length(text)).alias("_chars"), F.count(F.lit(1)).alias("_parts")
+    )
+    long_ids = sizes.where((F.col("_chars") > WHOLE_CHARS) | (F.col("_parts") > WHOLE_PARTS))
+    long_ids = stored(long_ids.select(F.col(doc_id).alias("_long")), "analyze-long")
+    if not long_ids.limit(1).count():
+        return _gathered_parts(parts, doc_id, part_no, text, language_mode)
+    is_long = F.col(doc_id).eqNullSafe(F.col("_long"))
+    few, many = (parts.join(long_ids, is_long, how) for how in ("left_anti", "left_semi"))
+    return _gathered_parts(few, doc_id, part_no, text, language_mode).unionByName(
+        _spread_parts(many, doc_id, part_no, text, language_mode)
+    )
+
+
+def _gathered_parts(parts: DataFrame, doc_id: str, part_no: str, text: str, language_mode: str) -> DataFrame:
+    """Documents whose parts fit one row: measured part by part, their words in order."""
+    piece = F.struct(F.col(part_no).alias("no"), F.coalesce(text, F.lit("")).alias("text"))
+    whole = parts.groupBy(doc_id).agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
+    bodies = F.transform("_pieces", lambda p: T.normalize_newlines(p["text"]))
+    whole = whole.select(doc_id, bodies.alias("_bodies"))
+
+    def total(measure) -> Column:
+        return F.aggregate("_bodies", F.lit(0).cast("long"), lambda n, b: n + measure(b).cast("long"))
+
+    tokens = F.col("_tokens")
+    measured = whole.withColumn("_tokens", F.flatten(F.transform("_bodies", T.words))).withColumns(
+        {
+            "total_chars": total(F.char_length),
+            "total_words": F.size(tokens).cast("long"),
+            "total_lines": total(T.count_lines),
+            "total_pages": total(T.count_page_markers),
+            "has_tables": F.exists("_bodies", T.has_tables),
+            "has_images": F.exists("_bodies", T.has_images),
+        }
+    )
+    return measured.select(
+        doc_id,
+        *STATS[:4],
+        T.average(F.col("total_words"), F.col("total_lines")).alias("avg_words_per_line"),
+        T.language_hint(tokens, language_mode).alias("language_hint"),
+        *FLAGS,
+        F.transform(T.ranked_words(tokens), lambda r: r["word"]).alias("top_words"),
+    )
+
+
+def _spread_parts(parts: DataFrame, doc_id: str, part_no: str, text: str, language_mode: str) -> DataFrame:
+    """Documents of any length. The text is read once: each part shrinks to
     entries (word, count, first position) where it lies, plus one entry with an
     empty word that carries the part's counters and entries of count zero for
     the language markers seen. Entries are summed per (document, word), which

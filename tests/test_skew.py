@@ -76,3 +76,16 @@ def test_one_status_key(spark):
 def test_one_output_key(spark):
     keys = spark.range(2_000).select(F.when(F.col("id") % 3 == 0, "index.html.txt").otherwise(F.col("id").cast("string")).alias("output_key"))
     assert jobs.key_collisions(keys).collect() == [("index.html.txt", 667)]
+
+
+def test_long_and_short_documents_are_analysed_alike(spark, monkeypatch):
+    rows = [(d, n, f"line {n} the {w} cat\n| und | {w}\n") for d, w in ((None, "zebra"), (1, "apple"), (2, "")) for n in range(5 if d == 1 else 40)]
+    parts = spark.createDataFrame(rows + [(3, 0, None), (3, 1, "a lone tail")], "doc_id long, part_no long, text string")
+    got = {}
+    for most in (1 << 13, 10, 0):  # none is long, two are, all are
+        monkeypatch.setattr(analyze, "WHOLE_PARTS", most)
+        found = analyze.analyze_parts(parts)
+        got[most] = sorted(map(str, found.collect()))
+        words_move = "Generate explode" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert words_move == (most < 40)  # the words of short documents are never rows
+    assert got[1 << 13] == got[10] == got[0] and len(got[0]) == 4
