@@ -290,7 +290,8 @@ def csv_part_rows(parts: DataFrame, doc_id: str = "doc_id", part_no: str = "part
     """``csv_rows`` for files in parts, cut anywhere: (doc_id, row_no, text) per record,
     numbered from 1 through all parts of a file."""
     whole = csv_aligned(parts, doc_id, part_no, text)
-    records = whole.select(doc_id, part_no, csv_records(F.col(text)).alias(text))
+    # Read twice, to number and to tell them: parsed once.
+    records = stored(whole.select(doc_id, part_no, csv_records(F.col(text)).alias(text)), "parts-records")
     counts = records.select(doc_id, part_no, F.size(text).cast("long").alias("_n"))
     before = running(counts, doc_id, part_no, "_n").select(doc_id, part_no, F.coalesce("before", F.lit(0)).alias("_before"))
     numbered = explode_once(records.join(before, [doc_id, part_no]), F.col(text), "_no", text, 1)

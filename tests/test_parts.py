@@ -120,3 +120,11 @@ def test_states_over_blocks(rows):
         for _, n, step in sorted(s for s in steps if s[0] == d):
             assert got[d, n] == state
             state = step["xyz".index(state)]
+
+
+def test_records_in_parts_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, 0, 'a,"b'), (1, 1, 'c"\nd,e\n'), (2, 0, "x")], "doc_id long, part_no long, text string")
+    found = parts.csv_part_rows(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # what numbers them and what tells them read the same table
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a | bc"), (1, 2, "d | e"), (2, 1, "x")]
