@@ -34,8 +34,9 @@ def write_objects(rows: DataFrame, base_uri: str, key: str = "output_key", text:
     """One UTF-8 object per row under ``base_uri``; a receipt row per object.
 
     The receipts are lazy, the objects are written when they are evaluated.
-    An object is written beside its final name, under a name of the attempt's
-    own, and moved there, so a task that runs twice leaves one whole object. Keys must be unique (``last_writer``).
+    An object is written into a hidden folder of the attempt's own and moved to its name, so
+    a task that runs twice leaves one whole object, and tasks that fill one folder change it
+    only once for each object. Keys must be unique (``last_writer``).
     """
     base_uri = store_uri(rows.sparkSession, base_uri)
 
@@ -43,24 +44,29 @@ def write_objects(rows: DataFrame, base_uri: str, key: str = "output_key", text:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(base_uri)
+        own = f"{root}/.parts-{uuid.uuid4().hex}"
         made = set()
-        for batch in batches:
-            sizes = []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = f"{root}/{name}"
-                folder = path.rpartition("/")[0]
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                data = (body or "").encode()
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as out:
-                    out.write(data)
-                store.move(part, path)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64())], names=["output_key", "bytes"]
-            )
+        try:
+            for batch in batches:
+                sizes = []
+                for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    path = f"{root}/{name}"
+                    for folder in (own, path.rpartition("/")[0]):
+                        if folder not in made:
+                            store.create_dir(folder, recursive=True)
+                            made.add(folder)
+                    data = (body or "").encode()
+                    part = f"{own}/{len(sizes)}.part"
+                    with store.open_output_stream(part) as out:
+                        out.write(data)
+                    store.move(part, path)
+                    sizes.append(len(data))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64())], names=["output_key", "bytes"]
+                )
+        finally:
+            if own in made:
+                store.delete_dir(own)
 
     return rows.select(F.col(key).alias("output_key"), text).mapInArrow(
         put, "output_key string, bytes long"
@@ -78,6 +84,7 @@ def move_objects(moves: DataFrame, base_uri: str) -> DataFrame:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(base_uri)
+        made = set()
         for batch in batches:
             errors = []
             for source, dest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -87,7 +94,10 @@ def move_objects(moves: DataFrame, base_uri: str) -> DataFrame:
                     if fs.FileType.NotFound not in (found[0].type, found[1].type):
                         error = "destination exists"
                     elif found[0].type != fs.FileType.NotFound:
-                        store.create_dir(f"{root}/{dest}".rpartition("/")[0], recursive=True)
+                        folder = f"{root}/{dest}".rpartition("/")[0]
+                        if folder not in made:
+                            store.create_dir(folder, recursive=True)
+                            made.add(folder)
                         store.move(f"{root}/{source}", f"{root}/{dest}")
                     elif found[1].type == fs.FileType.NotFound:
                         error = "source not found"

@@ -173,3 +173,13 @@ def test_fetch_objects_by_inventory(spark, rows, store):
     out = readers.fetch_objects(inventory, f"file://{store}").orderBy("n").collect()
     assert [bytes(r["content"]) if r["content"] is not None else None for r in out] == [b"alpha", None, None, b"<p>b</p>"]
     assert out[0]["tags"] == ["x"]
+
+
+def test_written_objects_have_no_neighbours_while_written(spark, tmp_path):
+    # A name as long as the file system takes: nothing is put beside it under a longer one.
+    name = "n" * 250 + ".txt"
+    texts = spark.createDataFrame([(f"deep/{name}", "x"), ("deep/b.txt", None)], "output_key string, text string")
+    receipts = {r["output_key"]: r["bytes"] for r in writers.write_objects(texts, f"file://{tmp_path}").collect()}
+    assert receipts == {f"deep/{name}": 1, "deep/b.txt": 0}
+    assert (tmp_path / "deep" / name).read_text() == "x"
+    assert [p.name for p in tmp_path.iterdir()] == ["deep"]
