@@ -326,3 +326,33 @@ def test_class_prior_and_calibration_without_negatives():
         scale, shift = quality.pu_calibration(positive @ w, other @ w, found)
         score = 1 / (1 + np.exp(-(other @ w * scale + shift)))
         assert abs(score.mean() - prior) < 0.06 and ((score > 0.5) == y).mean() > 0.97
+
+
+def test_many_queries_at_once_find_what_each_finds(monkeypatch):
+    # Queries are scored together; common terms by a product, rare ones by postings.
+    monkeypatch.setattr(bm25, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(bm25, "POSTINGS_AT_ONCE", 50)
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"t{int(x)}" for x in rng.zipf(1.3, 20) % 300)) for k in range(300)]
+    docs = [(d, *c) for (d, _), c in zip(rows, bm25.term_counts(pa.array([t for _, t in rows])))]
+    term = np.concatenate([t for _, t, _, _ in docs])
+    order = np.argsort(term, kind="stable")
+    found, first = np.unique(term[order], return_index=True)
+    place = np.repeat(np.arange(300, dtype="<i4"), [len(t) for _, t, _, _ in docs])
+    count = np.concatenate([c for _, _, c, _ in docs]).astype("<i4")
+    length = np.array([n for *_, n in docs], "<i8")
+    parts = dict(ids=np.arange(300, dtype="<i8"), lengths=length, terms=found, offsets=np.append(first, len(term)).astype("<i8"), places=place[order], counts=count[order])
+    shard = bm25.Shard({k: v.tobytes() for k, v in parts.items()}, length.mean())
+    df = np.diff(parts["offsets"])
+    asked = [docs[q][1] for q in range(40)]
+    weights = [np.log(1 + (300 - df[np.searchsorted(found, t)] + 0.5) / (df[np.searchsorted(found, t)] + 0.5)) for t in asked]
+    runs = list(shard.search_all(np.cumsum([0, *map(len, asked)]), np.concatenate(asked), np.concatenate(weights), 10))
+    assert len(runs) > 1 and 0 < shard.rows.shape[1] < len(found)
+    got = [(q, d) for who, ids, _ in runs for q, d in zip(who.tolist(), ids.tolist())]
+    assert got == [(r[0], r[1]) for r in brute_bm25(rows, rows[:40], 10)]
+
+
+def test_a_shard_of_empty_texts_finds_nothing():
+    row = dict(ids=np.arange(3, dtype="<i8"), lengths=np.zeros(3, "<i8"), terms=np.zeros(0, np.uint64), offsets=np.zeros(1, "<i8"), places=np.zeros(0, "<i4"), counts=np.zeros(0, "<i4"))
+    shard = bm25.Shard({k: v.tobytes() for k, v in row.items()}, 1.0)
+    assert shard.search(np.array([7], np.uint64), np.array([1.0]), 10) == []
