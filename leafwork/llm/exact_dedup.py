@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -46,30 +47,33 @@ def fold(rows: DataFrame, carried: list[str]) -> DataFrame:
 
         def folded(window: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal rid
-            best: dict[str, tuple] = {}
-            count: dict[str, int] = {}
-            at = rid
+            if not sum(b.num_rows for b in window):
+                return
+            # A number for each different text; texts stay in the batches.
+            codes = pa.chunked_array([b.column("_norm") for b in window]).dictionary_encode()
+            text = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in codes.chunks])
+            ids = pa.chunked_array([b.column("_id") for b in window])
+            none = ids.is_null().to_numpy()
+            order = np.lexsort((ids.fill_null(0).to_numpy(), none, text))  # stable: then by place
+            first = np.flatnonzero(np.concatenate([[True], np.diff(text[order]) != 0]))
+            best = order[first]  # by text, whose numbers have no gaps
+            count = np.bincount(text)
+            at = 0
             for batch in window:
-                for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_norm").to_pylist()):
-                    mine = (doc is None, doc or 0, at)
-                    if text not in best or mine < best[text]:
-                        best[text] = mine
-                    count[text] = count.get(text, 0) + 1
-                    at += 1
-            for batch in window:
-                texts = batch.column("_norm").to_pylist()
-                rids = list(range(rid, rid + len(texts)))
-                carriers = [best[t][2] for t in texts]
-                keeps = pa.array([a == b for a, b in zip(rids, carriers)], pa.bool_())
-                counts = [count[t] if a == b else 0 for t, a, b in zip(texts, rids, carriers)]
-                arrays, names = [pa.array(x, pa.int64()) for x in (rids, carriers, counts)], ["rid", "carrier", "n"]
+                mine = text[at : at + batch.num_rows]
+                rows = np.arange(at, at + batch.num_rows)
+                at += batch.num_rows
+                keeps = best[mine] == rows
+                cols = (rid + rows, rid + best[mine], np.where(keeps, count[mine], 0))
+                arrays, names = [pa.array(x, pa.int64()) for x in cols], ["rid", "carrier", "n"]
+                keeps = pa.array(keeps)
                 for name in batch.schema.names:
                     if name != "_norm":
                         col = batch.column(name)
                         arrays.append(pc.if_else(keeps, col, pa.scalar(None, col.type)) if name in carried else col)
                         names.append(name)
-                rid += len(texts)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            rid += at
 
         window, size = [], 0
         for batch in batches:
@@ -78,7 +82,8 @@ def fold(rows: DataFrame, carried: list[str]) -> DataFrame:
             if size >= FOLD_BYTES:
                 yield from folded(window)
                 window, size = [], 0
-        yield from folded(window)
+        if window:
+            yield from folded(window)
 
     return rows.mapInArrow(run, out)
 
@@ -128,9 +133,10 @@ def walk(entries: DataFrame, carried: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, chain = None, []
         for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in ("rid", "_id", "key", "_norm")}
+            cols = [batch.column(n).to_pylist() for n in ("rid", "_id", "key")]
             places, rids, ids = [], [], []
-            for rid, doc, k, text in zip(cols["rid"], cols["_id"], cols["key"], cols["_norm"]):
+            for rid, doc, k, text in zip(*cols, batch.column("_norm")):
+                text = text.as_py()  # one at a time
                 if k != key:
                     key, chain = k, []
                 for place, (known, _, _) in enumerate(chain):
@@ -142,7 +148,7 @@ def walk(entries: DataFrame, carried: list[str]) -> DataFrame:
                 places.append(place)
                 rids.append(chain[place][1])
                 ids.append(chain[place][2])
-            first = pa.array([a == b for a, b in zip(cols["rid"], rids)], pa.bool_())
+            first = pa.array([a == b for a, b in zip(cols[0], rids)], pa.bool_())
             arrays = [batch.column("rid"), batch.column("bucket"), batch.column("key")]
             arrays += [pa.array(x, pa.int64()) for x in (places, rids, ids)] + [batch.column("n")]
             names = ["rid", "bucket", "key", "chain", "keep_rid", "keep_id", "n"]

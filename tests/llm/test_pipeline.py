@@ -34,3 +34,18 @@ def test_one_id_on_several_rows(spark, sf_dir):
     docs = spark.createDataFrame(many, "doc_id long, text string, source string").repartition(3)
     mixed = corpus_pipeline.mixing.mixed_documents(docs, entropy=0.0)
     assert sorted(map(repr, map(tuple, mixed.collect()))) == sorted(map(repr, many))
+
+
+def test_stages_send_few_rows_to_python_at_a_time(spark):
+    # An executor holds a batch of whole texts in the JVM and in each worker.
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(setting)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(setting, given)
+            docs = spark.createDataFrame([(2, "a  b"), (1, "a b"), (None, "a\tb"), (3, None)], "doc_id long, text string")
+            kept = corpus_pipeline.exact_stage(spark, docs, "")
+            assert sorted(map(tuple, kept.collect())) == [(1, "a b"), (3, None)]
+            assert spark.conf.get(setting) == then
+    finally:
+        spark.conf.set(setting, own)
