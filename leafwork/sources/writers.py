@@ -102,7 +102,10 @@ def move_objects(moves: DataFrame, base_uri: str) -> DataFrame:
                     elif found[1].type == fs.FileType.NotFound:
                         error = "source not found"
                 except OSError as exc:
-                    error = str(exc)
+                    # Another task may have made the same move meanwhile.
+                    found = store.get_file_info([f"{root}/{source}", f"{root}/{dest}"])
+                    made_now = found[0].type == fs.FileType.NotFound != found[1].type
+                    error = None if made_now else str(exc)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(errors, pa.string())],
