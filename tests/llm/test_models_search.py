@@ -356,3 +356,35 @@ def test_a_shard_of_empty_texts_finds_nothing():
     row = dict(ids=np.arange(3, dtype="<i8"), lengths=np.zeros(3, "<i8"), terms=np.zeros(0, np.uint64), offsets=np.zeros(1, "<i8"), places=np.zeros(0, "<i4"), counts=np.zeros(0, "<i4"))
     shard = bm25.Shard({k: v.tobytes() for k, v in row.items()}, 1.0)
     assert shard.search(np.array([7], np.uint64), np.array([1.0]), 10) == []
+
+
+def test_shards_searched_later_begin_with_the_kth_best(spark, sf_dir, monkeypatch):
+    # Ten shards or so: each third is searched first, the others return only what can be among the best.
+    monkeypatch.setattr(bm25, "SHARD_ROWS", 10)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(100)
+    rows = [tuple(r) for r in docs.collect()]
+    returned = []
+    monkeypatch.setattr(bm25, "saved", lambda df, name, keep=bm25.saved: returned.append((name, keep(df, name))) or returned[-1][1])
+    queries = spark.createDataFrame(rows[::5], "query_id long, text string")
+    got = sorted((tuple(r) for r in bm25.top_k(spark.createDataFrame(rows, "doc_id long, text string"), queries, 5).collect()), key=lambda r: (r[0], r[3]))
+    want = sorted(brute_bm25(rows, rows[::5], 5), key=lambda r: (r[0], r[3]))
+    assert [(a[0], a[1], a[3]) for a in got] == [(a[0], a[1], a[3]) for a in want]
+    first, later = [df.count() for name, df in returned if name == "bm25-found"]
+    assert 0 < later < first
+
+
+def shard_of(kinds):
+    """A shard's postings: documents of two kinds in turn, of words of their own and one of both."""
+    rng = np.random.default_rng(3)
+    texts = [f"both {' '.join(f'{kind}{int(x)}' for x in rng.integers(0, 40, 30))}" for kind in kinds]
+    counted = list(bm25.term_counts(pa.array(texts)))
+    found, term = np.unique(np.concatenate([t for t, _, _ in counted]), return_inverse=True)
+    return texts, found, term, np.repeat(np.arange(len(texts)), [len(t) for t, _, _ in counted]), np.array([n for *_, n in counted])
+
+
+def test_documents_alike_lie_side_by_side():
+    kinds = ["a", "b"] * 200
+    _, _, term, place, length = shard_of(kinds)
+    order = bm25.alike(term, place, length)
+    assert sorted(order.tolist()) == list(range(400))
+    assert sum(kinds[a] != kinds[b] for a, b in zip(order[:-1], order[1:])) < bm25.GROUPS
