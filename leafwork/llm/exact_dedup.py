@@ -96,7 +96,7 @@ def directory(keys: DataFrame, entries: int = BUCKET_ENTRIES, key_bits: int = KE
     depth = min(key_bits, max(0, (max(n, 1) // capacity).bit_length() - 1))
     finest = min(key_bits, depth + 6)
     cell = F.shiftright("key", key_bits - finest).alias("cell")
-    cells = saved(keys.groupBy(cell).agg(F.count("*").alias("n")), "dedup-cells")
+    cells = saved(keys.groupBy(cell).agg(F.count("*").alias("n")), "dedup-cells", n)
     open_cells, settled = cells, []
     while True:
         bucket = F.shiftright("cell", finest - depth)
@@ -106,7 +106,7 @@ def directory(keys: DataFrame, entries: int = BUCKET_ENTRIES, key_bits: int = KE
         settled.append((depth, load if done else load.where(F.col("n") <= capacity)))
         if done:
             break
-        split = saved(full.select("bucket"), "dedup-overfull")
+        split = saved(full.select("bucket"), "dedup-overfull", n)
         open_cells = open_cells.withColumn("bucket", bucket).join(split, "bucket", "left_semi").drop("bucket")
         depth += 1  # the directory doubles
     buckets = None
@@ -114,7 +114,7 @@ def directory(keys: DataFrame, entries: int = BUCKET_ENTRIES, key_bits: int = KE
         first = F.shiftleft("bucket", depth - d)
         part = load.select(first.alias("first"), F.lit(d).alias("depth"), "n")
         buckets = part if buckets is None else buckets.union(part)
-    table = saved(buckets, "dedup-directory")
+    table = saved(buckets, "dedup-directory", n)
     pointers = table.selectExpr(
         f"explode(sequence(first, first + shiftleft(1L, {depth} - depth) - 1)) AS pointer", "first AS bucket"
     )

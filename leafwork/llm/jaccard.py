@@ -46,6 +46,8 @@ TURNS, FEW_PAIRS = 2, 256
 KEY_MARKS = 22
 #: A leader with d partners has about sqrt(d) / ROOT_GROUPS groups of them.
 ROOT_GROUPS = 8
+#: Pairs whose sets a task compares at least.
+COMPARED_ROWS = 1 << 11
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -300,13 +302,14 @@ def possible(pairs: DataFrame, kinds: DataFrame, num: int, den: int) -> DataFram
             good = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (den * most >= num * (n + m - most))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
+    n_pairs = pairs.count()
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     of_a = kinds.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("cells").alias("a_cells"))
-    named = saved(degree.join(of_a, "a"), "jaccard-degree")
+    named = saved(degree.join(of_a, "a"), "jaccard-degree", n_pairs)
     both = lookup(pairs, named, "a", "degree", ["b"]).join(
         kinds.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("cells").alias("b_cells")), "b"
     )
-    return saved(both.mapInArrow(run, "a long, b long"), "jaccard-possible")
+    return saved(both.mapInArrow(run, "a long, b long"), "jaccard-possible", n_pairs)
 
 
 def verified(
@@ -365,7 +368,8 @@ def verified(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], names=["a", "b", "sure"])
 
     # A leader may have any number of partners: groups of them grow with the root of it.
-    degree = saved(pairs.groupBy("a").agg(F.count("*").alias("degree")), "jaccard-degree")
+    n_pairs = pairs.count()
+    degree = saved(pairs.groupBy("a").agg(F.count("*").alias("degree")), "jaccard-degree", n_pairs)
     groups = degree.withColumn("groups", (F.lit(1) + F.floor(F.sqrt("degree") / ROOT_GROUPS)).cast("int"))
     dealt = lookup(pairs, groups, "a", "degree", ["b"]).select(
         F.col("b").alias("sid"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(True).alias("is_b")
@@ -373,11 +377,12 @@ def verified(
     leaders = groups.select(
         F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("is_b")
     )
-    roles = saved(dealt.union(leaders).join(kinds.select("sid", "key"), "sid"), "jaccard-roles")
+    # A leader has no more groups than partners and one.
+    roles = saved(dealt.union(leaders).join(kinds.select("sid", "key"), "sid"), "jaccard-roles", 3 * n_pairs)
     placed = held_texts(texts, roles).join(roles, "key").select("a", "salt", "sid", "is_b", "text")
     sent = placed.mapInArrow(sets, "a long, salt int, sid long, is_b boolean, tokens binary")
     together = sent.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "is_b")
-    found = saved(together.mapInArrow(compare, "a long, b long, sure boolean"), "jaccard-compared")
+    found = saved(together.mapInArrow(compare, "a long, b long, sure boolean"), "jaccard-compared", n_pairs, COMPARED_ROWS)
     links = found.where("sure").select("a", "b").distinct()
     close = found.where("NOT sure").select("a", "b").distinct()
     if whole or not close.limit(1).count():
@@ -416,12 +421,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours, then the label of that label;
     rounds end when nothing changes.
     """
+    n = 2 * links.count()  # edges, and nodes, at most
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = saved(both.where("a <> b").distinct(), "cc-edges")
-    degree = saved(edges.groupBy("a").agg(F.count("*").alias("degree")), "cc-degree")
+    edges = saved(both.where("a <> b").distinct(), "cc-edges", n)
+    degree = saved(edges.groupBy("a").agg(F.count("*").alias("degree")), "cc-degree", n)
     labels = saved(
         edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")),
-        "cc-labels",
+        "cc-labels", n,
     )
     while True:
         named = degree.join(labels.withColumnRenamed("node", "a"), "a")
@@ -430,28 +436,28 @@ def components(links: DataFrame) -> DataFrame:
             labels.join(heard.withColumnRenamed("b", "node"), "node", "left").select(
                 "node", F.least("component", "m").alias("component"), F.col("component").alias("was")
             ),
-            "cc-labels",
+            "cc-labels", n,
         )
         uses = nearer.groupBy(F.col("component").alias("name")).agg(F.count("*").alias("uses"))
         of_label = uses.join(nearer.select(F.col("node").alias("name"), F.col("component").alias("jump")), "name")
-        of_label = saved(of_label, "cc-jumps")
+        of_label = saved(of_label, "cc-jumps", n)
         jumped = lookup(nearer.withColumnRenamed("component", "name"), of_label, "name", "uses", ["node"])
         fresh = saved(
-            jumped.select("node", F.least("name", "jump").alias("component"), "was"), "cc-labels"
+            jumped.select("node", F.least("name", "jump").alias("component"), "was"), "cc-labels", n
         )
         labels = fresh.select("node", "component")
         if not fresh.where("component <> was").limit(1).count():
             return labels
 
 
-def open_postings(near: DataFrame, named: DataFrame) -> DataFrame:
+def open_postings(near: DataFrame, named: DataFrame, most: int | None = None) -> DataFrame:
     """The postings, with components, of tokens whose documents are of several components."""
     labelled = near.join(named.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
         "component", F.coalesce("component", "sid")
     )
-    labelled = saved(labelled.select("token", "sid", "n", "place", "component"), "jaccard-labelled")
+    labelled = saved(labelled.select("token", "sid", "n", "place", "component"), "jaccard-labelled", most)
     ends = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return saved(labelled.join(ends.select("token"), "token", "left_semi").distinct(), "jaccard-rest")
+    return saved(labelled.join(ends.select("token"), "token", "left_semi").distinct(), "jaccard-rest", most)
 
 
 def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -478,34 +484,36 @@ def similar_groups(
     slice_bits = min(16, max(8, (2 * partitions(spark)).bit_length()))
     first = saved(first_pass(texts, size, slice_bits), "jaccard-first")
     rows = first.where("slice IS NULL").select("doc_id", "key", "sid", "n")
+    n_rows = rows.count()
     kinds = saved(
         first.where("slice IS NULL AND sid IS NOT NULL").groupBy("sid").agg(
             F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies"),
             F.any_value("n").alias("n"), F.any_value("cells").alias("cells"),
         ),
-        "jaccard-kinds",
+        "jaccard-kinds", n_rows,
     )
     sent = first.where("slice IS NOT NULL").select("slice", "low", "many")
     order = spark.sparkContext.broadcast(token_order(sent, slice_bits))
     posted = saved(postings(texts, size, num, den, order), "jaccard-postings")
+    n_posted = posted.count()
 
     small = F.col("place") < F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)) + 1
     heads = posted.groupBy("token").agg(
         F.min(F.when(small, F.col("sid"))).alias("leader"), F.min("sid").alias("low"), F.max("sid").alias("high"),
         F.count("*").alias("held"),
     )
-    heads = saved(heads.where("leader IS NOT NULL AND low <> high").select("token", "leader", "held"), "jaccard-heads")
-    near = saved(lookup(posted, heads, "token", "held", ["sid"]).where("leader IS NOT NULL"), "jaccard-near")
+    heads = saved(heads.where("leader IS NOT NULL AND low <> high").select("token", "leader", "held"), "jaccard-heads", n_posted)
+    near = saved(lookup(posted, heads, "token", "held", ["sid"]).where("leader IS NOT NULL"), "jaccard-near", n_posted)
     star = saved(
-        near.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-pairs"
+        near.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-pairs", n_posted
     )
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = saved(verified(possible(star, kinds, num, den), texts, kinds, size, num, den), "jaccard-links")
+    links = saved(verified(possible(star, kinds, num, den), texts, kinds, size, num, den), "jaccard-links", star.count())
 
     # Tokens that still join different components: their other pairs. Where those would be
     # many, further leaders, drawn at random, join most of them first.
     named = components(links)
-    rest = open_postings(near, named)
+    rest = open_postings(near, named, n_posted)
     for turn in range(1, TURNS + 1):
         held = rest.groupBy("token").agg(F.count("*").alias("held"), F.count_if(small).alias("heads"))
         rows_left, pairs_left = held.agg(F.sum("held"), F.sum(F.col("held") * F.col("heads"))).first()
@@ -513,15 +521,16 @@ def similar_groups(
             break
         drawn = F.struct(F.xxhash64("sid", F.lit(turn)).alias("draw"), "sid", "component")
         leaders = rest.groupBy("token").agg(F.min(F.when(small, drawn)).alias("leader"), F.count("*").alias("held"))
-        met = lookup(rest, saved(leaders.where("leader IS NOT NULL"), "jaccard-heads"), "token", "held", ["sid"])
+        met = lookup(rest, saved(leaders.where("leader IS NOT NULL"), "jaccard-heads", rows_left), "token", "held", ["sid"])
         met = met.where("leader IS NOT NULL AND component <> leader.component").select(
             F.least("sid", "leader.sid").alias("a"), F.greatest("sid", "leader.sid").alias("b")
         )
-        met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = saved(links.union(verified(possible(met, kinds, num, den), texts, kinds, size, num, den)), "jaccard-links")
+        met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", rows_left)
+        found = links.union(verified(possible(met, kinds, num, den), texts, kinds, size, num, den))
+        links = saved(found, "jaccard-links", links.count() + met.count())
         tried = tried.union(met)
         named = components(links)
-        rest = open_postings(near, named)
+        rest = open_postings(near, named, n_posted)
     a = rest.where(small).select("token", *[F.col(c).alias(f"a_{c}") for c in ("sid", "n", "place", "component")])
     b = rest.select("token", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "place", "component")])
     need = F.ceil(num * (F.col("a_n") + F.col("b_n")) / (num + den))
@@ -536,13 +545,14 @@ def similar_groups(
     other = other.select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct()
     other = possible(saved(other.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"), kinds, num, den)
     if other.limit(1).count():
-        links = saved(links.union(verified(other, texts, kinds, size, num, den)), "jaccard-links")
+        found = links.union(verified(other, texts, kinds, size, num, den))
+        links = saved(found, "jaccard-links", links.count() + other.count())
         named = components(links)
 
-    return result(rows, kinds, links, named)
+    return result(rows, kinds, links, named, n_rows)
 
 
-def result(rows: DataFrame, kinds: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
+def result(rows: DataFrame, kinds: DataFrame, links: DataFrame, named: DataFrame, most: int | None = None) -> DataFrame:
     """Rows with the component of their set; copies of a set may be a third of all."""
     degree = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).groupBy("sid")
     of_set = (
@@ -550,10 +560,10 @@ def result(rows: DataFrame, kinds: DataFrame, links: DataFrame, named: DataFrame
         .withColumn("component", F.coalesce("component", "sid"))
         .join(degree.agg(F.count("*").alias("compared_links")), "sid", "left")
     )
-    of_set = saved(of_set.select("sid", "component", "first", "copies", "compared_links"), "jaccard-of-set")
+    of_set = saved(of_set.select("sid", "component", "first", "copies", "compared_links"), "jaccard-of-set", most)
     firsts = of_set.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
-    whole = lookup(of_set, saved(firsts, "jaccard-firsts"), "component", "sets", ["sid"])
-    whole = saved(whole.select("sid", "component_id", "copies", F.coalesce("compared_links", F.lit(0)).alias("compared_links")), "jaccard-whole")
+    whole = lookup(of_set, saved(firsts, "jaccard-firsts", most), "component", "sets", ["sid"])
+    whole = saved(whole.select("sid", "component_id", "copies", F.coalesce("compared_links", F.lit(0)).alias("compared_links")), "jaccard-whole", most)
     found = lookup(rows, whole, "sid", "copies", ["doc_id"])
     return found.select(
         "doc_id",

@@ -111,11 +111,12 @@ def _placed(
         "mix-rows",
     )
     # Sections and rows in a section both grow with the square root of the rows.
-    sections = max(1, isqrt(rows.count()))
+    n = rows.count()
+    sections = max(1, isqrt(n))
     dealt = rows.withColumn("section", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(sections)).cast("int"))
     dealt = dealt.withColumn("source", F.struct(F.col("source").alias("name")))  # null-safe key
-    totals = saved(dealt.groupBy("source", "section").agg(F.sum("tokens").alias("section_tokens")), "mix-sections")
-    sources = saved(totals.groupBy("source").agg(F.sum("section_tokens").alias("tokens")), "mix-sources")
+    totals = saved(dealt.groupBy("source", "section").agg(F.sum("tokens").alias("section_tokens")), "mix-sections", n)
+    sources = saved(totals.groupBy("source").agg(F.sum("section_tokens").alias("tokens")), "mix-sources", n)
     weighted, exponent, budget = source_weights(sources, entropy, max_epochs, budget)
     plan = weighted.select("source", "weight", "quota", F.col("tokens").alias("source_tokens"))
     epochs = F.ceil(F.col("quota") / F.col("source_tokens")).cast("int")

@@ -175,3 +175,29 @@ def test_margin_grows_with_large_sets():
     assert jaccard.margin(1000, 1000) == jaccard.MARGIN
     # Two million elements each: about 931 chance matches.
     assert jaccard.margin(2_000_000, 2_000_000) > 931 + jaccard.MARGIN
+
+
+def test_small_tables_are_saved_in_few_files(spark, monkeypatch):
+    # Each file costs a task and processes, also where Spark joins no partitions of a shuffle.
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    files, put = [], jaccard.saved
+
+    def counted(rows, name, *limits):
+        table = put(rows, name, *limits)
+        files.append((name, len(table.inputFiles())))
+        return table
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    texts = [" ".join(f"f{k % 9}w{j + (k > 20) * (j == 30)}" for j in range(60)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert order(got) == order(expected_components(list(enumerate(texts)), 4, 85, 100))
+    small = [n for name, n in files if name.startswith("cc-") or name in ("jaccard-kinds", "jaccard-roles", "jaccard-compared")]
+    assert len(small) > 8 and max(small) == 1
