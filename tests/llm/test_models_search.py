@@ -388,3 +388,20 @@ def test_documents_alike_lie_side_by_side():
     order = bm25.alike(term, place, length)
     assert sorted(order.tolist()) == list(range(400))
     assert sum(kinds[a] != kinds[b] for a, b in zip(order[:-1], order[1:])) < bm25.GROUPS
+
+
+def test_rare_postings_that_count_one_are_places_only():
+    # Few bits each, in rows: they are walked for every query. Counts over one keep their impacts.
+    n, rng = 700, np.random.default_rng(8)
+    count = rng.integers(1, 3, n).astype("<i4")
+    parts = dict(ids=np.arange(n, dtype="<i8"), lengths=rng.integers(5, 50, n).astype("<i8"), terms=np.arange(70, dtype=np.uint64))
+    parts |= dict(offsets=np.arange(0, n + 1, 10, dtype="<i8"), places=np.arange(n, dtype="<i4"), counts=count)
+    shard = bm25.Shard({k: v.tobytes() for k, v in parts.items()}, 20.0)
+    terms, weight = np.arange(0, 70, 7).astype(np.uint64), np.linspace(1, 2, 10)
+    got = shard.search(terms, weight, 100)
+    held = np.concatenate([np.arange(10 * int(t), 10 * int(t) + 10) for t in terms])
+    score = np.round(np.repeat(weight, 10) * shard.impacts[held], 6)
+    order = np.lexsort((held, -score))
+    assert [d for d, _ in got] == held[order].tolist() and np.allclose([s for _, s in got], score[order], atol=2e-6)
+    (_, once, none), (_, several, values) = shard.rare_rows
+    assert once.dtype == np.int16 and not none.size and several.shape == values.shape
