@@ -405,3 +405,74 @@ def test_rare_postings_that_count_one_are_places_only():
     assert [d for d, _ in got] == held[order].tolist() and np.allclose([s for _, s in got], score[order], atol=2e-6)
     (_, once, none), (_, several, values) = shard.rare_rows
     assert once.dtype == np.int16 and not none.size and several.shape == values.shape
+
+
+def test_a_shard_in_memory_is_searched_for_several_blocks_of_queries(spark, monkeypatch):
+    # One block of queries for each run over the index read and laid out every shard once more.
+    monkeypatch.setattr(bm25, "SHARD_ROWS", 12)
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, 8 + k % 30) % 90)) for k in range(60)]
+    runs = []
+    monkeypatch.setattr(bm25, "saved", lambda df, name, keep=bm25.saved: runs.append(name) or keep(df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame(rows[::5], "query_id long, text string")
+    got = sorted((tuple(r) for r in bm25.top_k(docs, queries, 4).collect()), key=lambda r: (r[0], r[3]))
+    want = sorted(brute_bm25(rows, rows[::5], 4), key=lambda r: (r[0], r[3]))
+    assert [(a[0], a[1], a[3]) for a in got] == [(a[0], a[1], a[3]) for a in want]
+    assert runs.count("bm25-found") == 2
+
+
+def test_documents_alike_lie_in_the_same_shards_by_length(monkeypatch):
+    rng = np.random.default_rng(4)
+    kinds = ["a", "b"] * 300
+    texts = [" ".join(f"{kind}{int(x)}" for x in rng.integers(0, 40, 5 + k % 50)) for k, kind in enumerate(kinds)]
+    heads, size, tie = pa.array(texts), np.array([len(t) for t in texts]), rng.integers(-(1 << 62), 1 << 62, 600)
+    monkeypatch.setattr(bm25, "SHARD_ROWS", 20)
+    where = bm25.Layout(heads, size, tie, 600)
+    shard = where.shard(heads, size, tie)
+    assert np.bincount(shard).tolist() == [20] * 30 and 0 < len(where.early) < 10
+    mixed = [s for s in range(30) if len({kinds[i] for i in np.flatnonzero(shard == s)}) > 1]
+    assert len(mixed) <= 1
+    spread = [np.ptp(size[shard == s]) for s in range(30) if s not in mixed]
+    assert np.median(spread) < np.ptp(size) / 3
+    # Texts without words, and none at all.
+    assert bm25.Layout(pa.array(["", " "]), np.array([0, 1]), np.array([1, 2]), 2).shard(pa.array([""]), np.array([0]), np.array([7])).tolist() == [0]
+    assert bm25.Layout(pa.array([], pa.string()), np.zeros(0, int), np.zeros(0, int), 0).early == []
+
+
+def test_queries_told_with_a_threshold_find_what_reaches_it(monkeypatch):
+    monkeypatch.setattr(bm25, "FEW", 2)
+    rng = np.random.default_rng(6)
+    n = 900
+    rows = [(k, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, 25) % 400)) for k in range(n)]
+    counted = list(bm25.term_counts(pa.array([t for _, t in rows])))
+    term = np.concatenate([t for t, _, _ in counted])
+    order = np.argsort(term, kind="stable")
+    found, first = np.unique(term[order], return_index=True)
+    place = np.repeat(np.arange(n, dtype="<i4"), [len(t) for t, _, _ in counted])
+    count, length = np.concatenate([c for _, c, _ in counted]).astype("<i4"), np.array([x for *_, x in counted], "<i8")
+    parts = dict(ids=np.arange(n, dtype="<i8"), lengths=length, terms=found, offsets=np.append(first, len(term)).astype("<i8"), places=place[order], counts=count[order])
+    shard = bm25.Shard({k: v.tobytes() for k, v in parts.items()}, length.mean())
+    df = np.diff(parts["offsets"])
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    want = defaultdict(list)
+    for q, d, score, _ in brute_bm25(rows, rows[:30], 10):
+        want[q].append((d, score))
+    told = []
+    for queries in (range(20), range(20, 30)):
+        asked = [counted[q][0] for q in queries]
+        # Every third threshold is the seventh score, others are out of reach, or none is known.
+        known = np.array([(want[q][6][1], 1e6, 0.0)[q % 3] for q in queries])
+        codes = np.searchsorted(found, np.concatenate(asked)).astype("<i4")
+        # A term that the shard does not hold.
+        told.append((np.cumsum([0, *map(len, asked)]), codes, np.append(found, np.uint64(2**64 - 1)), np.append(idf, 1.0), known))
+    got = defaultdict(list)
+    for block, who, ids, scores in shard.search_told(told, 10):
+        for w, d, s in zip(who.tolist(), ids.tolist(), scores.tolist()):
+            got[block * 20 + w].append((d, s))
+    for q in range(30):
+        least = (want[q][6][1] - 1e-5, 1e6, 0.0)[q % 3]
+        assert [d for d, s in got[q] if s > least + 2e-5] == [d for d, s in want[q] if s > least + 2e-5]
+        assert q % 3 != 1 or not got[q]
+        assert q % 3 or len(got[q]) >= 7
